@@ -9,10 +9,11 @@ from parapet import fixed_values as fv
 from parapet import schemas
 from parapet.functions.text import bearer_token
 from parapet.operators.scan import lookup
+from parapet.sources.local import local_table
 
 
 def plans_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fv.PLANS, schemas.PLAN)
+    return local_table(spark, fv.PLANS, schemas.PLAN)
 
 
 def _strings(values) -> Column:
@@ -64,14 +65,18 @@ def resolve_policies(tenants: DataFrame, raw_policies: DataFrame) -> DataFrame:
     missing inside a section take the built-in defaults.  Unknown tenants get
     the default tenant's policy.
     """
-    own = raw_policies.select("tenant_id", *[F.col(s).alias(f"own_{s}") for s in SECTIONS])
-    base = raw_policies.where(F.col("tenant_id") == fv.DEFAULT_TENANT).agg(
-        *[F.first(s).alias(f"base_{s}") for s in SECTIONS])
-    d = lookup(tenants.select("tenant_id").distinct(), own, ["tenant_id"])
-    # a one-row aggregate: every tenant sees the same default row
-    d = d.withColumn("__one", F.lit(1)).join(
-        F.broadcast(base.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
-    raw = F.struct(*[F.coalesce(f"own_{s}", f"base_{s}").alias(s) for s in SECTIONS])
+    # every tenant meets two config rows: its own and the default tenant's
+    asked = tenants.select("tenant_id").distinct().select("tenant_id", F.explode(F.array_distinct(F.array(
+        F.col("tenant_id"), F.lit(fv.DEFAULT_TENANT)))).alias("source"))
+    met = lookup(asked, raw_policies.withColumnRenamed("tenant_id", "source"), ["source"])
+
+    def section(name: str, own: bool) -> Column:
+        is_own = F.col("source") == F.col("tenant_id")
+        return F.first(F.when(is_own if own else ~is_own, F.col(name)), ignorenulls=True)
+
+    d = met.groupBy("tenant_id").agg(
+        *[F.coalesce(section(s, True), section(s, False)).alias(s) for s in SECTIONS])
+    raw = F.struct(*SECTIONS)
     return d.select("tenant_id", raw.alias("raw")).select("tenant_id", *_filled(F.col("raw")))
 
 
@@ -91,10 +96,9 @@ def resolve_tenants(requests: DataFrame, proxy_keys: DataFrame, accounts: DataFr
     users = accounts.select(F.col("proxy_key"), F.col("tenant_id").alias("account_tenant"))
     keys = proxy_keys.where(F.coalesce("enabled", F.lit(True))).select(
         F.col("key").alias("proxy_key"), F.coalesce("tenant_id", F.lit(fv.DEFAULT_TENANT)).alias("key_tenant"))
-    open_access = proxy_keys.agg((F.count("*") == 0).alias("open_access")).withColumn("__one", F.lit(1))
+    open_access = proxy_keys.agg(F.count("*") == 0).scalar()
     d = requests.withColumn("proxy_key", F.nullif(F.col("proxy_key"), F.lit("")))
-    d = lookup(lookup(d, users, ["proxy_key"]), keys, ["proxy_key"])
-    d = d.withColumn("__one", F.lit(1)).join(F.broadcast(open_access), "__one").drop("__one")
+    d = lookup(lookup(d, users, ["proxy_key"]), keys, ["proxy_key"]).withColumn("open_access", open_access)
     found = F.coalesce("account_tenant", F.when(F.col("open_access"), F.lit(fv.HEADER_TENANT)).otherwise(F.col("key_tenant")))
     from_header = F.coalesce(F.nullif(F.col("header_tenant"), F.lit("")), F.lit(fv.DEFAULT_TENANT))
     return (d.withColumn("rejected", found.isNull())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
@@ -74,7 +75,15 @@ def preceding_text(df: DataFrame, keys: list[str], rank: str, piece: Column, wid
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of a plan, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.VariantType, T.MapType))
 
 
 def lookup(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -86,6 +95,8 @@ def lookup(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left")
     """
     if estimated_bytes(table) <= BROADCAST_BYTES:
         return facts.join(F.broadcast(table), on, how)
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)))
+    # a row hash, not a random number: a repeated task must salt its rows the same way
+    spread = F.xxhash64(*[f.name for f in facts.schema.fields if _hashable(f.dataType)])
+    salted = facts.withColumn("__salt", F.pmod(spread, F.lit(SALTS)))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parapet import fixed_values as fv
 from parapet import schemas
+from parapet.sources.local import local_table
 
 
 def _pick(section, schema, rename=None):
@@ -41,7 +42,7 @@ def policies_from_dict(spark: SparkSession, config: dict) -> DataFrame:
         for field in schemas.RAW_POLICY.fields[1:]:
             row.append(_pick(cfg.get(field.name), field.dataType, {"on": True}))
         rows.append(tuple(row))
-    return spark.createDataFrame(rows, schemas.RAW_POLICY)
+    return local_table(spark, rows, schemas.RAW_POLICY)
 
 
 def _yaml(path: str) -> dict:
@@ -64,7 +65,7 @@ def keys_from_dict(spark: SparkSession, config: dict) -> DataFrame:
     entries = keys.items() if isinstance(keys, dict) else ((k.get("key"), k) for k in keys)
     rows = [(key, (cfg or {}).get("name", "unnamed"), (cfg or {}).get("tenant_id", fv.DEFAULT_TENANT),
              (cfg or {}).get("enabled", True)) for key, cfg in entries if key]
-    return spark.createDataFrame(rows, schemas.PROXY_KEY)
+    return local_table(spark, rows, schemas.PROXY_KEY)
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
