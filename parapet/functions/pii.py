@@ -61,12 +61,9 @@ def pii_spans(text: Column, types: Column | list[str] | None = None) -> Column:
         wanted = _gate(text, ptype)
         if types is not None:
             wanted = F.array_contains(types, ptype) & wanted
-        # constant patterns keep the regex compiled once per task
-        hits = F.when(wanted & patterns.is_ascii(text),
-                      _located(text, F.lit(patterns.ascii_only(fv.PII_PATTERNS[ptype])), ptype)
-                      ).when(wanted,
-                             _located(text, F.lit(patterns.exact(fv.PII_PATTERNS[ptype], word_edges=True)), ptype)
-                             ).otherwise(none)
+        # a constant pattern is compiled once per task
+        pattern = F.lit(patterns.exact(fv.PII_PATTERNS[ptype], word_edges=True))
+        hits = F.when(wanted, _located(text, pattern, ptype)).otherwise(none)
         if ptype == "credit_card":
             hits = F.filter(hits, lambda h: F.call_function("luhn_check", h["value"]))
         claimed = hits if ptype == TYPES[0] else patterns.let(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet.functions import pii
+from parapet.operators.folds import written
 from parapet.operators.scan import running
 
 # Message index of a top-level system prompt: it is handled after all messages.
@@ -53,19 +54,23 @@ def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
     is shuffled once, to meet its tokens; numbering only moves matches.
     ``safe_reserve`` keeps tokens clear of literals anywhere in the request.
     """
-    maybe = pii.may_hold_pii(F.col("text"))
-    plain = texts.where(~F.coalesce(maybe, F.lit(False)))
-    near = texts.where(maybe).withColumn("__spans", pii.pii_spans(F.col("text"), types))
-    hits = near.where(F.size("__spans") > 0)
-
-    found = hits.select(*TEXT_KEYS, F.explode("__spans").alias("x")).select(*TEXT_KEYS, "x.*")
+    maybe = F.coalesce(pii.may_hold_pii(F.col("text")), F.lit(False))
+    plain, near = texts.where(~maybe), texts.where(maybe)
+    # matches are few and small next to the texts: written once, numbered from there
+    marks = written(near.select(*TEXT_KEYS, pii.pii_spans(F.col("text"), types).alias("spans"),
+                                pii.token_literals(F.col("text")).alias("literals")).where(F.size("spans") > 0))
+    found = marks.select(*TEXT_KEYS, F.explode("spans").alias("x")).select(*TEXT_KEYS, "x.*")
     at = F.struct("msg_idx", "block_idx", "s")
     firsts = found.groupBy("request_id", "ptype", "value").agg(F.min(at).alias("at")).select(
         "request_id", "ptype", "value", "at.*", F.lit(None).cast("decimal(38,0)").alias("n"),
         F.lit(True).alias("is_value"))
-    literal_texts = (texts if safe_reserve else hits).where(F.contains("text", F.lit("[PII_")))
-    where = [F.lit(-1).alias("msg_idx"), F.lit(0).alias("block_idx")] if safe_reserve else ["msg_idx", "block_idx"]
-    literals = literal_texts.select("request_id", *where, F.explode(pii.token_literals(F.col("text"))).alias("t")).select(
+    if safe_reserve:
+        every = texts.where(F.contains("text", F.lit("[PII_"))).select(
+            "request_id", F.lit(-1).alias("msg_idx"), F.lit(0).alias("block_idx"),
+            pii.token_literals(F.col("text")).alias("literals"))
+    else:
+        every = marks.select(*TEXT_KEYS, "literals")
+    literals = every.select("request_id", "msg_idx", "block_idx", F.explode("literals").alias("t")).select(
         "request_id", F.col("t.ptype").alias("ptype"), F.lit(None).cast("string").alias("value"),
         F.col("msg_idx").cast(texts.schema["msg_idx"].dataType).alias("msg_idx"),
         F.col("block_idx").cast(texts.schema["block_idx"].dataType).alias("block_idx"),
@@ -77,7 +82,7 @@ def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
     # per text: at most as many tokens as the text has matches
     tokens = found.join(vault, ["request_id", "ptype", "value"]).groupBy(*TEXT_KEYS).agg(
         F.array_sort(F.collect_list(F.struct("s", "e", "token"))).alias("__tokens"))
-    rewritten = near.drop("__spans").join(tokens, TEXT_KEYS, "left")
+    rewritten = near.join(tokens, TEXT_KEYS, "left")
     rewritten = rewritten.withColumn("text", F.when(
         F.col("__tokens").isNotNull(),
         pii.replace_spans(F.col("text"), F.col("__tokens"), lambda x: x["token"])).otherwise(F.col("text")))

@@ -63,14 +63,14 @@ def preceding_text(df: DataFrame, keys: list[str], rank: str, piece: Column, wid
     tail = F.right(piece, F.lit(width))
     slot = F.floor((F.col(rank) - 1) / step)
     near_end = (F.col(rank) - 1) % step >= step - halo
-    d = df.withColumn("__tail", tail).withColumn("__slot", slot)
-    edge = (d.where(near_end).select(*keys, rank, "__tail", (F.col("__slot") + 1).alias("__slot"))
-            .withColumn("__copy", F.lit(True)))
-    both = d.withColumn("__copy", F.lit(False)).unionByName(edge, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "__slot").orderBy(rank).rowsBetween(-halo, -1)
+    own = F.struct(slot.alias("slot"), F.lit(False).alias("copy"))
+    over = F.struct((slot + 1).alias("slot"), F.lit(True).alias("copy"))
+    places = F.when(near_end, F.array(own, over)).otherwise(F.array(own))
+    names = df.columns
+    d = df.withColumn("__tail", tail).withColumn("__at", F.explode(places))
+    w = Window.partitionBy(*keys, "__at.slot").orderBy(rank).rowsBetween(-halo, -1)
     joined = F.array_join(F.collect_list("__tail").over(w), separator)
-    return (both.withColumn(out, F.right(joined, F.lit(width)))
-            .where(~F.col("__copy")).drop("__tail", "__slot", "__copy"))
+    return d.withColumn(out, F.right(joined, F.lit(width))).where(~F.col("__at.copy")).select(*names, out)
 
 
 def estimated_bytes(df: DataFrame) -> int:

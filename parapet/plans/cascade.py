@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parapet.functions import checks, injection, pii
 from parapet.functions.text import map_text
 from parapet.operators import limits as lim
+from parapet.operators.folds import written
 from parapet.operators.pii import TEXT_KEYS, restore_responses, text_rows, tokenize_pii
 from parapet.operators.policy import resolve_tenants
 from parapet.operators.verdicts import input_verdicts, output_verdicts, with_policy
@@ -27,7 +28,8 @@ def check_inputs(messages: DataFrame, policies: DataFrame) -> Checked:
     Messages of blocked requests are dropped.  Redaction happens in place on the
     scan side; only tenants that tokenize pay for a shuffle of matching texts.
     """
-    verdicts = input_verdicts(messages, policies)
+    # used by every branch below: written once, so that no text is scored twice
+    verdicts = written(input_verdicts(messages, policies))
     blocked = verdicts.where("blocked").select("request_id")
     d = with_policy(messages.join(blocked, "request_id", "left_anti"), policies, "input")
     config = F.col("input.pii")
@@ -44,14 +46,14 @@ def check_inputs(messages: DataFrame, policies: DataFrame) -> Checked:
         F.map_contains_key(F.col("__new"), i), b.withField("text", F.try_element_at(F.col("__new"), i))).otherwise(b))
     rewritten = secret.drop("types").join(changed, TEXT_KEYS[:2], "left").withColumn(
         "content", F.when(F.col("__new").isNotNull(), content).otherwise(F.col("content"))).drop("__new")
-    return Checked(verdicts, redacted.unionByName(rewritten), tokens.vault)
+    return Checked(verdicts, redacted.unionByName(rewritten), written(tokens.vault))
 
 
 def check_outputs(responses: DataFrame, vault: DataFrame, policies: DataFrame,
                   moderation: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Verdicts and restored responses: values are put back before validation."""
     restored = restore_responses(responses, vault)
-    return output_verdicts(restored, policies, moderation), restored
+    return written(output_verdicts(restored, policies, moderation)), restored
 
 
 def run_cascade(requests: DataFrame, messages: DataFrame, responses: DataFrame, policies: DataFrame,
@@ -67,6 +69,7 @@ def run_cascade(requests: DataFrame, messages: DataFrame, responses: DataFrame,
     accepted = resolve_tenants(requests, keys, accounts).where(~F.col("rejected"))
     limits = policies.select("tenant_id", "rate_limit.*")
     decisions = lim.rate_limit(accepted, limits).select("request_id", "limited", F.col("reason").alias("rate_reason"))
+    decisions = written(decisions)
     base = accepted.select("request_id", "ts", "tenant_id", "api").join(decisions, "request_id")
     live = base.where(~F.col("limited")).select("request_id", "tenant_id")
     inputs = check_inputs(messages.drop("tenant_id").join(live, "request_id"), policies)

@@ -90,7 +90,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(body, image, extra)).alias("content"))
 
 
+_RESOLVED: dict[str, DataFrame] = {}
+
+
 def policies(spark: SparkSession) -> DataFrame:
+    app = spark.sparkContext.applicationId
+    if app not in _RESOLVED:
+        _RESOLVED[app] = _policies(spark)
+    return _RESOLVED[app]
+
+
+def _policies(spark: SparkSession) -> DataFrame:
     raw = policies_from_dict(spark, POLICIES)
     tenants = local_table(spark, [(f"t{i}",) for i in range(4)] + [("default",), ("elsewhere",)], "tenant_id string")
     # a config-sized table: kept in memory, so its measured size decides the joins

@@ -40,7 +40,7 @@ def user_messages(spark, sf):
 
 
 def mapped_text(spark, sf):
-    d = ds.messages(spark, sf).withColumn("content", text.map_text(F.col("content"), F.upper))
+    d = ds.messages(spark, sf).withColumn("content", text.map_text(F.col("content"), lambda t: F.translate(t, "aeiou", "AEIOU")))
     return d.select("request_id", "msg_idx", F.size("content").alias("blocks"),
                     text.message_text(F.col("content")).alias("text"))
 
