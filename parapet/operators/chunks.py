@@ -7,7 +7,6 @@ length and the few characters before it that a match could reach back to.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,23 +65,34 @@ def word_violations(chunks: DataFrame, policies: DataFrame) -> DataFrame:
 CHECK_SCHEMA = "stream_id string, slice int, carried boolean, seq long, total long"
 
 
-def _check_fold(every: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["carried", "total"], ascending=[False, True], kind="stable")
-        last = int(pdf.loc[pdf.carried, "total"].max()) if pdf.carried.any() else 0
-        fresh = pdf[~pdf.carried]
-        totals, picked, i = fresh["total"].to_numpy(), [], 0
-        while (i := int(np.searchsorted(totals, last + every))) < len(totals):
-            picked.append(i)
-            last = int(totals[i])
-        out = fresh.iloc[picked]
-        head = pdf.iloc[0]
-        state = pd.DataFrame([{"stream_id": head.stream_id, "slice": int(head.slice), "carried": True,
-                               "seq": -1, "total": last}])
-        return pd.concat([out, state])
+def _check_fold(every: int, keep_state: bool):
+    def fold(batches):
+        """Pick rows in order; a change of stream starts at length 0."""
+        stream, last = None, 0
+        for pdf in batches:
+            picked, ended = [], []
+            for i, (s, carried, total) in enumerate(zip(*[pdf[c].tolist() for c in ("stream_id", "carried", "total")])):
+                if s != stream:
+                    if keep_state and stream is not None:
+                        ended.append((stream, last))
+                    stream, last = s, 0
+                if carried:
+                    last = total
+                elif total >= last + every:
+                    last = total
+                    picked.append(i)
+            yield pdf.iloc[picked]
+            if ended:
+                yield _check_state(ended)
+        if keep_state and stream is not None:
+            yield _check_state([(stream, last)])
     return fold
 
 
+def _check_state(ended) -> pd.DataFrame:
+    return pd.DataFrame([{"stream_id": s, "slice": 0, "carried": True, "seq": -1, "total": last} for s, last in ended])
+
+
 def check_points(chunks: DataFrame, every: int = fv.MODEL_CHECK_INTERVAL,
                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Deltas at which a costly model would score the text so far.
@@ -97,7 +107,7 @@ def check_points(chunks: DataFrame, every: int = fv.MODEL_CHECK_INTERVAL,
     rows = d.select(F.col("stream_id").cast("string").alias("stream_id"),
                     F.floor((F.col("rank") - 1) / rows_per_slice).cast("int").alias("slice"),
                     F.lit(False).alias("carried"), "seq", F.col("total").cast("long").alias("total"))
-    out = sliced_fold(rows, ["stream_id"], slices, _check_fold(every), CHECK_SCHEMA)
+    out = sliced_fold(rows, ["stream_id"], ["total"], slices, _check_fold(every, slices > 1), CHECK_SCHEMA)
     return out.select(F.col("stream_id").cast(id_type).alias("stream_id"), "seq", "total")
 
 

@@ -39,15 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sliced_fold(rows: DataFrame, keys: list[str], slices: int, fold, out_schema: str) -> DataFrame:
-    """Fold rows with columns keys + ``slice`` + ``carried`` through ``fold``.
+def sliced_fold(rows: DataFrame, keys: list[str], order: list[str], slices: int, fold, out_schema: str) -> DataFrame:
+    """Fold rows with columns keys + ``slice`` + ``carried`` in order through ``fold``.
 
-    ``fold(pdf)`` gets one key's slice, rows with ``carried`` true being the state
-    left by the slice before, and returns result rows plus the new state as
-    rows with ``carried`` true.  ``out_schema`` must hold every input column.
+    ``fold(batches)`` streams over batches of sorted rows; rows with ``carried`` true
+    come first for a key and are the state left by its slice before.  It yields result
+    rows plus the new state as rows with ``carried`` true.  ``out_schema`` must hold
+    every input column.
     """
     def step(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).applyInPandas(fold, out_schema)
+        return (part.repartition(*keys).sortWithinPartitions(*keys, F.desc("carried"), *order)
+                .mapInPandas(fold, out_schema))
 
     if slices <= 1:
         return step(rows).where(~F.col("carried"))

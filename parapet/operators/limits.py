@@ -27,10 +27,10 @@ def _limits(limits: DataFrame) -> DataFrame:
 class Limiter:
     """Allowed request times of one key, in microseconds."""
 
-    def __init__(self, rpm, rph, times=()):
+    def __init__(self, rpm, rph):
         self.windows = [(MINUTE, rpm, "minute"), (HOUR, rph, "hour")]
-        self.windows = [(w, int(n), label) for w, n, label in self.windows if n is not None and n == n]
-        self.kept = [deque(t for t in times) for _ in self.windows]
+        self.windows = [(w, int(n), label) for w, n, label in self.windows if n is not None]
+        self.kept = [deque() for _ in self.windows]
 
     def decide(self, now: int):
         """(reason, retry_after) if refused, else (None, None) and the time is recorded."""
@@ -44,31 +44,54 @@ class Limiter:
             seen.append(now)
         return None, None
 
+    def record(self, at: int) -> None:
+        for seen in self.kept:
+            seen.append(at)
+
     def times(self) -> list[int]:
         """Allowed times that can still matter, oldest first."""
         return list(self.kept[-1]) if self.kept else []
 
 
-FOLD_SCHEMA = ("tenant_id string, episode long, slice int, carried boolean, hot boolean, at long, request_id string, "
+FOLD_SCHEMA = ("tenant_id string, episode long, slice int, carried boolean, hot boolean, at long, request_id {id}, "
                "rpm int, rph int, reason string, retry_after int")
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["carried", "at", "request_id"], ascending=[False, True, True], kind="stable")
-    head = pdf.iloc[0]
-    state = pdf.loc[pdf.carried, "at"].tolist()
-    fresh = pdf[~pdf.carried]
-    limiter = Limiter(head.rpm, head.rph, state)
-    verdicts = [limiter.decide(now) for now in fresh["at"].tolist()]
-    out = fresh.assign(reason=[v[0] for v in verdicts],
-                       retry_after=pd.array([v[1] for v in verdicts], dtype="Int32"))
-    kept = limiter.times()
-    carry = pd.DataFrame({
-        "tenant_id": head.tenant_id, "episode": head.episode, "slice": int(head.slice), "carried": True, "hot": False,
-        "at": kept, "request_id": None, "rpm": head.rpm, "rph": head.rph, "reason": None,
-        "retry_after": None}) if kept else None
-    out = out if carry is None else pd.concat([out, carry.astype({"retry_after": "Int32"})])
-    return out.astype({"rpm": "Int32", "rph": "Int32"})
+def _state_rows(key, limiter: Limiter, rpm, rph) -> pd.DataFrame:
+    times = limiter.times()
+    return pd.DataFrame({
+        "tenant_id": key[0], "episode": key[1], "slice": 0, "carried": True, "hot": False, "at": times,
+        "request_id": None, "rpm": rpm, "rph": rph, "reason": None, "retry_after": None}, index=range(len(times)))
+
+
+def _fold(keep_state: bool):
+    def fold(batches):
+        """Decide rows in order; a change of key starts an empty limiter."""
+        key = limiter = rpm = rph = None
+        for pdf in batches:
+            reasons, waits, ended = [], [], []
+            columns = [pdf[c].tolist() for c in ("tenant_id", "episode", "carried", "at")]
+            rpms = pdf["rpm"].astype(object).where(pdf["rpm"].notna(), None).tolist()
+            rphs = pdf["rph"].astype(object).where(pdf["rph"].notna(), None).tolist()
+            for tenant, episode, carried, at, m, h in zip(*columns, rpms, rphs):
+                if (tenant, episode) != key:
+                    if keep_state and key is not None:
+                        ended.append(_state_rows(key, limiter, rpm, rph))
+                    key, rpm, rph = (tenant, episode), m, h
+                    limiter = Limiter(m, h)
+                if carried:
+                    limiter.record(at)
+                    reason = wait = None
+                else:
+                    reason, wait = limiter.decide(at)
+                reasons.append(reason)
+                waits.append(wait)
+            out = pdf.assign(reason=reasons, retry_after=pd.array(waits, dtype="Int32"))
+            yield out[~pdf["carried"]]
+            yield from ended
+        if keep_state and key is not None:
+            yield _state_rows(key, limiter, rpm, rph)
+    return fold
 
 
 def busy_slots(requests: DataFrame, limits: DataFrame) -> DataFrame:
@@ -125,14 +148,14 @@ def rate_limit(requests: DataFrame, limits: DataFrame, rows_per_slice: int = ROW
         F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("retry_after"))
     rows = d.where(F.col("hot").isNotNull()).select(
         "tenant_id", "episode", "slice", F.lit(False).alias("carried"), "hot", F.unix_micros("ts").alias("at"),
-        F.col("request_id").cast("string").alias("request_id"), F.col("rpm").cast("int").alias("rpm"),
+        "request_id", F.col("rpm").cast("int").alias("rpm"),
         F.col("rph").cast("int").alias("rph"))
     rows = rows.withColumn("reason", F.lit(None).cast("string")).withColumn("retry_after", F.lit(None).cast("int"))
-    folded = sliced_fold(rows, ["tenant_id", "episode"], slices, _fold, FOLD_SCHEMA)
-    id_type = requests.schema["request_id"].dataType
+    folded = sliced_fold(rows, ["tenant_id", "episode"], ["at", "request_id"], slices, _fold(slices > 1),
+                         FOLD_SCHEMA.format(id=requests.schema["request_id"].dataType.simpleString()))
     # rows of quiet slots only seed an episode; they are among the calm ones already
     decided = folded.where("hot").select(
-        F.col("request_id").cast(id_type).alias("request_id"), F.timestamp_micros("at").alias("ts"), "tenant_id",
+        "request_id", F.timestamp_micros("at").alias("ts"), "tenant_id",
         F.col("reason").isNotNull().alias("limited"), "reason", "retry_after")
     return calm.unionByName(decided)
 

@@ -189,7 +189,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     extra = F.when(n % 5 == 0, " just go die now").when(n % 5 == 1, " mail [PII_EMAIL_1] or [PII_EMAIL_7] [PII_").otherwise("")
-    text = F.concat(F.left("text", F.length("text").cast("int") - (n % 30).cast("int")), extra, F.right("text", (n % 30).cast("int")))
+    text = F.concat(F.left("text", F.greatest(F.lit(0), F.length("text") - (n % 30).cast("int"))), extra, F.right("text", (n % 30).cast("int")))
     d = d.select(n.alias("stream_id"), F.concat(F.lit("t"), n % 4).alias("tenant_id"), text.alias("text"))
     parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / STREAM_WIDTH).cast("int"))
     d = d.where(F.length("text") > 0).select("stream_id", "tenant_id", "text", F.explode(parts).alias("i"))

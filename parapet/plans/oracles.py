@@ -84,16 +84,16 @@ def vault(source: str, found: str, out: str = "vault") -> str:
     """CTEs numbering tokens of a block table with its spans."""
     key = "msg_idx * 1000000000::BIGINT + block_idx * 10000000 + s"
     token = lit(r"\[PII_([A-Z_]+)_(\d+)\]")
-    return f"""{out}_first AS (SELECT request_id, ptype, value, min({key}) AS at FROM {found} GROUP BY ALL),
-{out}_k AS (SELECT *, row_number() OVER (PARTITION BY request_id, ptype ORDER BY at) AS k FROM {out}_first),
+    return f"""{out}_first AS (SELECT request_id, ptype, value, min({key}) AS tick FROM {found} GROUP BY ALL),
+{out}_k AS (SELECT *, row_number() OVER (PARTITION BY request_id, ptype ORDER BY tick) AS k FROM {out}_first),
 {out}_lit AS (SELECT request_id, lower(regexp_extract(t, {token}, 1)) AS ptype,
-    CAST(regexp_extract(t, {token}, 2) AS BIGINT) AS n, msg_idx * 1000000000::BIGINT + block_idx * 10000000 AS at
+    CAST(regexp_extract(t, {token}, 2) AS BIGINT) AS n, msg_idx * 1000000000::BIGINT + block_idx * 10000000 AS tick
   FROM (SELECT *, unnest(regexp_extract_all(text, {token})) AS t FROM {source} b
         WHERE EXISTS (SELECT 1 FROM {found} f WHERE f.request_id = b.request_id AND f.msg_idx = b.msg_idx AND f.block_idx = b.block_idx))),
-{out}_lift AS (SELECT l.request_id, l.ptype, l.at, l.n - (SELECT count(*) FROM {out}_first f
-    WHERE f.request_id = l.request_id AND f.ptype = l.ptype AND f.at < l.at) AS up FROM {out}_lit l),
+{out}_lift AS (SELECT l.request_id, l.ptype, l.tick, l.n - (SELECT count(*) FROM {out}_first f
+    WHERE f.request_id = l.request_id AND f.ptype = l.ptype AND f.tick < l.tick) AS up FROM {out}_lit l),
 {out} AS (SELECT request_id, ptype, value, '[PII_' || upper(ptype) || '_' || (k + greatest(0, coalesce((
-    SELECT max(up) FROM {out}_lift l WHERE l.request_id = v.request_id AND l.ptype = v.ptype AND l.at <= v.at), 0))) || ']' AS token
+    SELECT max(up) FROM {out}_lift l WHERE l.request_id = v.request_id AND l.ptype = v.ptype AND l.tick <= v.tick), 0))) || ']' AS token
   FROM {out}_k v)"""
 
 
@@ -239,40 +239,40 @@ STATS = ("count(*) AS total_requests, count(*) FILTER (WHERE outcome <> 'passed'
 
 
 def limiter(source: str) -> str:
-    """CTEs ``lim(request_id, tenant_id, at, limited, reason, retry_after)`` by recursion.
+    """CTEs ``lim(request_id, tenant_id, tick, limited, reason, retry_after)`` by recursion.
 
-    ``source`` has request_id, tenant_id, at (microseconds), rpm and rph.
+    ``source`` has request_id, tenant_id, tick (microseconds), rpm and rph.
     """
-    return f"""lq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY at, request_id) AS n FROM {source}),
-lw AS (SELECT tenant_id, 0::BIGINT AS n, 0::BIGINT AS request_id, 0::BIGINT AS at, NULL::INTEGER AS rpm, NULL::INTEGER AS rph,
+    return f"""lq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY tick, request_id) AS n FROM {source}),
+lw AS (SELECT tenant_id, 0::BIGINT AS n, 0::BIGINT AS request_id, 0::BIGINT AS tick, NULL::INTEGER AS rpm, NULL::INTEGER AS rph,
          []::BIGINT[] AS seen, []::BIGINT[] AS seen_m, FALSE AS over_m, FALSE AS over_h FROM lq GROUP BY 1
   UNION ALL
-  SELECT q.tenant_id, q.n, q.request_id, q.at, q.rpm, q.rph,
-    CASE WHEN om OR oh THEN h ELSE list_append(h, q.at) END, m, om, oh
-  FROM (SELECT q.tenant_id, q.n, q.request_id, q.at, q.rpm, q.rph, h, m,
+  SELECT q.tenant_id, q.n, q.request_id, q.tick, q.rpm, q.rph,
+    CASE WHEN om OR oh THEN h ELSE list_append(h, q.tick) END, m, om, oh
+  FROM (SELECT q.tenant_id, q.n, q.request_id, q.tick, q.rpm, q.rph, h, m,
       q.rpm IS NOT NULL AND len(m) >= q.rpm AS om,
       NOT (q.rpm IS NOT NULL AND len(m) >= q.rpm) AND q.rph IS NOT NULL AND len(h) >= q.rph AS oh
-    FROM (SELECT q.*, h, list_filter(h, lambda x: x >= q.at - 60000000) AS m FROM (
-      SELECT q.*, list_filter(CASE WHEN w.n = 0 OR w.over_m OR w.over_h THEN w.seen ELSE w.seen END, lambda x: x >= q.at - 3600000000) AS h
+    FROM (SELECT q.*, h, list_filter(h, lambda x: x >= q.tick - 60000000) AS m FROM (
+      SELECT q.*, list_filter(CASE WHEN w.n = 0 OR w.over_m OR w.over_h THEN w.seen ELSE w.seen END, lambda x: x >= q.tick - 3600000000) AS h
       FROM lw w JOIN lq q ON q.tenant_id = w.tenant_id AND q.n = w.n + 1) q) q) q),
-lim AS (SELECT tenant_id, request_id, at, over_m OR over_h AS limited,
+lim AS (SELECT tenant_id, request_id, tick, over_m OR over_h AS limited,
     CASE WHEN over_m THEN 'Rate limit exceeded: ' || rpm || ' requests per minute'
          WHEN over_h THEN 'Rate limit exceeded: ' || rph || ' requests per hour' END AS reason,
-    CAST(CASE WHEN over_m AND rpm = 0 THEN 60 WHEN over_m THEN greatest(1, (seen_m[1] + 60000000 - at) // 1000000 + 1)
-         WHEN over_h AND rph = 0 THEN 3600 WHEN over_h THEN greatest(1, (seen[1] + 3600000000 - at) // 1000000 + 1) END AS INTEGER) AS retry_after
+    CAST(CASE WHEN over_m AND rpm = 0 THEN 60 WHEN over_m THEN greatest(1, (seen_m[1] + 60000000 - tick) // 1000000 + 1)
+         WHEN over_h AND rph = 0 THEN 3600 WHEN over_h THEN greatest(1, (seen[1] + 3600000000 - tick) // 1000000 + 1) END AS INTEGER) AS retry_after
   FROM lw WHERE n > 0)"""
 
 
 LIMIT_ROWS = ", ".join(
     f"('{t}', {'NULL' if not on or m is None else m}::INTEGER, {'NULL' if not on or h is None else h}::INTEGER)" for t, on, m, h in ds.LIMITS)
 TRAFFIC = f"""lt(tenant_id, rpm, rph) AS (VALUES {LIMIT_ROWS}),
-tq AS (SELECT event_id AS request_id, event_type AS tenant_id, epoch_us(ts) AS at, rpm, rph FROM events JOIN lt ON event_type = tenant_id)"""
+tq AS (SELECT event_id AS request_id, event_type AS tenant_id, epoch_us(ts) AS tick, rpm, rph FROM events JOIN lt ON event_type = tenant_id)"""
 
 # --- streams ----------------------------------------------------------------------------
 
 W = ds.STREAM_WIDTH
 CHUNKS = f"""
-ct AS MATERIALIZED (SELECT doc_id AS stream_id, 't' || (doc_id % 4) AS tenant_id, left(text, CAST(length(text) - doc_id % 30 AS BIGINT))
+ct AS MATERIALIZED (SELECT doc_id AS stream_id, 't' || (doc_id % 4) AS tenant_id, left(text, greatest(0, CAST(length(text) - doc_id % 30 AS BIGINT)))
     || CASE doc_id % 5 WHEN 0 THEN ' just go die now' WHEN 1 THEN ' mail [PII_EMAIL_1] or [PII_EMAIL_7] [PII_' ELSE '' END
     || right(text, CAST(doc_id % 30 AS BIGINT)) AS text FROM documents WHERE length(text) > 0),
 cs AS MATERIALIZED (SELECT stream_id, tenant_id, text, i AS seq, substr(text, i * {W} + 1, {W}) AS delta, least((i + 1) * {W}, length(text)) AS total
@@ -292,14 +292,14 @@ def check_points(source: str) -> str:
 # --- plans --------------------------------------------------------------------------------
 
 HISTORY = """
-be AS (SELECT epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS at, o_custkey AS cust, o_orderkey % 6 AS k,
+be AS (SELECT epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS tick, o_custkey AS cust, o_orderkey % 6 AS k,
     (['starter', 'growth', 'gold'])[(o_orderkey % 3) + 1] AS plan, (['open', 'past_due', 'active', 'unpaid', 'paid'])[(o_orderkey % 5) + 1] AS status,
     o_orderkey % 5 AS attempt FROM orders),
-mv AS (SELECT cust, at, CASE WHEN k IN (0, 5) AND plan <> 'gold' THEN plan WHEN k IN (1, 4) THEN 'free'
+mv AS (SELECT cust, tick, CASE WHEN k IN (0, 5) AND plan <> 'gold' THEN plan WHEN k IN (1, 4) THEN 'free'
     WHEN k = 2 AND status IN ('past_due', 'unpaid') THEN 'free' WHEN k = 3 AND status = 'open' AND attempt >= 3 THEN 'free' END AS plan FROM be),
-mg AS (SELECT CAST(cust AS VARCHAR) AS user_id, at, min(plan) AS plan FROM mv JOIN customer ON c_custkey = cust WHERE plan IS NOT NULL GROUP BY 1, 2),
-ml AS (SELECT *, lag(plan) OVER (PARTITION BY user_id ORDER BY at) AS prev FROM mg),
-hist AS (SELECT user_id, plan, at AS valid_from, lead(at) OVER (PARTITION BY user_id ORDER BY at) AS valid_to FROM ml WHERE prev IS NULL OR prev <> plan)"""
+mg AS (SELECT CAST(cust AS VARCHAR) AS user_id, tick, min(plan) AS plan FROM mv JOIN customer ON c_custkey = cust WHERE plan IS NOT NULL GROUP BY 1, 2),
+ml AS (SELECT *, lag(plan) OVER (PARTITION BY user_id ORDER BY tick) AS prev FROM mg),
+hist AS (SELECT user_id, plan, tick AS valid_from, lead(tick) OVER (PARTITION BY user_id ORDER BY tick) AS valid_to FROM ml WHERE prev IS NULL OR prev <> plan)"""
 PLAN_ROWS = ", ".join(f"('{n}', {p}, {m}, {a}, {h})" for n, p, m, a, h in fv.PLANS)
 
 
@@ -372,7 +372,7 @@ labels2 AS (SELECT s.*, coalesce(v.token, {PLACEHOLDER}) AS label FROM ls s LEFT
                                   "FALSE AS rejected FROM (SELECT DISTINCT conv_id AS n FROM conversations)")
     cascade_msg = MSG.replace("mt AS (", "mt_all AS (").replace("blocks AS (", "blocks_all AS (")
     req = f"""rq AS MATERIALIZED (SELECT n AS request_id, {tenant} AS tenant_id, CASE WHEN n % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS api,
-    1704067200000000 + n * 20000000 AS at, CASE WHEN {tenant} = 't0' THEN 1 END::INTEGER AS rpm, CASE WHEN {tenant} = 't0' THEN 20 END::INTEGER AS rph
+    1704067200000000 + n * 20000000 AS tick, CASE WHEN {tenant} = 't0' THEN 1 END::INTEGER AS rpm, CASE WHEN {tenant} = 't0' THEN 20 END::INTEGER AS rph
   FROM (SELECT DISTINCT conv_id AS n FROM conversations) WHERE {tenant} IS NOT NULL),
 {limiter('rq')},
 alive AS MATERIALIZED (SELECT r.request_id, r.tenant_id FROM rq r JOIN lim l USING (request_id) WHERE NOT l.limited),
@@ -384,7 +384,7 @@ st AS (SELECT r.*, l.limited, l.reason AS lim_reason, v.blocked AS inb, v.guardr
     o.reason AS outr, u.prompt_tokens AS pt, u.completion_tokens AS ct,
     NOT l.limited AND NOT coalesce(v.blocked, FALSE) AND o.blocked IS NOT NULL AND NOT o.blocked AS ok
   FROM rq r JOIN lim l USING (request_id) LEFT JOIN verdict v USING (request_id) LEFT JOIN outv o USING (request_id) LEFT JOIN r0 u USING (request_id)),
-cap AS (SELECT *, tenant_id = 't0' AND NOT limited AND coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY tenant_id ORDER BY at
+cap AS (SELECT *, tenant_id = 't0' AND NOT limited AND coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY tenant_id ORDER BY tick
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 5 AS capped FROM st),
 fin AS (SELECT *, CASE WHEN limited OR capped THEN 'rate_limited' WHEN inb THEN 'input_blocked' WHEN outb THEN 'output_blocked' WHEN ok THEN 'passed' END AS outcome FROM cap)
 SELECT request_id, tenant_id, api, outcome, CASE WHEN NOT limited AND NOT capped THEN CASE WHEN inb THEN ing WHEN outb THEN outg END END AS guardrail,
@@ -433,9 +433,9 @@ SELECT a.tenant_id, a.plan, coalesce(total_requests, 0) AS total_requests, coale
 h AS (SELECT *, sum(cut) OVER (PARTITION BY tenant_id ORDER BY ts) AS session FROM g)
 SELECT tenant_id, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS requests FROM h GROUP BY tenant_id, session"""
     sql["rate_limit_decisions"] = f"WITH RECURSIVE {TRAFFIC}, {limiter('tq')} SELECT request_id, tenant_id, limited, reason, retry_after FROM lim"
-    at = f"epoch_us(TIMESTAMP '{AS_OF}')"
+    tick = f"epoch_us(TIMESTAMP '{AS_OF}')"
     sql["rate_limit_status"] = f"""WITH RECURSIVE {TRAFFIC}, {limiter('tq')},
-u AS (SELECT tenant_id, count(*) FILTER (WHERE at >= {at} - 60000000) AS m, count(*) AS h FROM lim WHERE NOT limited AND at >= {at} - 3600000000 AND at <= {at} GROUP BY 1),
+u AS (SELECT tenant_id, count(*) FILTER (WHERE tick >= {tick} - 60000000) AS m, count(*) AS h FROM lim WHERE NOT limited AND tick >= {tick} - 3600000000 AND tick <= {tick} GROUP BY 1),
 x AS (SELECT tenant_id, 'minute' AS "window", rpm AS "limit", coalesce(m, 0) AS used FROM lt LEFT JOIN u USING (tenant_id) WHERE rpm IS NOT NULL
   UNION ALL SELECT tenant_id, 'hour', rph, coalesce(h, 0) FROM lt LEFT JOIN u USING (tenant_id) WHERE rph IS NOT NULL)
 SELECT *, greatest(0, "limit" - used) AS remaining FROM x"""
@@ -473,6 +473,6 @@ UNION ALL SELECT stream_id, 1000000000, '', TRUE, TRUE FROM ct WHERE stream_id %
     sql["sse_anthropic"] = f"""WITH {CHUNKS} SELECT stream_id, seq * 3 + 1 AS seq, delta, FALSE AS closes, FALSE AS finished FROM cs
 UNION ALL SELECT stream_id, 3000000001, '', FALSE, stream_id % 7 <> 0 FROM ct"""
     sql["plan_history"] = f"WITH {HISTORY} SELECT * FROM hist"
-    sql["effective_limits"] = f"""WITH {HISTORY}, p(plan, price, cap, rpm, rph) AS (VALUES {PLAN_ROWS}), a AS (SELECT epoch_us(TIMESTAMP '1998-06-01') AS at)
-SELECT user_id, h.plan, rpm AS requests_per_minute, rph AS requests_per_hour FROM hist h JOIN p USING (plan), a WHERE valid_from <= at AND (valid_to IS NULL OR valid_to > at)"""
+    sql["effective_limits"] = f"""WITH {HISTORY}, p(plan, price, cap, rpm, rph) AS (VALUES {PLAN_ROWS}), a AS (SELECT epoch_us(TIMESTAMP '1998-06-01') AS tick)
+SELECT user_id, h.plan, rpm AS requests_per_minute, rph AS requests_per_hour FROM hist h JOIN p USING (plan), a WHERE valid_from <= tick AND (valid_to IS NULL OR valid_to > tick)"""
     return sql
