@@ -55,7 +55,7 @@ def _advance(key, batches, state):
         if reason is not None:
             outcome, ended = "output_blocked", True
         else:
-            vault = dict(r.vault) if r.vault is not None else {}
+            vault = {e["key"]: e["value"] for e in r.vault} if r.vault is not None else {}
             ready = held + (r.delta or "")
             tail = _PARTIAL.search(ready[-LONGEST_TOKEN:])
             keep = 0 if r.closes else (len(tail.group()) if tail else 0)
