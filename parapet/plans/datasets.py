@@ -64,7 +64,12 @@ STREAM_WIDTH = 37
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    d = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    # one small file is one task: text work is spread over the cores only where
+    # the scan has fewer tasks than that, never on inputs that are already split
+    if name in ("documents", "conversations") and d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        d = d.repartition(spark.sparkContext.defaultParallelism)
+    return d
 
 
 def pick(values: list, index: Column) -> Column:
