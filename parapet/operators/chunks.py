@@ -154,7 +154,8 @@ def delivered(chunks: DataFrame, outcomes: DataFrame) -> DataFrame:
 def partial_token(text: Column) -> Column:
     """Length of a trailing piece of text that may still become a token."""
     tail = F.right(text, F.lit(LONGEST_TOKEN))
-    return F.length(F.regexp_extract(tail, patterns.exact(fv.PARTIAL_TOKEN_PATTERN) + r"\n?\z", 0))
+    found = F.regexp_extract(tail, patterns.exact(fv.PARTIAL_TOKEN_PATTERN) + r"\n?\z", 0)
+    return F.when(F.contains(tail, F.lit("[")), F.length(found)).otherwise(0)
 
 
 def restore_stream(chunks: DataFrame, vault: DataFrame) -> DataFrame:

@@ -196,11 +196,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.when(n % 5 == 0, " just go die now").when(n % 5 == 1, " mail [PII_EMAIL_1] or [PII_EMAIL_7] [PII_").otherwise("")
     text = F.concat(F.left("text", F.greatest(F.lit(0), F.length("text") - (n % 30).cast("int"))), extra, F.right("text", (n % 30).cast("int")))
     d = d.select(n.alias("stream_id"), F.concat(F.lit("t"), n % 4).alias("tenant_id"), text.alias("text"))
-    parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / STREAM_WIDTH).cast("int"))
-    d = d.where(F.length("text") > 0).select("stream_id", "tenant_id", "text", F.explode(parts).alias("i"))
-    d = d.select("stream_id", "tenant_id", F.col("i").cast("long").alias("seq"),
-                 F.substr("text", F.col("i") * STREAM_WIDTH + 1, F.lit(STREAM_WIDTH)).alias("delta"),
-                 F.lit(False).alias("closes"), F.lit(False).alias("finished"))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STREAM_WIDTH}}}"), F.lit(0))
+    d = d.where(F.length("text") > 0).select("stream_id", "tenant_id", F.posexplode(parts).alias("i", "delta")).select(
+        "stream_id", "tenant_id", F.col("i").cast("long").alias("seq"), "delta",
+        F.lit(False).alias("closes"), F.lit(False).alias("finished"))
     ends = table(spark, sf_dir, "documents").where("length(text) > 0").select(
         n.alias("stream_id"), F.concat(F.lit("t"), n % 4).alias("tenant_id"),
         F.lit(1_000_000_000).cast("long").alias("seq"), F.lit("").alias("delta"),
