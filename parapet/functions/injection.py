@@ -29,7 +29,7 @@ _WORDS = [
     "ignore", "disregard", "bypass", "override", "forget", "discard", "your", "instruction",
     "rule", "directive", "must", "anything", "jail", "developer", "pretend", "unrestricted",
     "unfiltered", "uncensored", "amoral", "evil", "restriction", "filter", "limitation",
-    "censorship", "guideline", "moral", "ethical", "system prompt", "prompt", "above",
+    "censorship", "guideline", "moral", "ethical", "system", "prompt", "above",
     "</", "<system", "<user", "<assistant", "<instruction", "<|im_", "inst]", "#", "hidden",
     "secret", "you",
 ]
