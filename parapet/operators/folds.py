@@ -9,34 +9,12 @@ joined to the next slice.  A key therefore never sits in one task as a whole.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 2_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for tables that must outlive an executor.
+from parapet.storage import written
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where it is
-    unset (tests on one machine) a temporary folder is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="parapet-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder, with its lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/parapet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ROWS_PER_SLICE = 2_000_000
 
 
 def sliced_fold(rows: DataFrame, keys: list[str], order: list[str], slices: int, fold, out_schema: str) -> DataFrame:
