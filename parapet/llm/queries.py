@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup
+from parapet.llm import exact_dedup, mixing, packing
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_mixing": mixing.OP6_SQL,
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parapet.storage import written
+
 #: ASCII white space, the only characters that separate words
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -29,3 +32,15 @@ def words(text: str | None) -> list[bytes]:
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def placed(docs):
+    """The frame with ``_file`` and ``_row``, which name a row also where ids are null or repeat.
+
+    A frame that is not a plain scan is written to the shared folder first.
+    """
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        return docs.select("*", *at)
+    except AnalysisException:
+        return written(docs, "placed").select("*", *at)
