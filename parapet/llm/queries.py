@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, mixing, packing
+from parapet.llm import exact_dedup, mixing, packing, quality
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
