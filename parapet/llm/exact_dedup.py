@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 from parapet.llm.texts import spaced
 from parapet.storage import new_path, remove, written
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ROCKS_KEY = "spark.sql.streaming.stateStore.providerClass"
+#: disk-backed state; a store is closed as soon as its task has committed, since each holds some MB of disk
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -53,17 +57,19 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest=sha256,
     # as a pattern, because a stream takes a single file by pattern only
     state = located(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest, id_col, text_col).groupBy("_digest").agg(
         keep.alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    before = spark.conf.get(ROCKS_KEY, None)
-    spark.conf.set(ROCKS_KEY, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
     try:
+        for k, v in STATE_SETTINGS.items():
+            spark.conf.set(k, v)
         query = (state.writeStream.outputMode("update").format("noop")
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(ROCKS_KEY)
-        else:
-            spark.conf.set(ROCKS_KEY, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     stored = spark.read.format("statestore").load(checkpoint)
     fields = stored.schema["value"].dataType.names
     return stored.select(F.col("key._digest").alias("_digest"), F.col("value")[fields[0]].alias("_keep"),
