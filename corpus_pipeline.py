@@ -1,24 +1,52 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences, stage by stage.
+
+Each stage takes what its predecessor kept.  All but the last return the columns of
+``documents``; the last returns the placed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import exact_dedup
+from parapet.llm import exact_dedup, mixing, packing, quality, simhash
 from parapet.llm.texts import table
 from parapet.storage import written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; one of each source may be cut to its first words."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.packed(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good),
     ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack),
 ]
 
-#: no SQL runs a network or a tokenizer; tests hold the stages against brute force
+#: SQL runs neither a network nor a tokenizer; tests hold the stages against brute force
 ORACLE_SQL = None
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, mixing, packing, quality
+from parapet.llm import exact_dedup, mixing, packing, quality, simhash
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
