@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, mixing, packing, quality, simhash
+from parapet.llm import exact_dedup, mixing, packing, quality, simhash, url_filter
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
 }
