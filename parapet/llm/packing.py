@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parapet.llm.texts import table
+from parapet.llm.texts import LOWER, table
 from parapet.storage import written
 
 CAPACITY = 4096
@@ -30,7 +30,9 @@ END = 1
 #: pieces in a group: what one task packs at once
 GROUP = 8192
 #: words of at most so many bytes, and so many of them, are remembered by a task
-WORD_BYTES, WORDS_KEPT = 48, 400_000
+WORD_BYTES, WORDS_KEPT = 48, 800_000
+#: punctuation that may be cut off a word's end, and ends before which it may
+TAIL, STEM_END = b".,!?;:%$&*#|", frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -38,34 +40,68 @@ class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The vocabulary splits at white space and drops it, so the ids of a text are those
-    of its words in a row; words come again and again and are looked up.
+    of its words in a row; words come again and again and are looked up.  New words
+    are encoded many at once, with a mark between them that is one token of its own.
     """
 
+    MARK = "\u00a5"
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.mark = self._ids(self.MARK)
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        texts = [w.decode() for w in words]
+        if len(self.mark) == 1 and not any(self.MARK in t for t in texts):
+            ids = self._ids(f" {self.MARK} ".join(texts))
+            cuts = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+            if len(cuts) == len(texts) - 1:
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
+        return [self._ids(t).tobytes() for t in texts]
+
+    def learn(self, texts: list[str]) -> None:
+        """Look up the short words of several texts at once.
+
+        A-Z may be lower-cased first, as the vocabulary does itself; and a word that ends
+        in a letter or digit and then punctuation has the ids of both in a row.
+        """
+        known = self.known
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        new = {w for t in texts for w in t.encode().split() if len(w) <= WORD_BYTES} - known.keys()
+        made, wanted = [], set()
+        for w in new:
+            core = w if b"<|" in w else w.translate(LOWER)
+            stem = core.rstrip(TAIL)
+            if stem and len(stem) < len(core) and stem[-1:] in STEM_END:
+                made.append((w, stem, core[len(stem):]))
+                wanted.add(stem)
+                wanted.add(core[len(stem):])
+            else:
+                made.append((w, core, b""))
+                wanted.add(core)
+        wanted = list(wanted - known.keys())
+        for lo in range(0, len(wanted), 20_000):
+            known.update(zip(wanted[lo:lo + 20_000], self._encode(wanted[lo:lo + 20_000])))
+        known[b""] = b""
+        for w, stem, tail in made:
+            known[w] = known[stem] + known[tail]
 
     def of(self, text: str) -> bytes:
         words = text.encode().split()
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-                new = list(set(words))
-            short = [w for w in new if len(w) <= WORD_BYTES]
-            known.update(zip(short, self._encode(short)))
-            if len(short) < len(new):
-                long = [w for w in new if len(w) > WORD_BYTES]
-                own = dict(zip(long, self._encode(long)))
-                return b"".join([own[w] if w in own else known[w] for w in words])
-        return b"".join([known[w] for w in words])
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            own = {w: self._ids(w.decode()).tobytes() for w in set(words) if w not in known}
+            return b"".join([known[w] if w in known else own[w] for w in words])
 
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id",
@@ -80,21 +116,28 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
+        import tokenizers
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if vocabulary is None:
+        path = vocabulary
+        if path is None:
             import public_tokenizers
 
-            ids = Ids(public_tokenizers.path(VOCABULARY))
-        else:
-            ids = Ids(vocabulary)
+            path = public_tokenizers.path(VOCABULARY)
+        # a worker serves many tasks, and this function comes anew with each; what the module holds stays
+        kept = tokenizers.__dict__.setdefault("ids_of_words", {})
+        ids = kept.get(path) or kept.setdefault(path, Ids(path))
         for batch in batches:
-            out = []
-            for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                data = ids.of(text or "") + end
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at:at + 4 * capacity]
-                    out.append((key, k, at // 4, len(part) // 4, part))
-            yield pd.DataFrame(out, columns=[f.name for f in schema]).astype({"piece": "int32"})
+            for lo in range(0, len(batch), 500):
+                keys, texts = batch.iloc[lo:lo + 500, 0], [t or "" for t in batch.iloc[lo:lo + 500, 1]]
+                ids.learn(texts)
+                out = []
+                for key, text in zip(keys, texts):
+                    data = ids.of(text) + end
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at:at + 4 * capacity]
+                        out.append((key, k, at // 4, len(part) // 4, part))
+                yield pd.DataFrame(out, columns=[f.name for f in schema]).astype({"piece": "int32"})
 
     return docs.select(id_col, text_col).mapInPandas(run, schema)
 
