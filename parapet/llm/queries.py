@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, mixing, packing, quality, simhash, url_filter
+from parapet.llm import exact_dedup, mixing, packing, quality, simhash, url_filter, vector_dedup
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_product_quantisation": vector_dedup.op7_product_quantisation,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filter": url_filter.op9_url_filter,
 }
