@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, mixing, packing, quality, simhash, url_filter, vector_dedup
+from parapet.llm import exact_dedup, mixing, packing, quality, simhash, suffix_dedup, url_filter, vector_dedup
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_product_quantisation": vector_dedup.op7_product_quantisation,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {
