@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, mixing, packing, quality, simhash, suffix_dedup, url_filter, vector_dedup
+from parapet.llm import exact_dedup, katz, mixing, packing, quality, simhash, suffix_dedup, url_filter, vector_dedup
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_katz": katz.op3_katz,
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
