@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parapet.llm import exact_dedup, katz, mixing, packing, quality, simhash, suffix_dedup, url_filter, vector_dedup
+from parapet.llm import exact_dedup, katz, mixing, packing, preference, quality, simhash, suffix_dedup, url_filter, vector_dedup
 
 QUERIES = {
+    "op1_preference_format": preference.op1_preference_format,
     "op2_quality": quality.op2_quality,
     "op3_katz": katz.op3_katz,
     "op4_simhash": simhash.op4_simhash,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_preference_format": preference.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
