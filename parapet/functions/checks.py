@@ -109,13 +109,34 @@ def toxicity_error(text: Column, provider: Column, enabled: Column, threshold: C
     by_flags = F.when(flagged, F.concat(
         F.lit("Content flagged by moderation API: "), F.array_join(F.coalesce(hits, F.array()), ", ")))
     by_score = F.when(score >= threshold, F.concat(
-        F.lit("Content flagged as toxic (score: "), F.format_string("%.2f", score),
+        F.lit("Content flagged as toxic (score: "), two_decimals(score),
         F.lit(", threshold: "), threshold.cast("string"), F.lit(")")))
     return F.when(enabled & (text != ""), F.when(provider == "wordlist", by_words)
                   .when(provider == "openai", by_flags)
                   .when(provider == "perspective", by_score))
 
 
+def two_decimals(score: Column) -> Column:
+    """A score with two decimals, rounded by its exact binary value, a true half to even.
+
+    A double below 4 times 2^60 is a whole number (smaller parts cannot reach half a
+    hundredth), so hundredths and the rest come from whole-number arithmetic.
+    """
+    whole = (F.abs(score) * float(1 << 60)).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    unit = F.lit(1 << 60).cast("decimal(20,0)")
+
+    def rounded(parts: Column) -> Column:
+        q, rest = parts["q"], parts["rest"] * 2
+        up = (rest > unit) | ((rest == unit) & (q % 2 == 1))
+        n = q + up.cast("bigint")
+        return F.concat(F.when(score < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."),
+                        F.lpad((n % 100).cast("string"), 2, "0"))
+
+    exact = patterns.let(whole, lambda w: patterns.let(
+        F.struct(F.call_function("div", w, unit).cast("bigint").alias("q"), (w % unit).alias("rest")), rounded))
+    return F.when(F.abs(score) < 4, exact).otherwise(F.format_string("%.2f", score))
+
+
 def topic_pattern(topic: Column) -> Column:
     return F.concat(F.lit("(?iu)" + patterns.BOUNDARY), patterns.quoted(topic), F.lit(patterns.BOUNDARY))
 
@@ -126,8 +147,8 @@ def topics_found(text: Column, topics: Column) -> Column:
     A plain substring test comes first, so the regex is only built for rows
     that nearly match; topics are lower-case already.
     """
-    low = patterns.folded(text)
     numbered = F.transform(topics, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    near = F.filter(numbered, lambda n: F.rlike(n["t"], F.lit(patterns.NON_ASCII)) | F.contains(low, n["t"]))
+    near = patterns.let(patterns.folded(text), lambda low: F.filter(
+        numbered, lambda n: F.rlike(n["t"], F.lit(patterns.NON_ASCII)) | F.contains(low, n["t"])))
     hits = F.filter(near, lambda n: F.rlike(text, topic_pattern(n["t"])))
     return F.transform(hits, lambda n: n["i"])

@@ -19,7 +19,7 @@ from parapet.operators.scan import preceding_text, running
 from parapet.operators.verdicts import with_policy
 
 BLOCK_ROWS = 4096
-# No vault token is longer: 17 characters, at most 38 digits, a bracket.
+# Held text of a live stream never needs to be longer than its longest token.
 LONGEST_TOKEN = 64
 
 
@@ -151,9 +151,9 @@ def delivered(chunks: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.col("cut_seq").isNull() | (F.col("seq") < F.col("cut_seq"))).drop("cut_seq")
 
 
-def partial_token(text: Column) -> Column:
+def partial_token(text: Column, longest: int = LONGEST_TOKEN) -> Column:
     """Length of a trailing piece of text that may still become a token."""
-    tail = F.right(text, F.lit(LONGEST_TOKEN))
+    tail = F.right(text, F.lit(longest))
     found = F.regexp_extract(tail, patterns.exact(fv.PARTIAL_TOKEN_PATTERN) + r"\n?\z", 0)
     return F.when(F.contains(tail, F.lit("[")), F.length(found)).otherwise(0)
 
@@ -162,8 +162,18 @@ def restore_stream(chunks: DataFrame, vault: DataFrame) -> DataFrame:
     """Text each delta releases once tokens are put back, and the text flushed at its end.
 
     A trailing piece that may become a token is held until it is decided; held
-    text is flushed where the stream (or its content block) closes.
+    text is flushed where the stream (or its content block) closes.  A stream without
+    vault rows has nothing to put back: its deltas pass as they are.
     """
+    owners = vault.select(F.col("request_id").alias("stream_id")).distinct()
+    texts = chunks.where(F.col("delta") != "")
+    plain = texts.join(owners, "stream_id", "left_anti").select("stream_id", "seq", "delta", F.lit("").alias("flushed"))
+    longest = max(LONGEST_TOKEN, vault.agg(F.max(F.length("token"))).first()[0] or 0)
+    held = _restore_held(chunks.join(owners, "stream_id", "left_semi"), vault, longest)
+    return held.unionByName(plain)
+
+
+def _restore_held(chunks: DataFrame, vault: DataFrame, longest: int) -> DataFrame:
     block = F.floor(F.col("seq") / BLOCK_ROWS)
     closes = F.col("closes").cast("int")
     d = running(chunks, ["stream_id"], ["seq"], block, sums={"__closed": closes})
@@ -173,11 +183,11 @@ def restore_stream(chunks: DataFrame, vault: DataFrame) -> DataFrame:
     texts = d.where(F.col("delta") != "").select(*keys, "seq", "delta")
     texts = running(texts, keys, ["seq"], block, sums={"rank": F.lit(1)})
     last = texts.groupBy(*keys).agg(F.max("rank").alias("last_rank"))
-    texts = preceding_text(texts, keys, "rank", F.col("delta"), LONGEST_TOKEN, "before")
+    texts = preceding_text(texts, keys, "rank", F.col("delta"), longest, "before")
     texts = texts.join(last, keys).join(closed, keys)
     whole = F.concat(F.col("before"), F.col("delta"))
-    texts = texts.withColumn("held", partial_token(whole))
-    ready = F.concat(F.right("before", partial_token(F.col("before"))), F.col("delta"))
+    texts = texts.withColumn("held", partial_token(whole, longest))
+    ready = F.concat(F.right("before", partial_token(F.col("before"), longest)), F.col("delta"))
     # a right() of length 0 is empty
     texts = texts.withColumn("ready", ready)
     text = F.left("ready", F.length("ready") - F.col("held"))

@@ -111,7 +111,10 @@ def with_bearer(requests: DataFrame, header: str = "authorization") -> DataFrame
 
 
 def plan_changes(events: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Plan changes that billing events cause: (user_id, ts, plan)."""
+    """Plan changes that billing events cause: (user_id, ts, seq, plan).
+
+    ``seq`` orders events of one time; without it they count as equal.
+    """
     kind = F.col("type")
     known = F.col("plan").isin([p[0] for p in fv.PLANS])
     downgrade = (
@@ -123,19 +126,21 @@ def plan_changes(events: DataFrame, accounts: DataFrame) -> DataFrame:
     moves = events.withColumn("new_plan", F.when(bought, F.col("plan")).when(downgrade, F.lit("free"))).where(
         F.col("new_plan").isNotNull())
     by_customer = accounts.where(F.col("customer").isNotNull()).select("customer", F.col("user_id").alias("owner"))
-    direct = moves.where(bought).select("user_id", "ts", F.col("new_plan").alias("plan"))
+    moves = moves if "seq" in moves.columns else moves.withColumn("seq", F.lit(0).cast("long"))
+    direct = moves.where(bought).select("user_id", "ts", "seq", F.col("new_plan").alias("plan"))
     through = lookup(moves.where(~bought), by_customer, ["customer"], "inner").select(
-        F.col("owner").alias("user_id"), "ts", F.col("new_plan").alias("plan"))
+        F.col("owner").alias("user_id"), "ts", "seq", F.col("new_plan").alias("plan"))
     return direct.unionByName(through)
 
 
 def plan_history(events: DataFrame, accounts: DataFrame, block_days: int = 30) -> DataFrame:
     """Validity ranges of each user's plan, from the changes in event order.
 
-    Changes to the plan already held are dropped.  Events of one user are cut
+    Of changes at one time the last in sequence counts; changes to the plan already held are dropped.  Events of one user are cut
     into time blocks, so a user with very many events is not one task's work.
     """
-    changes = plan_changes(events, accounts).groupBy("user_id", "ts").agg(F.min("plan").alias("plan"))
+    changes = plan_changes(events, accounts).groupBy("user_id", "ts").agg(
+        F.max(F.struct("seq", "plan"))["plan"].alias("plan"))
     seconds = F.unix_micros("ts")
     block = F.floor(seconds / (block_days * 86_400_000_000))
     state = F.struct(seconds.alias("at"), F.col("plan").alias("plan"))

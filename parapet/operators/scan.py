@@ -89,14 +89,9 @@ def _hashable(kind: T.DataType) -> bool:
 def lookup(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a lookup table that has one row per key to a fact table.
 
-    The table is broadcast only if its estimated size is within a bound.  Beyond
-    it the join is salted: fact rows of a key are spread over ``SALTS`` buckets
-    and the lookup rows copied to each, so a hot key never lands in one task.
+    The table is broadcast only if its estimated size is within a bound.  Beyond it
+    both sides are shuffled once, and adaptive execution splits a hot key's rows.
     """
     if estimated_bytes(table) <= BROADCAST_BYTES:
         return facts.join(F.broadcast(table), on, how)
-    # a row hash, not a random number: a repeated task must salt its rows the same way
-    spread = F.xxhash64(*[f.name for f in facts.schema.fields if _hashable(f.dataType)])
-    salted = facts.withColumn("__salt", F.pmod(spread, F.lit(SALTS)))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return facts.join(table, on, how)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parapet import fixed_values as fv
 from parapet.functions import checks, injection, patterns, pii
 from parapet.functions.text import message_text
 from parapet.operators.pii import mask_types, type_mask
@@ -20,7 +21,10 @@ SYSTEM_ROLE = "__system"
 
 
 def with_policy(rows: DataFrame, policies: DataFrame, *sections: str) -> DataFrame:
-    return lookup(rows, policies.select("tenant_id", *sections), ["tenant_id"])
+    """Rows with their tenant's policy; a tenant without one gets the default tenant's."""
+    spare = policies.where(F.col("tenant_id") == fv.DEFAULT_TENANT).agg(F.first(F.struct(*sections))).scalar()
+    d = lookup(rows, policies.select("tenant_id", *sections), ["tenant_id"])
+    return d.withColumns({s: F.coalesce(s, spare[s]) for s in sections})
 
 
 def _injection_reason(role: Column, text: Column, config: Column) -> Column:

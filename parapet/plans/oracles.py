@@ -292,12 +292,12 @@ def check_points(source: str) -> str:
 # --- plans --------------------------------------------------------------------------------
 
 HISTORY = """
-be AS (SELECT epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS tick, o_custkey AS cust, o_orderkey % 6 AS k,
+be AS (SELECT epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS tick, o_custkey AS cust, o_orderkey AS id, o_orderkey % 6 AS k,
     (['starter', 'growth', 'gold'])[(o_orderkey % 3) + 1] AS plan, (['open', 'past_due', 'active', 'unpaid', 'paid'])[(o_orderkey % 5) + 1] AS status,
     o_orderkey % 5 AS attempt FROM orders),
-mv AS (SELECT cust, tick, CASE WHEN k IN (0, 5) AND plan <> 'gold' THEN plan WHEN k IN (1, 4) THEN 'free'
+mv AS (SELECT cust, tick, id, CASE WHEN k IN (0, 5) AND plan <> 'gold' THEN plan WHEN k IN (1, 4) THEN 'free'
     WHEN k = 2 AND status IN ('past_due', 'unpaid') THEN 'free' WHEN k = 3 AND status = 'open' AND attempt >= 3 THEN 'free' END AS plan FROM be),
-mg AS (SELECT CAST(cust AS VARCHAR) AS user_id, tick, min(plan) AS plan FROM mv JOIN customer ON c_custkey = cust WHERE plan IS NOT NULL GROUP BY 1, 2),
+mg AS (SELECT CAST(cust AS VARCHAR) AS user_id, tick, arg_max(plan, id) AS plan FROM mv JOIN customer ON c_custkey = cust WHERE plan IS NOT NULL GROUP BY 1, 2),
 ml AS (SELECT *, lag(plan) OVER (PARTITION BY user_id ORDER BY tick) AS prev FROM mg),
 hist AS (SELECT user_id, plan, tick AS valid_from, lead(tick) OVER (PARTITION BY user_id ORDER BY tick) AS valid_to FROM ml WHERE prev IS NULL OR prev <> plan)"""
 PLAN_ROWS = ", ".join(f"('{n}', {p}, {m}, {a}, {h})" for n, p, m, a, h in fv.PLANS)
@@ -310,7 +310,7 @@ def oracle_queries() -> dict[str, str]:
     sql["user_messages"] = f"WITH {MSG} SELECT request_id, msg_idx, tenant_id FROM mt WHERE role = 'user'"
     sql["mapped_text"] = f"WITH {MSG} SELECT request_id, msg_idx, 3 AS blocks, translate(text, 'aeiou', 'AEIOU') AS text FROM mt"
     sql["bearer_token"] = "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 'k' || user_id END AS token FROM events"
-    sql["message_preview"] = (f"WITH {MSG} SELECT request_id, arg_max(left(CASE WHEN idx = 15 THEN plant ELSE body END, 120), msg_idx) "
+    sql["message_preview"] = (f"WITH {MSG} SELECT request_id, arg_max(left(CASE WHEN idx = 15 THEN plant ELSE body END, 200), msg_idx) "
                               "AS message_preview FROM mt GROUP BY 1")
     sql["pii_spans"] = f"WITH {doc_spans} SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, ptype, value FROM spans"
     sql["pii_cards"] = f"WITH {doc_spans} SELECT doc_id, CAST(s AS INTEGER) AS s, value FROM spans WHERE ptype = 'credit_card'"
@@ -325,7 +325,7 @@ def oracle_queries() -> dict[str, str]:
     sql["pii_tokenize"] = (f"WITH {ALL_VAULT}, {token_spans}, {replaced('blocks', 'request_id, msg_idx, block_idx', 'ts', 'token', 'done')} "
                            "SELECT request_id, msg_idx, block_idx, text FROM done")
     tokens = ["[PII_EMAIL_1]", "[PII_EMAIL_2]", "[PII_EMAIL_3]", "[PII_PHONE_1]"]
-    sql["pii_restore"] = (f"WITH {ALL_VAULT}, q AS (SELECT conv_id AS request_id, turn AS msg_idx, left(text, 40) || ' {' '.join(tokens)} [PII_X_1]' AS text "
+    sql["pii_restore"] = (f"WITH {ALL_VAULT}, q AS (SELECT conv_id AS request_id, turn AS msg_idx, text || ' {' '.join(tokens)} [PII_X_1]' AS text "
                           f"FROM conversations) {restored('q', 'request_id, msg_idx', tokens)}")
     user_scores = f"{MSG}, users AS (SELECT * FROM mt WHERE role = 'user'), {scored('users', 'request_id, msg_idx')}"
     sql["injection_score"] = f"WITH {user_scores} SELECT request_id, msg_idx, score, reasons FROM inj"
@@ -341,6 +341,10 @@ def oracle_queries() -> dict[str, str]:
         "WHERE payload IS NOT NULL AND payload <> '' AND NOT regexp_matches(payload, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')")
     sql["topic_block"] = f"WITH {rules} SELECT request_id, topic_reason IS NOT NULL AS blocked, topic_reason AS reason FROM verdict"
     sql["input_verdicts"] = f"WITH {rules} SELECT request_id, tenant_id, blocked, guardrail, reason FROM verdict"
+    strangers = MSG.replace("'t' || (conv_id % 4)", "'stranger' || (conv_id % 3)")
+    sql["input_verdicts_unlisted"] = (f"WITH {strangers}, {input_rules('mt', 'blocks')} "
+                                      "SELECT request_id, tenant_id, blocked, guardrail, reason FROM verdict")
+    sql["normalized_text"] = f"WITH {MSG} SELECT request_id, msg_idx, {normalised('text')} AS text FROM mt"
     sql["output_max_length"] = ("SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'Response exceeds max length (' || length(text) || ' > 300 chars)' END "
                                 "AS reason FROM conversations")
     body = ("CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN props || ' tail' WHEN 2 THEN '{\"k\": \"' || event_type || '\"}' WHEN 3 THEN '[' || props || ']' "
@@ -349,8 +353,11 @@ def oracle_queries() -> dict[str, str]:
     sql["output_json_schema"] = f"WITH b AS (SELECT event_id, {body} AS body FROM events) SELECT event_id, {rule} AS reason FROM b"
     sql["toxicity_wordlist"] = f"WITH {MSG} SELECT request_id, msg_idx, {WORDS} AS toxic FROM mt"
     labels = "FROM documents d LEFT JOIN labels l USING (doc_id)"
-    sql["toxicity_labels"] = f"SELECT d.doc_id AS request_id, {BY_FLAGS} AS reason {labels}"
-    sql["toxicity_threshold"] = f"SELECT d.doc_id AS request_id, {BY_SCORE} AS reason {labels}"
+    spoken = "doc_id % 5 <> 0 AND text <> ''"
+    sql["toxicity_labels"] = f"SELECT d.doc_id AS request_id, CASE WHEN {spoken} THEN {BY_FLAGS} END AS reason {labels}"
+    tie = f"({ds.TIES}::DOUBLE[])[doc_id % {len(ds.TIES)} + 1]"
+    sql["toxicity_threshold"] = (f"SELECT d.doc_id AS request_id, CASE WHEN {spoken} AND {MODEL_SCORE} IS NOT NULL AND {tie} >= 0.1 THEN "
+                                 f"'Content flagged as toxic (score: ' || printf('%.2f', {tie}) || ', threshold: 0.1)' END AS reason {labels}")
     reply_tokens = ["[PII_EMAIL_1]", "[PII_EMAIL_2]", "[PII_EMAIL_9]"]
     replies = f"{ALL_VAULT}, {RESP}, r2 AS ({restored('r1', 'request_id, tenant_id, choice_idx', reply_tokens)})"
     sql["restored_responses"] = f"WITH {replies} SELECT request_id, choice_idx, text FROM r2"
@@ -458,15 +465,18 @@ f AS (SELECT *, 0 AS rank FROM lc UNION ALL SELECT *, 1 FROM wc UNION ALL SELECT
 v AS (SELECT stream_id, arg_min(seq, seq * 2 + rank) AS seq, arg_min(rank, seq * 2 + rank) AS rank, arg_min(reason, seq * 2 + rank) AS reason FROM f GROUP BY 1)
 SELECT c.stream_id, c.tenant_id, CASE WHEN v.seq IS NOT NULL THEN 'output_blocked' WHEN c.stream_id % 7 <> 0 THEN 'passed' END AS outcome,
   CASE v.rank WHEN 0 THEN 'output_validator' WHEN 1 THEN 'toxicity' END AS guardrail, v.reason, v.seq AS cut_seq FROM ct c LEFT JOIN v USING (stream_id)"""
+    sql["delivered_rows"] = sql["stream_outcome"].replace("SELECT c.stream_id, c.tenant_id, CASE", "z AS (SELECT c.stream_id, c.tenant_id, CASE").rstrip() + """)
+SELECT cs.stream_id, cs.seq, cs.delta FROM cs JOIN z USING (stream_id) WHERE z.cut_seq IS NULL OR cs.seq < z.cut_seq"""
+    sql["delivered_rows"] = sql["delivered_rows"].replace("\nz AS", ",\nz AS")
     partial = lit(fv.PARTIAL_TOKEN_PATTERN + r"\n?\z")
-    emit = f"total - length(regexp_extract(right(left(text, total), 64), {partial}))"
-    back = "replace(x, '[PII_EMAIL_1]', 'user' || stream_id || '@example.com')"
+    emit = f"total - CASE WHEN stream_id % 3 = 0 THEN 0 ELSE length(regexp_extract(right(left(text, total), 64), {partial})) END"
+    back = "CASE WHEN stream_id % 3 = 0 THEN x ELSE replace(x, '[PII_EMAIL_1]', 'user' || stream_id || '@example.com') END"
     released = f"""{CHUNKS}, e AS (SELECT *, {emit} AS upto FROM cs), p AS (SELECT *, coalesce(lag(upto) OVER w, 0) AS since, lead(seq) OVER w IS NULL AS final FROM e
     WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
-d AS (SELECT stream_id, seq, substr(text, since + 1, upto - since) AS x, CASE WHEN final THEN substr(text, upto + 1) ELSE '' END AS y FROM p),
-rs AS (SELECT stream_id, seq, {back} AS delta, {back.replace('(x,', '(y,')} AS flushed FROM d)"""
+d AS (SELECT stream_id, seq, substr(text, since + 1, upto - since) AS x, CASE WHEN final AND stream_id % 11 <> 0 THEN substr(text, upto + 1) ELSE '' END AS y FROM p),
+rs AS (SELECT stream_id, seq, {back} AS delta, {back.replace('THEN x', 'THEN y').replace('(x,', '(y,')} AS flushed FROM d)"""
     sql["stream_restore"] = f"WITH {released} SELECT * FROM rs WHERE delta <> '' OR flushed <> ''"
-    sql["stream_restored_text"] = (f"WITH {released} SELECT stream_id, CAST(sum(length(delta || flushed)) AS BIGINT) AS chars, "
+    sql["stream_restored_text"] = (f"WITH {released} SELECT stream_id, CAST(sum(length(delta || flushed)) AS BIGINT) AS chars, md5(string_agg(delta || flushed, '' ORDER BY seq)) AS text_md5, "
                                    "count(*) FILTER (WHERE contains(delta || flushed, '@example.com')) AS restored FROM rs GROUP BY 1")
     sql["sse_openai"] = f"""WITH {CHUNKS} SELECT stream_id, seq, delta, FALSE AS closes, FALSE AS finished FROM cs
 UNION ALL SELECT stream_id, 1000000000, '', TRUE, TRUE FROM ct WHERE stream_id % 7 <> 0"""

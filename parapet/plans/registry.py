@@ -54,7 +54,7 @@ def bearer_token(spark, sf):
 
 
 def message_preview(spark, sf):
-    return al.previews(ds.messages(spark, sf), 120)
+    return al.previews(ds.messages(spark, sf), 200)
 
 
 def normalized_text(spark, sf):
@@ -114,7 +114,7 @@ def pii_vault(spark, sf):
 def pii_restore(spark, sf):
     d = ds.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("request_id"), F.col("turn").alias("msg_idx"),
-        F.concat(F.left("text", F.lit(40)), F.lit(" [PII_EMAIL_1] [PII_EMAIL_2] [PII_EMAIL_3] [PII_PHONE_1] [PII_X_1]")).alias("text"))
+        F.concat("text", F.lit(" [PII_EMAIL_1] [PII_EMAIL_2] [PII_EMAIL_3] [PII_PHONE_1] [PII_X_1]")).alias("text"))
     return pii_ops.restore_texts(d, _tokenized(spark, sf).vault, ["request_id", "msg_idx"])
 
 
@@ -175,10 +175,14 @@ def toxicity_wordlist(spark, sf):
 
 
 def _moderated(spark, sf, provider):
-    d = ds.table(spark, sf, "documents").select(F.col("doc_id").alias("request_id"), F.lit("x").alias("text")).join(
+    text = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text"))
+    d = ds.table(spark, sf, "documents").select(F.col("doc_id").alias("request_id"), text.alias("text")).join(
         ds.moderation(spark, sf), "request_id", "left")
+    # scores near ties of the second decimal
+    score = F.when(F.col("score").isNotNull(), ds.pick(ds.TIES, F.col("request_id") % len(ds.TIES)))
+    d = d.withColumn("score", score)
     return d.select("request_id", checks.toxicity_error(
-        F.col("text"), F.lit(provider), F.lit(True), F.lit(0.5), F.col("flagged"), F.col("categories"),
+        F.col("text"), F.lit(provider), F.lit(True), F.lit(0.1), F.col("flagged"), F.col("categories"),
         F.col("score")).alias("reason"))
 
 
@@ -207,6 +211,19 @@ def input_verdicts(spark, sf):
         "request_id", "tenant_id", "blocked", "guardrail", "reason")
 
 
+def input_verdicts_unlisted(spark, sf):
+    """Tenants outside the policy table follow the default tenant's policy."""
+    d = ds.messages(spark, sf).withColumn("tenant_id", F.concat(F.lit("stranger"), F.col("request_id") % 3))
+    return verdicts.input_verdicts(d, ds.policies(spark)).select("request_id", "tenant_id", "blocked", "guardrail", "reason")
+
+
+def delivered_rows(spark, sf):
+    """What clients of cut streams received."""
+    d = ds.chunks(spark, sf)
+    return chunks.delivered(d, chunks.stream_outcomes(d, ds.policies(spark), _scores(spark, sf))).where(
+        ~F.col("closes")).select("stream_id", "seq", "delta")
+
+
 def forwarded_messages(spark, sf):
     d = cascade.check_inputs(ds.messages(spark, sf), ds.policies(spark)).messages
     return d.select("request_id", "msg_idx", text.message_text(F.col("content")).alias("text"))
@@ -397,16 +414,22 @@ def stream_outcome(spark, sf):
     return chunks.stream_outcomes(ds.chunks(spark, sf), ds.policies(spark), _scores(spark, sf))
 
 
+def _restored(spark, sf):
+    d = ds.chunks(spark, sf).withColumn("closes", F.col("closes") & (F.col("stream_id") % 11 != 0))
+    return chunks.restore_stream(d, ds.stream_vault(spark, sf))
+
+
 def stream_restore(spark, sf):
-    d = chunks.restore_stream(ds.chunks(spark, sf), ds.stream_vault(spark, sf))
+    d = _restored(spark, sf)
     return d.where((F.col("delta") != "") | (F.col("flushed") != ""))
 
 
 def stream_restored_text(spark, sf):
     """Whole text of each restored stream, as length and hash."""
-    d = chunks.restore_stream(ds.chunks(spark, sf), ds.stream_vault(spark, sf))
+    d = _restored(spark, sf)
     piece = F.concat("delta", "flushed")
-    return d.groupBy("stream_id").agg(F.sum(F.length(piece)).alias("chars"),
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", piece.alias("t")))), lambda x: x["t"]), "")
+    return d.groupBy("stream_id").agg(F.sum(F.length(piece)).alias("chars"), F.md5(whole).alias("text_md5"),
                                       F.count_if(F.contains(piece, F.lit("@example.com"))).alias("restored"))
 
 
@@ -453,11 +476,11 @@ QUERIES = {f.__name__: f for f in (
     pii_spans, pii_cards, pii_redact, pii_redact_some, pii_block, pii_profile, pii_tokenize, pii_vault, pii_restore,
     injection_score, injection_documents, injection_block, injection_profile, base64_payloads, topic_block,
     output_max_length, output_json_schema, toxicity_wordlist, toxicity_labels, toxicity_threshold,
-    output_verdicts, restored_responses, input_verdicts, forwarded_messages, request_outcomes, guardrail_report,
+    output_verdicts, restored_responses, input_verdicts, input_verdicts_unlisted, forwarded_messages, request_outcomes, guardrail_report,
     alerts, signed_alerts, resolve_tenant, resolve_tenant_open, policy_resolved, requests_from_json, responses_from_json,
     audit_stats, top_block_reasons, token_metrics_by_api, token_metrics, token_metrics_rollup, monthly_usage,
     recent_audit, account_usage, audit_by_minute, tenant_sessions,
     rate_limit_decisions, rate_limit_status, request_rate, monthly_cap,
-    stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, stream_restore,
+    stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, delivered_rows, stream_restore,
     stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}
 

@@ -57,8 +57,10 @@ def _advance(key, batches, state):
         else:
             vault = {e["key"]: e["value"] for e in r.vault} if r.vault is not None else {}
             ready = held + (r.delta or "")
-            tail = _PARTIAL.search(ready[-LONGEST_TOKEN:])
-            keep = 0 if r.closes else (len(tail.group()) if tail else 0)
+            longest = max([LONGEST_TOKEN, *map(len, vault)])
+            tail = _PARTIAL.search(ready[-longest:])
+            # without tokens there is nothing to wait for
+            keep = 0 if r.closes or not vault else (len(tail.group()) if tail else 0)
             text, held = ready[:len(ready) - keep], ready[len(ready) - keep:]
             text = _TOKEN.sub(lambda m: vault.get(m.group(), m.group()), text)
             if r.finished:
