@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parapet import fixed_values as fv
-from parapet.functions import patterns
+from parapet.functions import numbers, patterns
 
 TYPES = list(fv.PII_PATTERNS)
 SPAN_ARRAY = "array<struct<s:int,e:int,ptype:string,value:string>>"
@@ -125,12 +125,11 @@ def block_reason(types: Column) -> Column:
 
 
 def token_literals(text: Column) -> Column:
-    """Token-shaped strings of a text as (ptype, n)."""
+    """Token-shaped strings of a text as (ptype, n), n as in ``functions.numbers``."""
     whole = F.regexp_extract_all(text, F.lit(patterns.exact(fv.TOKEN_PATTERN)), F.lit(0))
     return F.transform(whole, lambda t: F.struct(
         F.lower(F.regexp_extract(t, patterns.exact(fv.TOKEN_PATTERN), 1)).alias("ptype"),
-        F.regexp_extract(t, patterns.exact(fv.TOKEN_PATTERN), 2)
-        .try_cast("decimal(38,0)").alias("n")))
+        numbers.from_digits(F.regexp_extract(t, patterns.exact(fv.TOKEN_PATTERN), 2)).alias("n")))
 
 
 def text_tokens(text: Column) -> Column:

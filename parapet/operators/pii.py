@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.functions import pii
+from parapet.functions import numbers, pii
 from parapet.operators.folds import written
 from parapet.operators.scan import running
 
@@ -39,11 +39,11 @@ def _numbered(events: DataFrame) -> DataFrame:
     keys, order = ["request_id", "ptype"], ["msg_idx", "block_idx", "s", "n"]
     # one text is one row, so a range of messages is a bounded block
     block = F.floor(F.col("msg_idx") / 64)
-    d = running(events, keys, order, block, sums={"k": F.col("is_value").cast("decimal(38,0)")})
-    lift = F.when(~F.col("is_value"), F.col("n") - F.col("k"))
+    d = running(events, keys, order, block, sums={"k": F.col("is_value").cast("bigint")})
+    lift = F.when(~F.col("is_value"), numbers.plus(F.col("n"), -F.col("k")))
     d = running(d, keys, order, block, maxes={"lift": lift})
     return d.where("is_value").withColumn(
-        "number", F.col("k") + F.greatest(F.coalesce("lift", F.lit(0)), F.lit(0)))
+        "number", numbers.plus(F.coalesce("lift", numbers.zero()), F.col("k")))
 
 
 def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
@@ -62,7 +62,7 @@ def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
     found = marks.select(*TEXT_KEYS, F.explode("spans").alias("x")).select(*TEXT_KEYS, "x.*")
     at = F.struct("msg_idx", "block_idx", "s")
     firsts = found.groupBy("request_id", "ptype", "value").agg(F.min(at).alias("at")).select(
-        "request_id", "ptype", "value", "at.*", F.lit(None).cast("decimal(38,0)").alias("n"),
+        "request_id", "ptype", "value", "at.*", F.lit(None).cast(numbers.KIND).alias("n"),
         F.lit(True).alias("is_value"))
     if safe_reserve:
         every = texts.where(F.contains("text", F.lit("[PII_"))).select(
@@ -75,9 +75,9 @@ def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
         F.col("msg_idx").cast(texts.schema["msg_idx"].dataType).alias("msg_idx"),
         F.col("block_idx").cast(texts.schema["block_idx"].dataType).alias("block_idx"),
         F.lit(-1).alias("s"), F.col("t.n").alias("n"), F.lit(False).alias("is_value")).where(F.col("n").isNotNull())
-    numbers = _numbered(firsts.unionByName(literals))
-    vault = numbers.select(
-        "request_id", F.concat(F.lit("[PII_"), F.upper("ptype"), F.lit("_"), F.col("number").cast("string"),
+    numbered = _numbered(firsts.unionByName(literals))
+    vault = numbered.select(
+        "request_id", F.concat(F.lit("[PII_"), F.upper("ptype"), F.lit("_"), numbers.to_string(F.col("number")),
                                F.lit("]")).alias("token"), "ptype", "value")
     # per text: at most as many tokens as the text has matches
     tokens = found.join(vault, ["request_id", "ptype", "value"]).groupBy(*TEXT_KEYS).agg(

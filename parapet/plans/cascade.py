@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.functions import checks, injection, pii
+from parapet.functions import checks, injection, numbers, pii
 from parapet.functions.text import map_text
 from parapet.operators import limits as lim
 from parapet.operators.folds import written
@@ -115,9 +115,9 @@ def _text_vault(text: Column, spans: Column) -> Column:
     def token(p: Column) -> Column:
         same = F.filter(pairs, lambda q: q["ptype"] == p["ptype"])
         floor = F.coalesce(F.array_max(F.transform(
-            F.filter(taken, lambda t: t["ptype"] == p["ptype"]), lambda t: t["n"])), F.lit(0))
-        number = floor + F.array_position(same, p)
-        return F.concat(F.lit("[PII_"), F.upper(p["ptype"]), F.lit("_"), number.cast("string"), F.lit("]"))
+            F.filter(taken, lambda t: t["ptype"] == p["ptype"]), lambda t: t["n"])), numbers.zero())
+        number = numbers.plus(floor, F.array_position(same, p))
+        return F.concat(F.lit("[PII_"), F.upper(p["ptype"]), F.lit("_"), numbers.to_string(number), F.lit("]"))
 
     return F.transform(pairs, lambda p: F.struct(p["ptype"].alias("ptype"), p["value"].alias("value"), token(p).alias("token")))
 
