@@ -405,6 +405,44 @@ FROM fin WHERE outcome IS NOT NULL"""
     alert = (f"WITH {AUDIT} SELECT id AS request_id, outcome AS event, 't' || (id % 4) AS tenant_id, api, 'https://hooks.example.com/t' || (id % 4) AS url, "
              "reason, tenant_id AS preview FROM log WHERE (id % 4 = 0 AND outcome IN ('input_blocked', 'rate_limited')) OR (id % 4 = 1 AND outcome <> 'passed')")
     sql["alerts"] = alert
+    pad = b"secret".ljust(64, b"\0")
+    inner, outer = (bytes(b ^ mask for b in pad).hex() for mask in (0x36, 0x5C))
+    digits = "rtrim(substr(tick, 2), '0')"
+    sql["signed_alerts"] = f"""{alert.replace(" SELECT id AS request_id", ", a AS (SELECT CAST(epoch_us(ts) AS VARCHAR) AS tick, id AS request_id", 1)}),
+p AS (SELECT request_id, '{{"event":"' || event || '","tenant_id":"' || tenant_id || '","api":"' || api || '","guardrail":null,"reason":"' || reason
+    || '","timestamp":' || left(tick, 1) || '.' || CASE WHEN {digits} = '' THEN '0' ELSE {digits} END || 'E9,"message_preview":"' || preview || '"}}' AS payload FROM a)
+SELECT request_id, payload, 'sha256=' || sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode(payload)))) AS signature FROM p"""
+    token = lit(r"\[PII_([A-Z_]+)_(\d+)\]")
+    of = "request_id, msg_idx"
+
+    def topic_of(names: list[str]) -> str:
+        return "CASE " + " ".join(f"WHEN {rx('i.text', rf'\b{t}\b', 'i')} THEN {lit(t)}" for t in names) + " END"
+    names = [t.lower() for t in ds.TOPICS]
+    sql["guardrail_report"] = f"""WITH {MSG}, {scored('mt', of)}, {spans('mt', of, "(tenant_id <> 't1' OR ptype IN ('email', 'ssn'))", 'gs')},
+gf AS (SELECT {of}, ptype, value, min(s) AS spot FROM gs GROUP BY ALL),
+gl AS (SELECT {of}, lower(regexp_extract(t, {token}, 1)) AS ptype, max(CAST(regexp_extract(t, {token}, 2) AS BIGINT)) AS n
+    FROM (SELECT {of}, unnest(regexp_extract_all(text, {token})) AS t FROM mt) GROUP BY 1, 2, 3),
+gv AS (SELECT f.*, '[PII_' || upper(ptype) || '_' || (coalesce(n, 0) + row_number() OVER (PARTITION BY {of}, ptype ORDER BY spot)) || ']' AS token
+    FROM gf f LEFT JOIN gl USING ({of}, ptype)),
+glab AS (SELECT s.*, CASE WHEN m.tenant_id = 't0' THEN v.token ELSE {PLACEHOLDER} END AS label
+    FROM gs s JOIN mt m USING ({of}) JOIN gv v USING ({of}, ptype, value) WHERE m.tenant_id <> 't1'),
+{replaced('mt', of, 'glab', 'label', 'san')},
+has AS (SELECT {of}, string_agg(DISTINCT ptype, ', ' ORDER BY ptype) AS types FROM gs GROUP BY 1, 2),
+z AS (SELECT i.request_id, i.msg_idx, i.tenant_id, n.text AS sanitized, h.types,
+    CASE WHEN (i.tenant_id = 't2' AND score >= 0.5) OR (i.tenant_id NOT IN ('t1', 't2') AND score >= 1.0) THEN 'Prompt injection attempt detected (' || reasons || ')' END AS inj,
+    'Request mentions blocked topic: ''' || CASE i.tenant_id WHEN 't1' THEN {topic_of(names)} WHEN 't2' THEN {topic_of(names[1:])} END || '''' AS top
+  FROM inj i JOIN san n USING ({of}) LEFT JOIN has h USING ({of})),
+y AS (SELECT *, inj IS NOT NULL OR top IS NOT NULL OR (tenant_id = 't1' AND types IS NOT NULL) AS blocked FROM z)
+SELECT request_id * 100 + msg_idx AS request_id, sanitized, CASE WHEN blocked THEN 'blocked' WHEN types IS NOT NULL THEN 'redacted' ELSE 'passed' END AS overall,
+  array_to_string(list_filter([
+    CASE WHEN tenant_id <> 't1' THEN concat_ws('|', 'Prompt Injection', CASE WHEN inj IS NULL THEN 'passed' ELSE 'blocked' END, inj) END,
+    CASE WHEN tenant_id IN ('t1', 't2') THEN concat_ws('|', 'Topic Filter', CASE WHEN top IS NULL THEN 'passed' ELSE 'blocked' END, top) END,
+    CASE WHEN types IS NULL THEN 'PII Detection|passed' WHEN tenant_id = 't1' THEN 'PII Detection|blocked|Request contains PII: ' || types
+      WHEN tenant_id = 't0' THEN 'PII Detection|redacted|PII replaced with reversible tokens (restored in the response)'
+      ELSE 'PII Detection|redacted|PII found and redacted' END], lambda x: x IS NOT NULL), ';') AS checks,
+  CASE WHEN NOT blocked THEN 'Sent to ' || coalesce((SELECT value FROM gv v WHERE y.tenant_id = 't0' AND v.request_id = y.request_id AND v.msg_idx = y.msg_idx AND token = '[PII_EMAIL_1]'), '[PII_EMAIL_1]')
+    || ' and ' || coalesce((SELECT value FROM gv v WHERE y.tenant_id = 't0' AND v.request_id = y.request_id AND v.msg_idx = y.msg_idx AND token = '[PII_EMAIL_2]'), '[PII_EMAIL_2]') END AS response
+FROM y"""
     every = "email,phone,ssn,credit_card"
     events = ",".join(fv.DEFAULT_ALERT_EVENTS)
     sql["policy_resolved"] = f"""WITH p(tenant_id, pii_action, pii_types, injection, threshold, topics, max_length, provider, limited, rpm, events) AS (VALUES
