@@ -516,6 +516,15 @@ rs AS (SELECT stream_id, seq, {back} AS delta, {back.replace('THEN x', 'THEN y')
     sql["stream_restore"] = f"WITH {released} SELECT * FROM rs WHERE delta <> '' OR flushed <> ''"
     sql["stream_restored_text"] = (f"WITH {released} SELECT stream_id, CAST(sum(length(delta || flushed)) AS BIGINT) AS chars, md5(string_agg(delta || flushed, '' ORDER BY seq)) AS text_md5, "
                                    "count(*) FILTER (WHERE contains(delta || flushed, '@example.com')) AS restored FROM rs GROUP BY 1")
+    sql["rate_limit_live"], sql["audit_rollup_live"] = sql["rate_limit_decisions"], sql["audit_by_minute"]
+    sql["stream_guard_live"] = f"""WITH {released.replace("AND stream_id % 11 <> 0 ", "")}, {LENGTH_CUT}, {WORD_CUT},
+f AS (SELECT *, 0 AS rank FROM lc UNION ALL SELECT *, 1 FROM wc),
+v AS (SELECT stream_id, min(seq) AS cut, arg_min(rank, seq * 2 + rank) AS rank, arg_min(reason, seq * 2 + rank) AS reason FROM f GROUP BY 1),
+g AS (SELECT rs.stream_id, string_agg(delta || flushed, '' ORDER BY rs.seq) AS t FROM rs LEFT JOIN v USING (stream_id) WHERE cut IS NULL OR rs.seq < cut GROUP BY 1)
+SELECT c.stream_id, CAST(length(coalesce(t, '')) AS BIGINT) AS chars, md5(coalesce(t, '')) AS text_md5,
+  CASE WHEN cut IS NOT NULL THEN 'output_blocked' WHEN c.stream_id % 7 <> 0 THEN 'passed' END AS outcome,
+  CASE rank WHEN 0 THEN 'output_validator' WHEN 1 THEN 'toxicity' END AS guardrail, v.reason
+FROM ct c LEFT JOIN v USING (stream_id) LEFT JOIN g USING (stream_id)"""
     sql["sse_openai"] = f"""WITH {CHUNKS} SELECT stream_id, seq, delta, FALSE AS closes, FALSE AS finished FROM cs
 UNION ALL SELECT stream_id, 1000000000, '', TRUE, TRUE FROM ct WHERE stream_id % 7 <> 0"""
     sql["sse_anthropic"] = f"""WITH {CHUNKS} SELECT stream_id, seq * 3 + 1 AS seq, delta, FALSE AS closes, FALSE AS finished FROM cs

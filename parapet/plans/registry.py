@@ -17,6 +17,8 @@ from parapet.plans import cascade
 from parapet.plans import datasets as ds
 from parapet.sources import sse, traffic
 from parapet.sources.local import local_table
+from parapet.storage import new_path, remove
+from parapet.streaming import guard, limiter, rollup
 
 AS_OF = "2024-01-20 00:00:00"
 
@@ -456,6 +458,44 @@ def sse_anthropic(spark, sf):
     return sse.anthropic_deltas(_lines(spark, sf, "b"))
 
 
+# --- live jobs, run to the end of what there is -------------------------------------------
+
+def _live(frame, build):
+    """Result of a streaming job over the frame's rows as files in the shared folder."""
+    spark = frame.sparkSession
+    source, sink, at = (new_path(spark, name) for name in ("live-in", "live-out", "live-state"))
+    frame.write.parquet(source)
+    job = build(spark.readStream.schema(frame.schema).parquet(source))
+    (job.writeStream.format("parquet").option("path", sink).option("checkpointLocation", at)
+     .trigger(availableNow=True).start().awaitTermination())
+    remove(spark, source, at)
+    return spark.read.schema(job.schema).parquet(sink)
+
+
+def rate_limit_live(spark, sf):
+    d = _live(ds.traffic(spark, sf), lambda s: limiter.rate_limit_stream(s, ds.limits(spark)))
+    return d.select(F.col("request_id").cast("long").alias("request_id"), "tenant_id", "limited", "reason", "retry_after")
+
+
+def audit_rollup_live(spark, sf):
+    log = ds.audit_log(spark, sf).select("ts", "tenant_id", "outcome")
+    # a row far ahead in time closes every window
+    last = log.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("end").alias("tenant_id"), F.lit("end").alias("outcome"))
+    d = _live(log.unionByName(last), rollup.audit_rollup).where("tenant_id <> 'end'")
+    return d.select(micros("minute"), "tenant_id", "outcome", "requests")
+
+
+def stream_guard_live(spark, sf):
+    """Per stream: what came through, as length and hash, and how it ended."""
+    d = ds.chunks(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.least("seq", F.lit(100000))))
+    vault = ds.stream_vault(spark, sf).select(F.col("request_id").alias("stream_id"), F.create_map("token", "value").alias("vault"))
+    out = _live(d, lambda s: guard.guard_stream(s, ds.policies(spark), vault))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(
+        F.sum(F.length("text")).alias("chars"), F.md5(whole).alias("text_md5"), F.max("outcome").alias("outcome"),
+        F.max("guardrail").alias("guardrail"), F.max("reason").alias("reason"))
+
+
 # --- plans ---------------------------------------------------------------------------------
 
 def _history(spark, sf):
@@ -482,5 +522,5 @@ QUERIES = {f.__name__: f for f in (
     recent_audit, account_usage, audit_by_minute, tenant_sessions,
     rate_limit_decisions, rate_limit_status, request_rate, monthly_cap,
     stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, delivered_rows, stream_restore,
-    stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}
+    rate_limit_live, audit_rollup_live, stream_guard_live, stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}
 
