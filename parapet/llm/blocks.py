@@ -61,7 +61,7 @@ def unpack(cell: bytes) -> list[bytes]:
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers with their bytes of equal weight side by side, which compresses well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
 def from_planes(data: bytes, kind) -> np.ndarray:

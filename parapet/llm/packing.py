@@ -14,6 +14,7 @@ clash with the results are replaced.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ END = 1
 GROUP = 8192
 #: words of at most so many bytes, and so many of them, are remembered by a task
 WORD_BYTES, WORDS_KEPT = 48, 800_000
+LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 #: punctuation that may be cut off a word's end, and ends before which it may
 TAIL, STEM_END = b".,!?;:%$&*#|", frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
 VOCABULARY = "word_bpe_49k.json"
@@ -66,7 +68,7 @@ class Ids:
                 return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
         return [self._ids(t).tobytes() for t in texts]
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[bytes]]) -> None:
         """Look up the short words of several texts at once.
 
         A-Z may be lower-cased first, as the vocabulary does itself; and a word that ends
@@ -75,9 +77,11 @@ class Ids:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        new = {w for t in texts for w in t.encode().split() if len(w) <= WORD_BYTES} - known.keys()
+        new = set().union(*texts) - known.keys()
         made, wanted = [], set()
         for w in new:
+            if len(w) > WORD_BYTES:
+                continue
             core = w if b"<|" in w else w.translate(LOWER)
             stem = core.rstrip(TAIL)
             if stem and len(stem) < len(core) and stem[-1:] in STEM_END:
@@ -87,15 +91,24 @@ class Ids:
             else:
                 made.append((w, core, b""))
                 wanted.add(core)
-        wanted = list(wanted - known.keys())
-        for lo in range(0, len(wanted), 20_000):
-            known.update(zip(wanted[lo:lo + 20_000], self._encode(wanted[lo:lo + 20_000])))
+        rest = []
+        for w in wanted - known.keys():
+            if w.translate(None, LETTERS):
+                rest.append(w)
+            else:
+                known[w] = self._letters(w)
+        for lo in range(0, len(rest), 20_000):
+            known.update(zip(rest[lo:lo + 20_000], self._encode(rest[lo:lo + 20_000])))
         known[b""] = b""
         for w, stem, tail in made:
             known[w] = known[stem] + known[tail]
 
-    def of(self, text: str) -> bytes:
-        words = text.encode().split()
+    def _letters(self, word: bytes) -> bytes:
+        """Ids of a-z alone: one piece that normalising and splitting leave as it is."""
+        found = self.tokenizer.model.tokenize(word.decode())
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def of(self, words: list[bytes]) -> bytes:
         known = self.known
         try:
             return b"".join([known[w] for w in words])
@@ -129,7 +142,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
         ids = kept.get(path) or kept.setdefault(path, Ids(path))
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                keys, texts = batch.iloc[lo:lo + 500, 0], [t or "" for t in batch.iloc[lo:lo + 500, 1]]
+                keys, texts = batch.iloc[lo:lo + 500, 0], [(t or "").encode().split() for t in batch.iloc[lo:lo + 500, 1]]
                 ids.learn(texts)
                 out = []
                 for key, text in zip(keys, texts):
