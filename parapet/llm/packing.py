@@ -14,6 +14,7 @@ clash with the results are replaced.
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ END = 1
 #: pieces in a group: what one task packs at once
 GROUP = 8192
 #: words of at most so many bytes, and so many of them, are remembered by a task
-WORD_BYTES, WORDS_KEPT = 48, 800_000
+WORD_BYTES, WORDS_KEPT = 48, 1_600_000
 LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 #: punctuation that may be cut off a word's end, and ends before which it may
 TAIL, STEM_END = b".,!?;:%$&*#|", frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -77,7 +78,18 @@ class Ids:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        new = set().union(*texts) - known.keys()
+        # nothing here is circular, and looking for cycles among so many small objects costs more than the work
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, texts: list[list[bytes]]) -> None:
+        known = self.known
+        new = [w for w in set().union(*texts) if w not in known]
         made, wanted = [], set()
         for w in new:
             if len(w) > WORD_BYTES:
@@ -92,7 +104,9 @@ class Ids:
                 made.append((w, core, b""))
                 wanted.add(core)
         rest = []
-        for w in wanted - known.keys():
+        for w in wanted:
+            if w in known:
+                continue
             if w.translate(None, LETTERS):
                 rest.append(w)
             else:
