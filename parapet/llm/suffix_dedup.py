@@ -36,6 +36,8 @@ STRETCH = 1 << 20
 #: depth to which multikey quicksort goes
 SHALLOW = 32
 SHARD_BYTES = 16 << 20
+#: segments of one anchor that are compared pair by pair
+FEW = 40
 REPEATED, DIFFERS, SENDER = 1, 2, 4
 _MIX = np.random.default_rng(200).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -279,24 +281,53 @@ def repeated_strings(lefts: list[bytes], rights: list[bytes], length: int) -> li
             continue
         own = order[lo:hi]
         back, back_lcp = sorted_with_lcp([lefts[i][::-1] for i in own])
-        back, back_lcp = np.array(back), np.array(back_lcp)
         left = np.array([len(lefts[i]) for i in own])
-        right = np.array([len(rights[i]) for i in own])
-        hits = [[] for _ in own]
-        # a string that starts ``reach`` bytes before the anchor
-        for reach in range(max(0, length - int(right.max())), int(left.max()) + 1):
-            on_right = np.cumsum(np.append(True, lcp[lo + 1:hi] < length - reach))
-            on_left = np.empty(len(own), dtype=np.int64)
-            on_left[back] = np.cumsum(np.append(True, back_lcp[1:] < reach))
-            key = on_right * (len(own) + 1) + on_left
-            _, where, n = np.unique(key, return_inverse=True, return_counts=True)
-            for k in np.flatnonzero((n[where] > 1) & (left >= reach) & (right >= length - reach)).tolist():
-                hits[k].append(left[k] - reach)
+        if hi - lo <= FEW:
+            hits = pair_hits(lcp[lo:hi].tolist(), back, back_lcp, left.tolist(), length)
+        else:
+            right = np.array([len(rights[i]) for i in own])
+            hits = level_hits(lcp[lo:hi], np.array(back), np.array(back_lcp), left, right, length)
         for k, i in enumerate(own.tolist()):
             out[i] = np.array(sorted(hits[k]), dtype=np.int64)
     return out
 
 
+def ranges(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(i, j, common length) of all pairs in a short sorted list."""
+    for i in range(len(lcp)):
+        low = 1 << 30
+        for j in range(i + 1, len(lcp)):
+            low = min(low, lcp[j])
+            yield i, j, low
+
+
+def pair_hits(lcp: list[int], back: list[int], back_lcp: list[int], left: list[int], length: int) -> list[set]:
+    """Places of repeated strings in a few segments, pair by pair."""
+    hits = [set() for _ in lcp]
+    before = {}
+    for i, j, n in ranges(back_lcp):
+        before[back[i], back[j]] = before[back[j], back[i]] = n
+    for i, j, n in ranges(lcp):
+        for reach in range(max(0, length - n), before[i, j] + 1):
+            hits[i].add(left[i] - reach)
+            hits[j].add(left[j] - reach)
+    return hits
+
+
+def level_hits(lcp: np.ndarray, back: np.ndarray, back_lcp: np.ndarray, left: np.ndarray, right: np.ndarray,
+               length: int) -> list[list]:
+    """The same for many segments: for each reach before the anchor, those that agree on both sides."""
+    hits = [[] for _ in lcp]
+    for reach in range(max(0, length - int(right.max())), int(left.max()) + 1):
+        on_right = np.cumsum(np.append(True, lcp[1:] < length - reach))
+        on_left = np.empty(len(lcp), dtype=np.int64)
+        on_left[back] = np.cumsum(np.append(True, back_lcp[1:] < reach))
+        _, where, n = np.unique(on_right * (len(lcp) + 1) + on_left, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero((n[where] > 1) & (left >= reach) & (right >= length - reach)).tolist():
+            hits[k].append(left[k] - reach)
+    return hits
+
+
 # --- the job ---------------------------------------------------------------
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
