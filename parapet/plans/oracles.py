@@ -402,6 +402,9 @@ FROM fin WHERE outcome IS NOT NULL"""
     cascade_rules = f"{cascade_msg}, {req}, {input_rules('mt', 'blocks')}"
     sql["request_outcomes"] = f"WITH RECURSIVE {rewritten.replace('{rules}', cascade_rules).replace('{blocks}', 'blocks')}, {tail}"
 
+    sql["cascade_audit"] = f"""SELECT o.request_id AS id, o.tenant_id, o.outcome, o.reason, m.messages FROM ({sql["request_outcomes"]}) o
+LEFT JOIN (WITH {MSG} SELECT request_id, string_agg(role || ': ' || text, chr(10) ORDER BY msg_idx) AS messages FROM mt GROUP BY 1) m USING (request_id)
+WHERE o.api = 'openai' ORDER BY id DESC LIMIT 500"""
     alert = (f"WITH {AUDIT} SELECT id AS request_id, outcome AS event, 't' || (id % 4) AS tenant_id, api, 'https://hooks.example.com/t' || (id % 4) AS url, "
              "reason, tenant_id AS preview FROM log WHERE (id % 4 = 0 AND outcome IN ('input_blocked', 'rate_limited')) OR (id % 4 = 1 AND outcome <> 'passed')")
     sql["alerts"] = alert

@@ -242,6 +242,13 @@ def request_outcomes(spark, sf):
                                        "prompt_tokens", "completion_tokens")
 
 
+def cascade_audit(spark, sf):
+    """The cascade's own log, newest entries with their messages."""
+    log = audit.audit_entries(_outcomes(spark, sf), ds.messages(spark, sf))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return audit.recent_audit(log, 500, api="openai").select("id", "tenant_id", "outcome", "reason", said.alias("messages"))
+
+
 def guardrail_report(spark, sf):
     d = ds.messages(spark, sf).select(
         (F.col("request_id") * 100 + F.col("msg_idx")).alias("request_id"), "tenant_id",
@@ -516,7 +523,7 @@ QUERIES = {f.__name__: f for f in (
     pii_spans, pii_cards, pii_redact, pii_redact_some, pii_block, pii_profile, pii_tokenize, pii_vault, pii_restore,
     injection_score, injection_documents, injection_block, injection_profile, base64_payloads, topic_block,
     output_max_length, output_json_schema, toxicity_wordlist, toxicity_labels, toxicity_threshold,
-    output_verdicts, restored_responses, input_verdicts, input_verdicts_unlisted, forwarded_messages, request_outcomes, guardrail_report,
+    output_verdicts, restored_responses, input_verdicts, input_verdicts_unlisted, forwarded_messages, request_outcomes, cascade_audit, guardrail_report,
     alerts, signed_alerts, resolve_tenant, resolve_tenant_open, policy_resolved, requests_from_json, responses_from_json,
     audit_stats, top_block_reasons, token_metrics_by_api, token_metrics, token_metrics_rollup, monthly_usage,
     recent_audit, account_usage, audit_by_minute, tenant_sessions,

@@ -83,6 +83,8 @@ AUDIT_LOG = T.StructType([
     T.StructField("reason", T.StringType()),
     T.StructField("prompt_tokens", T.LongType()),
     T.StructField("completion_tokens", T.LongType()),
+    T.StructField("messages", T.ArrayType(T.StructType([
+        T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))),
 ])
 
 CHUNK = T.StructType([

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parapet.operators import audit, policy
 from parapet.operators.limits import rate_limit
 from parapet.operators.scan import lookup, running
+from tests.helpers import message_frame
 
 def at():
     return F.lit("2024-01-10 00:00:00").cast("timestamp")
@@ -86,3 +87,13 @@ def test_plans(spark, tmp_path):
     r = spark.createDataFrame([(1, "2024-01-01", "a")], "request_id long, ts string, tenant_id string").withColumn("ts", F.col("ts").cast("timestamp"))
     lim = spark.createDataFrame([("a", True, 1, 2)], "tenant_id string, enabled boolean, requests_per_minute int, requests_per_hour int")
     assert "NestedLoop" not in plan_of(rate_limit(r, lim))
+
+
+def test_audit_entries_hold_messages(spark):
+    m = message_frame(spark, [(1, "t", 1, "assistant", ["b"]), (1, "t", 0, "user", ["mail a@x.org"]), (2, "t", 0, "user", [None, "c"])])
+    o = spark.createDataFrame([(1, "passed"), (2, "passed"), (3, "rate_limited")], "request_id long, outcome string")
+    got = {r["id"]: r["messages"] for r in audit.audit_entries(o, m).collect()}
+    assert [tuple(x) for x in got[1]] == [("user", "mail a@x.org"), ("assistant", "b")]
+    assert [x["text"] for x in got[2]] == ["c"] and got[3] is None
+    clean = {r["id"]: r["messages"] for r in audit.audit_entries(o, m, redact=True).collect()}
+    assert clean[1][0]["text"] == "mail [REDACTED_EMAIL]"
