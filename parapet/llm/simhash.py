@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from parapet.llm.components import roots
 from parapet.llm.texts import placed, table, words
-from parapet.storage import written
+from parapet.storage import remove, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
 PARTS = 3
@@ -225,6 +225,7 @@ def links(classes: DataFrame, most: int = MOST, parts: int = PARTS, highest: int
 
 def near_groups(at: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """A frame from ``placed`` -> _id, fp, _file, _row and _keep, the row that stands for its component."""
+    spark = at.sparkSession
     rows = written(fingerprints(at.select(F.col(id_col).alias("_id"), "_file", "_row", F.col(text_col).alias("_text")),
                                 "_text"), "fingerprints")
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_file").alias("file"),
@@ -235,6 +236,7 @@ def near_groups(at: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         "fp", "_first", F.coalesce("root", "fp").alias("_root"))
     stands = member.groupBy("_root").agg(F.min("_first").alias("_keep"))
     whole = written(member.join(stands, "_root").select("fp", "_keep"), "class-components")
+    remove(spark, classes, found)
     return rows.join(whole, "fp")
 
 

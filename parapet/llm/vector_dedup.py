@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from parapet.llm.components import roots
 from parapet.llm.texts import table
-from parapet.storage import written
+from parapet.storage import remove, written
 
 LEAST_COSINE = 0.9
 TRAIN_PER_LIST, MOST_LISTS = 24, 16_384
@@ -251,6 +251,7 @@ def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str =
     names = member.groupBy("_root").agg(F.min("_least").alias("component_id"))
     whole = written(member.join(names, "_root").select(F.col("_v").alias("_u"), F.col("_h").alias("_g"), "n_links", "component_id"),
                     "vector-components")
+    remove(spark, coded, found, tops, member, classes)
     out = rows.join(whole, (F.col("_h") == F.col("_g")) & (F.col("_v") == F.col("_u")), "left")
     component = F.when(F.col("_u").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
