@@ -22,6 +22,17 @@ def may_hold_pii(text: Column) -> Column:
     return (F.instr(text, "@") > 0) | F.rlike(text, F.lit(DIGIT_RUN))
 
 
+def _groups(items: Column) -> Column:
+    """An array cut into consecutive groups of about the square root of its size.
+
+    Work that walks an array or a text from its start for every item is done per group
+    and then per item inside its group, so long texts with many matches stay cheap.
+    """
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, size))
+
+
 def _located(text: Column, pattern: Column, ptype: str) -> Column:
     """All left-to-right matches of one pattern with their offsets."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -35,9 +46,17 @@ def _located(text: Column, pattern: Column, ptype: str) -> Column:
                         F.lit(ptype).alias("ptype"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
-                       lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(groups: Column) -> Column:
+        ends = F.aggregate(groups, F.array(F.lit(0)), lambda at, g: F.concat(at, F.array(F.element_at(at, -1) + g["at"])))
+        return patterns.let(F.struct(groups.alias("g"), ends.alias("at")), lambda x: F.flatten(F.transform(
+            x["g"], lambda g, k: F.transform(g["out"], lambda h: F.struct(
+                (h["s"] + F.get(x["at"], k)).alias("s"), (h["e"] + F.get(x["at"], k)).alias("e"),
+                h["ptype"].alias("ptype"), h["value"].alias("value"))))))
+
+    pairs = patterns.let(F.struct(found.alias("f"), gaps.alias("g")), lambda x: F.zip_with(
+        x["f"], F.slice(x["g"], F.lit(1), F.size(x["f"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))))
+    local = patterns.let(pairs, lambda p: F.transform(_groups(p), lambda g: F.aggregate(g, start, step)))
+    return patterns.let(local, placed)
 
 
 def _gate(text: Column, ptype: str) -> Column:
@@ -73,26 +92,38 @@ def pii_spans(text: Column, types: Column | list[str] | None = None) -> Column:
 
 
 def _claim(pair: Column) -> Column:
+    """Claimed spans and those new ones that overlap none; both come in text order."""
     got = pair["got"]
-    free = F.filter(pair["new"], lambda h: ~F.exists(
-        got, lambda c: (c["s"] < h["e"]) & (h["s"] < c["e"])))
-    return F.concat(got, free)
 
+    def free(group: Column) -> Column:
+        lo, hi = F.element_at(group, 1)["s"], F.element_at(group, -1)["e"]
+        near = F.filter(got, lambda c: (c["s"] < hi) & (lo < c["e"]))
+        return patterns.let(near, lambda n: F.filter(group, lambda h: ~F.exists(
+            n, lambda c: (c["s"] < h["e"]) & (h["s"] < c["e"]))))
 
-def replace_spans(text: Column, spans: Column, replacement) -> Column:
-    """Rebuild a text with every span replaced by ``replacement(span)``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["s"] - acc["at"])
-        return F.struct(s["e"].alias("at"),
-                        F.concat(acc["out"], F.array(kept, replacement(s))).alias("out"))
+    fresh = F.when(F.size(got) > 0, F.flatten(F.transform(_groups(pair["new"]), free))).otherwise(pair["new"])
+    return F.concat(got, fresh)
 
-    def finish(acc: Column) -> Column:
-        tail = F.substr(text, acc["at"] + 1)
-        return F.array_join(F.concat(acc["out"], F.array(tail)), "")
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+def replace_spans(text: Column, spans: Column, replacement) -> Column:
+    """Rebuild a text with every span replaced by ``replacement(span)``."""
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def piece(part: Column, lo: Column, group: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substring(part, acc["at"] - lo + 1, s["s"] - acc["at"])
+            return F.struct(s["e"].alias("at"),
+                            F.concat(acc["out"], F.array(kept, replacement(s))).alias("out"))
+        return F.array_join(F.aggregate(group, start(lo), step)["out"], "")
+
+    def rebuilt(groups: Column) -> Column:
+        end = lambda g: F.element_at(g, -1)["e"]
+        pieces = F.transform(groups, lambda g, k: patterns.let(
+            F.coalesce(F.get(groups, k - 1)[F.size(F.get(groups, k - 1)) - 1]["e"], F.lit(0)), lambda lo: patterns.let(
+                F.substring(text, lo + 1, end(g) - lo), lambda part: piece(part, lo, g))))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, end(F.element_at(groups, -1)) + 1))
+
+    return F.when(F.size(spans) > 0, patterns.let(_groups(spans), rebuilt)).otherwise(text)
 
 
 def placeholder(span: Column) -> Column:

@@ -109,3 +109,18 @@ def test_restore(spark):
                                   "request_id long, msg_idx int, text string")
     got = {(r.request_id, r.msg_idx): r.text for r in ops.restore_texts(texts, vault, ["request_id", "msg_idx"]).collect()}
     assert got == {(1, 0): "to alice@example.com, not [PII_EMAIL_9]", (2, 0): "[PII_EMAIL_1]", (1, 1): "none", (1, 2): None}
+
+
+def test_many_matches_in_one_text(spark):
+    """Also beyond one group of matches, and with types that claim the same text."""
+    parts = [f"user{i}@example.com 555-867-{i % 10000:04d} 123-45-{i % 10000:04d} x555867{i % 10000:04d}@ex.org" for i in range(150)]
+    text = " ".join(parts)
+    d = spark.createDataFrame([(text,)], "text string")
+    got = d.select(pii.pii_spans(F.col("text")).alias("x"), pii.redact_pii(F.col("text")).alias("t")).first()
+    expected = model_spans(text)
+    assert [(x["s"], x["e"], x["ptype"], x["value"]) for x in got["x"]] == expected
+    out, at = [], 0
+    for s, e, ptype, _ in expected:
+        out += [text[at:s], fv.PII_PLACEHOLDERS[ptype]]
+        at = e
+    assert got["t"] == "".join(out) + text[at:]
