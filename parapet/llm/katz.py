@@ -35,7 +35,7 @@ from parapet.storage import remove, written
 
 #: counts above this one are not discounted
 TRUSTED = 5
-BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 4_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 2_000_000
 STRETCH = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 END = b""
@@ -291,7 +291,8 @@ def katz_scores(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_co
         return pd.DataFrame(out, columns=["kind", "block", "shard", "data", "stats"])
 
     answers = unigrams.where("kind = 'answer'").select("block", "shard", "data")
-    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_bigrams, "shard long, block long, data binary")
+    texts = blocks.drop("words")
+    sent = texts.drop("names").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_bigrams, "shard long, block long, data binary")
     bigrams = written(sent.groupBy("shard").applyInPandas(add_bigrams, answer), "bigrams", codec="uncompressed")
     two = Discount(summed(bigrams))
 
@@ -324,7 +325,7 @@ def katz_scores(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_co
 
     both = answers.withColumn("of", F.lit(1)).unionByName(
         bigrams.where("kind = 'answer'").select("block", "shard", "data", F.lit(2).alias("of")))
-    done = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
+    done = texts.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
         evaluate, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = written(done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out", "n_tokens", "n_known",
                               "train_tokens", "base_score", "score"), "scores")
