@@ -70,9 +70,13 @@ class Level:
     bits: np.ndarray
     size: int
     probes: int
+    salt: int = 0
 
     def place(self, h1: np.ndarray, h2: np.ndarray, probe: int) -> np.ndarray:
-        a, b = h1.view(np.uint64), h2.view(np.uint64) | np.uint64(1)
+        # each level mixes anew, else keys that collide once would collide in every small filter
+        a = h1.view(np.uint64) ^ np.uint64(self.salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        a = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        a, b = a ^ (a >> np.uint64(32)), h2.view(np.uint64) | np.uint64(1)
         return (a + np.uint64(probe) * b) % np.uint64(self.size)
 
     def passes(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -97,13 +101,13 @@ class Cascade:
         return out
 
 
-def bloom(keys: DataFrame, n: int, rate: float) -> Level:
+def bloom(keys: DataFrame, n: int, rate: float, salt: int = 0) -> Level:
     """A filter over the keys' h1 and h2; bits are set and merged by Spark."""
     probes = max(1, round(math.log2(1 / rate)))
     size = max(64, math.ceil(n * probes / math.log(2)))
     if size > MOST_BYTES * 8:
         raise ValueError(f"a filter of {size} bits is more than a task may hold; list fewer keys")
-    level = Level(np.zeros(size // 64 + 1, dtype=np.uint64), size, probes)
+    level = Level(np.zeros(size // 64 + 1, dtype=np.uint64), size, probes, salt)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -141,7 +145,7 @@ def cascade(universe: DataFrame, listed: DataFrame, n_universe: int) -> Cascade:
             n = own.count()
             if not n:
                 return Cascade(levels)
-            levels.append(bloom(own, n, 0.5))
+            levels.append(bloom(own, n, 0.5, len(levels)))
             if other == "inside":
                 inside = written(passing(inside, levels[-1]), "listed")
             else:
