@@ -57,12 +57,14 @@ POLICIES = {"tenants": {
 KEYS = {"keys": {f"key-{i}": {"name": f"app {i}", "tenant_id": f"t{i}", "enabled": i != 3} for i in range(4)}}
 LIMITS = [("click", True, 1, 3), ("view", True, 2, None), ("error", True, None, 4),
           ("purchase", True, 1, 1000), ("signup", False, 1, 1), ("login", True, 0, 5)]
-# Replies by conversation number modulo 6; null means the text of the second turn.
+# Replies by conversation number modulo 6; null means the turn's own text.
 REPLIES = [None, "Mail [PII_EMAIL_1], not [PII_EMAIL_9] but [PII_EMAIL_2]", '{"name":"a","age":1.0}', "Then go die",
            '{"age":3}', '{"name":"a","age":7,"extra":null}']
 # Scores at which rounding the shortest decimal form and the exact value differ, and others.
 TIES = [0.125, 0.285, 0.575, 1.005, 0.625, 0.5, 0.005, 0.985]
 STREAM_WIDTH = 37
+# A request's number is its conversation's times this, plus its reply's turn; some conversations have hundreds of turns.
+EXCHANGE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,18 +140,54 @@ def small_plans(spark: SparkSession) -> DataFrame:
         local_table(spark, [("tiny", 0, 5, 10, 20)], plans_table(spark).schema))
 
 
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per assistant turn, and one for messages after the last of them, whose reply is still due.
+
+    ``turn`` is the reply's place; a request's messages are all that come before it.
+    """
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.coalesce("role", F.lit("")) == "assistant").alias("said"))
+    last = d.groupBy("conv_id").agg(F.max(F.struct("turn", "said")).alias("x"))
+    due = last.where(~F.col("x.said")).select("conv_id", (F.col("x.turn") + 1).alias("turn"))
+    return d.where("said").select("conv_id", "turn").unionByName(due)
+
+
+def exchange_id() -> Column:
+    return F.col("conv_id") * EXCHANGE + F.col("turn")
+
+
+def exchange_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each exchange: the conversation up to its reply."""
+    d = messages(spark, sf_dir).withColumnRenamed("request_id", "conv_id")
+    return d.join(exchanges(spark, sf_dir), "conv_id").where(F.col("msg_idx") < F.col("turn")).select(
+        exchange_id().alias("request_id"), "tenant_id", "msg_idx", "role", "content")
+
+
+def exchange_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of conversations, one per exchange, a second per turn apart."""
+    d = requests(spark, sf_dir).withColumnRenamed("request_id", "conv_id").join(exchanges(spark, sf_dir), "conv_id")
+    at = F.timestamp_micros(F.unix_micros("ts") + F.col("turn") * 1_000_000)
+    return d.select(exchange_id().alias("request_id"), at.alias("ts"), "api", "proxy_key", "header_tenant")
+
+
+def exchange_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the conversation's number, for each of its exchanges."""
+    d = moderation(spark, sf_dir).withColumnRenamed("request_id", "conv_id").join(exchanges(spark, sf_dir), "conv_id")
+    return d.select(exchange_id().alias("request_id"), "flagged", "categories", "score")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two choices per reply: a rule-made text and, second, the text of turn 1."""
-    d = table(spark, sf_dir, "conversations").where("turn = 1")
+    """Two choices per assistant turn: a rule-made text and, second, the turn's own text."""
+    d = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     first = F.coalesce(pick(REPLIES, F.col("conv_id") % len(REPLIES)), F.col("text"))
     choice = F.explode(F.array(F.struct(F.lit(0).alias("choice_idx"), first.alias("t")),
                                F.struct(F.lit(1).alias("choice_idx"), F.col("text").alias("t"))))
-    d = d.select(F.col("conv_id").alias("request_id"), F.concat(F.lit("t"), F.col("conv_id") % 4).alias("tenant_id"),
+    d = d.select(exchange_id().alias("request_id"), F.concat(F.lit("t"), F.col("conv_id") % 4).alias("tenant_id"),
+                 (F.col("conv_id") % 50).alias("prompt_tokens"),
                  F.length("text").cast("long").alias("completion_tokens"), choice.alias("x"))
     return d.select(
         "request_id", "tenant_id", "x.choice_idx", F.array(F.struct(
             F.lit("text").alias("type"), F.col("x.t").alias("text"), F.lit(None).cast("variant").alias("raw"))).alias("content"),
-        (F.col("request_id") % 50).alias("prompt_tokens"), "completion_tokens")
+        "prompt_tokens", "completion_tokens")
 
 
 def moderation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from parapet.plans import cascade
 from parapet.plans import datasets as ds
 from parapet.sources import sse, traffic
 from parapet.sources.local import local_table
-from parapet.storage import new_path, remove
+from parapet.storage import new_path, remove, written
 from parapet.streaming import guard, limiter, rollup
 
 AS_OF = "2024-01-20 00:00:00"
@@ -196,13 +196,17 @@ def toxicity_threshold(spark, sf):
     return _moderated(spark, sf, "perspective")
 
 
+def _exchange_vault(spark, sf):
+    return pii_ops.tokenize_pii(pii_ops.text_rows(ds.exchange_messages(spark, sf).drop("tenant_id", "role"))).vault
+
+
 def output_verdicts(spark, sf):
-    vault = _tokenized(spark, sf).vault
-    return cascade.check_outputs(ds.responses(spark, sf), vault, ds.policies(spark), ds.moderation(spark, sf))[0]
+    return cascade.check_outputs(ds.responses(spark, sf), _exchange_vault(spark, sf), ds.policies(spark),
+                                 ds.exchange_moderation(spark, sf))[0]
 
 
 def restored_responses(spark, sf):
-    d = pii_ops.restore_responses(ds.responses(spark, sf), _tokenized(spark, sf).vault)
+    d = pii_ops.restore_responses(ds.responses(spark, sf), _exchange_vault(spark, sf))
     return d.select("request_id", "choice_idx", text.message_text(F.col("content")).alias("text"))
 
 
@@ -231,20 +235,26 @@ def forwarded_messages(spark, sf):
     return d.select("request_id", "msg_idx", text.message_text(F.col("content")).alias("text"))
 
 
-def _outcomes(spark, sf):
+def _said(spark, sf):
+    # read by many branches: written once, which also keeps the plans small
+    return written(ds.exchange_messages(spark, sf), "exchanges")
+
+
+def _outcomes(spark, sf, messages):
     return cascade.run_cascade(
-        ds.requests(spark, sf), ds.messages(spark, sf), ds.responses(spark, sf), ds.policies(spark), ds.keys(spark),
-        ds.request_accounts(spark), ds.small_plans(spark), ds.moderation(spark, sf))
+        written(ds.exchange_requests(spark, sf), "requests"), messages, ds.responses(spark, sf), ds.policies(spark),
+        ds.keys(spark), ds.request_accounts(spark), ds.small_plans(spark), ds.exchange_moderation(spark, sf))
 
 
 def request_outcomes(spark, sf):
-    return _outcomes(spark, sf).select("request_id", "tenant_id", "api", "outcome", "guardrail", "reason",
+    return _outcomes(spark, sf, _said(spark, sf)).select("request_id", "tenant_id", "api", "outcome", "guardrail", "reason",
                                        "prompt_tokens", "completion_tokens")
 
 
 def cascade_audit(spark, sf):
     """The cascade's own log, newest entries with their messages."""
-    log = audit.audit_entries(_outcomes(spark, sf), ds.messages(spark, sf))
+    messages = _said(spark, sf)
+    log = audit.audit_entries(_outcomes(spark, sf, messages), messages)
     said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
     return audit.recent_audit(log, 500, api="openai").select("id", "tenant_id", "outcome", "reason", said.alias("messages"))
 
