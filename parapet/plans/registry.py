@@ -21,6 +21,8 @@ from parapet.storage import new_path, remove, written
 from parapet.streaming import guard, limiter, rollup
 
 AS_OF = "2024-01-20 00:00:00"
+#: Rows of a live limiter's micro-batch.
+LIVE_ROWS = 200_000
 
 
 def as_of() -> Column:
@@ -477,12 +479,38 @@ def sse_anthropic(spark, sf):
 
 # --- live jobs, run to the end of what there is -------------------------------------------
 
-def _live(frame, build):
-    """Result of a streaming job over the frame's rows as files in the shared folder."""
+def _in_time_order(frame, path):
+    """The rows as files of about ``LIVE_ROWS`` rows, one written after the other in order of time."""
+    spark, at = frame.sparkSession, F.unix_micros("ts")
+    n = -(-frame.count() // LIVE_ROWS)
+    cuts = frame.select(at.cast("double").alias("at")).approxQuantile(
+        "at", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    cuts = F.array(*[F.lit(int(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    staged = new_path(spark, "live-slices")
+    # equal times stay in one slice
+    frame.withColumn("_slice", F.size(F.filter(cuts, lambda c: c <= at))).write.partitionBy("_slice").parquet(staged)
+    # an empty folder is a source without rows
+    frame.limit(0).write.parquet(path)
+    slices = spark.read.schema("_slice int").parquet(staged).select("_slice").distinct().collect() if n else []
+    for i in sorted(r[0] for r in slices):
+        spark.read.schema(frame.schema).parquet(f"{staged}/_slice={i}").coalesce(1).write.mode("append").parquet(path)
+    remove(spark, staged)
+
+
+def _live(frame, build, in_order=False):
+    """Result of a streaming job over the frame's rows as files in the shared folder.
+
+    ``in_order`` gives one file of bounded size to each micro-batch.
+    """
     spark = frame.sparkSession
     source, sink, at = (new_path(spark, name) for name in ("live-in", "live-out", "live-state"))
-    frame.write.parquet(source)
-    job = build(spark.readStream.schema(frame.schema).parquet(source))
+    reader = spark.readStream.schema(frame.schema)
+    if in_order:
+        _in_time_order(frame, source)
+        reader = reader.option("maxFilesPerTrigger", 1)
+    else:
+        frame.write.parquet(source)
+    job = build(reader.parquet(source))
     (job.writeStream.format("parquet").option("path", sink).option("checkpointLocation", at)
      .trigger(availableNow=True).start().awaitTermination())
     remove(spark, source, at)
@@ -490,8 +518,19 @@ def _live(frame, build):
 
 
 def rate_limit_live(spark, sf):
-    d = _live(ds.traffic(spark, sf), lambda s: limiter.rate_limit_stream(s, ds.limits(spark)))
-    return d.select(F.col("request_id").cast("long").alias("request_id"), "tenant_id", "limited", "reason", "retry_after")
+    """Calm requests are allowed from counts; each busy episode meets its own state, batch by batch."""
+    requests, lims = ds.traffic(spark, sf), ds.limits(spark)
+    busy = written(limits.busy_slots(requests, limits._limits(lims)).select("tenant_id", "slot", "episode", "hot"), "busy-slots")
+    d = requests.withColumn("slot", F.floor(F.unix_micros("ts") / limits.SLOT)).join(busy, ["tenant_id", "slot"], "left")
+    calm = d.where(~F.coalesce("hot", F.lit(False))).select(
+        "request_id", "tenant_id", F.lit(False).alias("limited"), F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("int").alias("retry_after"))
+    # rows of quiet slots only seed an episode; they are among the calm ones already
+    rows = written(d.where(F.col("episode").isNotNull()).select("request_id", "ts", "tenant_id", "episode", "hot"), "busy-rows")
+    out = _live(rows, lambda s: limiter.rate_limit_stream(s, lims, keys=["tenant_id", "episode"]), in_order=True)
+    same = ["request_id", "ts", "tenant_id"]
+    out = out.withColumn("request_id", F.col("request_id").cast("long")).join(rows.where("hot").select(same), same, "left_semi")
+    return calm.unionByName(out.select(*calm.columns))
 
 
 def audit_rollup_live(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +40,17 @@ def _advance(key, batches, state):
     yield out.astype({"retry_after": "Int32"})
 
 
-def rate_limit_stream(requests: DataFrame, limits: DataFrame, delay: str = "1 minute") -> DataFrame:
+def rate_limit_stream(requests: DataFrame, limits: DataFrame, delay: str = "1 minute",
+                      keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """Decisions for a stream of (request_id, ts, tenant_id), in append mode.
 
     State per tenant is the allowed times of the last hour, at most as many as the
     larger limit, and goes away after an idle hour of event time.  A tenant's
-    micro-batch is bounded by the source's rate settings.
+    micro-batch is bounded by the source's rate settings.  More ``keys`` after the
+    tenant cut its requests into stretches that do not touch each other.
     """
-    d = requests.select(F.col("request_id").cast("string").alias("request_id"), "ts", "tenant_id")
+    d = requests.select(F.col("request_id").cast("string").alias("request_id"), "ts", *keys)
     d = lookup(d.withWatermark("ts", delay), _limits(limits), ["tenant_id"])
     d = d.withColumn("at", F.unix_micros("ts"))
-    return d.groupBy("tenant_id").applyInPandasWithState(
+    return d.groupBy(*keys).applyInPandasWithState(
         _advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
