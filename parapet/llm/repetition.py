@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from parapet.llm.texts import WORDS, table
+from parapet.llm.texts import WORDS, cuts, table
 
 #: per cent of word characters that duplicated windows of so many words may cover
 GRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -51,7 +51,7 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for t, text in enumerate(texts):
         n = 0
         # a long text's words are never held as objects all at once
-        for lo, hi in word_cuts(text):
+        for lo, hi in cuts(text, SLICE):
             words = text[lo:hi].split()
             parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int32, count=len(words)))
             n += len(words)
@@ -61,18 +61,6 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, sizes[ids], counts
 
 
-def word_cuts(text: bytes) -> Iterator[tuple[int, int]]:
-    """Parts of a text of about ``SLICE`` bytes that end at a line or word border."""
-    lo = 0
-    while lo < len(text):
-        hi = len(text)
-        if hi - lo > SLICE:
-            borders = [at for at in (text.find(b, lo + SLICE) for b in (b"\n", b" ")) if at >= 0]
-            hi = min(borders, default=hi)
-        yield lo, hi
-        lo = hi
-
-
 def mixed(ids: np.ndarray) -> np.ndarray:
     """Well spread 64-bit values of small numbers."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * _STEP

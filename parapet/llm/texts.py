@@ -44,3 +44,14 @@ def placed(docs):
         return docs.select("*", *at)
     except AnalysisException:
         return written(docs, "placed").select("*", *at)
+
+
+def cuts(data: bytes, size: int, borders: tuple[bytes, ...] = (b"\n", b" ")):
+    """Parts (from, to) of about ``size`` bytes that end at one of the borders, so that no word is cut."""
+    lo = 0
+    while lo < len(data):
+        hi = len(data)
+        if hi - lo > size:
+            hi = min((at for at in (data.find(b, lo + size) for b in borders) if at >= 0), default=hi)
+        yield lo, hi
+        lo = hi

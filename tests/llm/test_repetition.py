@@ -65,7 +65,7 @@ def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
 def test_long_texts_are_numbered_part_by_part(monkeypatch):
     monkeypatch.setattr(rep, "SLICE", 64)
     check(samples())
-    assert [b for part in rep.word_cuts(b"ab\n" * 50) for b in part]
+    assert len(list(rep.cuts(b"ab\n" * 50, rep.SLICE))) > 1
 
 
 def test_no_texts():
