@@ -31,8 +31,8 @@ CAPACITY = 4096
 END = 1
 #: pieces in a group: what one task packs at once
 GROUP = 8192
-#: words of at most so many bytes, and so many of them, are remembered by a task
-WORD_BYTES, WORDS_KEPT = 48, 1_600_000
+#: words of at most so many bytes are remembered by a task, in about so many bytes of memory, each with so many besides its own
+WORD_BYTES, KEPT_BYTES, EACH_BYTES = 48, 50 << 20, 250
 LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 #: punctuation that may be cut off a word's end, and ends before which it may
 TAIL, STEM_END = b".,!?;:%$&*#|", frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -42,9 +42,12 @@ VOCABULARY = "word_bpe_49k.json"
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The vocabulary splits at white space and drops it, so the ids of a text are those
-    of its words in a row; words come again and again and are looked up.  New words
-    are encoded many at once, with a mark between them that is one token of its own.
+    A vocabulary that splits at white space and drops it gives a text the ids of its
+    words in a row; words come again and again and are looked up.  New words
+    are encoded many at once, with a mark between them that is one token of its own.  The last
+    words seen are kept in two halves; when the newer is full, it takes the place of the older.
+    Whether the vocabulary lower-cases A-Z and parts punctuation from words is tried on it
+    first; one that does not has its texts encoded as they are.
     """
 
     MARK = "\u00a5"
@@ -55,6 +58,18 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.mark = self._ids(self.MARK)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.by_word = self._goes_by_word()
+
+    def _goes_by_word(self) -> bool:
+        """Whether samples of all that ``learn`` relies on hold for this vocabulary."""
+        one = lambda t: self._ids(t).tolist()
+        letters = LETTERS.decode()
+        stems = ["word", "Zebra", "x", "7", "éa"]
+        return (all(one(s + " " + t) == one(s) + one(t) and one(s + "\t\n" + t) == one(s) + one(t) for s in stems for t in stems)
+                and all(one(s + chr(c)) == one(s) + one(chr(c)) and one(s + chr(c) * 2) == one(s) + one(chr(c) * 2) for s in stems[:4] for c in TAIL)
+                and one(letters.upper()) == one(letters) and one(" word ") == one("word")
+                and all(list(np.frombuffer(self._letters(s), dtype="<u4")) == one(s.decode()) for s in (b"word", LETTERS)))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -75,9 +90,8 @@ class Ids:
         A-Z may be lower-cased first, as the vocabulary does itself; and a word that ends
         in a letter or digit and then punctuation has the ids of both in a row.
         """
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
+        if len(self.known) * EACH_BYTES > KEPT_BYTES // 2:
+            self.older, self.known = self.known, {}
         # nothing here is circular, and looking for cycles among so many small objects costs more than the work
         collects = gc.isenabled()
         gc.disable()
@@ -89,7 +103,13 @@ class Ids:
 
     def _learn(self, texts: list[list[bytes]]) -> None:
         known = self.known
-        new = [w for w in set().union(*texts) if w not in known]
+        new, older = [], self.older
+        for w in set().union(*texts):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         made, wanted = [], set()
         for w in new:
             if len(w) > WORD_BYTES:
@@ -130,6 +150,14 @@ class Ids:
             own = {w: self._ids(w.decode()).tobytes() for w in set(words) if w not in known}
             return b"".join([known[w] if w in known else own[w] for w in words])
 
+    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_word:
+            yield from (self._ids(t).tobytes() for t in texts)
+            return
+        words = [t.encode().split() for t in texts]
+        self.learn(words)
+        yield from map(self.of, words)
+
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
@@ -143,24 +171,19 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
-        import tokenizers
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = vocabulary
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        # a worker serves many tasks, and this function comes anew with each; what the module holds stays
-        kept = tokenizers.__dict__.setdefault("ids_of_words", {})
-        ids = kept.get(path) or kept.setdefault(path, Ids(path))
+        ids = Ids(path)
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                keys, texts = batch.iloc[lo:lo + 500, 0], [(t or "").encode().split() for t in batch.iloc[lo:lo + 500, 1]]
-                ids.learn(texts)
+                keys, texts = batch.iloc[lo:lo + 500, 0], [t or "" for t in batch.iloc[lo:lo + 500, 1]]
                 out = []
-                for key, text in zip(keys, texts):
-                    data = ids.of(text) + end
+                for key, data in zip(keys, ids.of_texts(texts)):
+                    data += end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at:at + 4 * capacity]
                         out.append((key, k, at // 4, len(part) // 4, part))

@@ -34,8 +34,8 @@ SAMPLE, SAMPLE_BYTES = 1500, 32_768
 STEP, HALF, CHUNK = 4, 32, 64
 MARGIN = 36
 LAGS = range(2, 25)
-SEGMENT = 1 << 19
-SLICE = 1 << 20
+SEGMENT = 1 << 18
+SLICE = 1 << 18
 THRESHOLD = 0.3
 
 
