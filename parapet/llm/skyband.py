@@ -92,13 +92,14 @@ def occurrences(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
 def kept_counts(docs: DataFrame, least_docs: int, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """lang, term, source, n and lang_n of every kept term in every group that holds it (written).
 
-    Rows are dealt once, by lang and term; the sums per source, per lang and the join need no other shuffle.
+    Rows are dealt once, by lang and term; sums per source and per lang need no other shuffle.
     """
     dealt = occurrences(docs, text_col, lang_col, source_col).repartition("lang", "term")
     by_source = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_lang = by_source.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("_docs")).where(
-        F.col("_docs") >= least_docs).drop("_docs")
-    return written(by_source.drop("docs").join(by_lang, ["lang", "term"]), "terms")
+    # a frame of at most as many rows as the lang has sources
+    of_lang = Window.partitionBy("lang", "term")
+    totals = by_source.select("lang", "term", "source", "n", F.sum("n").over(of_lang).alias("lang_n"), F.sum("docs").over(of_lang).alias("_docs"))
+    return written(totals.where(F.col("_docs") >= least_docs).drop("_docs"), "terms")
 
 
 def share(count: Column | str, total: Column | str, terms: Column | str) -> Column:
