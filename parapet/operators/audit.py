@@ -138,15 +138,14 @@ def tenant_sessions(log: DataFrame, gap_seconds: int = 3600) -> DataFrame:
         "tenant_id", "first_ts", "last_ts", "requests")
 
 
-def audit_entries(outcomes: DataFrame, messages: DataFrame, redact: bool = False) -> DataFrame:
-    """Audit rows with their request's messages in order, as (role, text), and an id.
+def with_messages(entries: DataFrame, messages: DataFrame, redact: bool = False) -> DataFrame:
+    """Audit rows with their request's messages in order, as (role, text).
 
-    A request leaves one row, so its id names the row.  With ``redact`` the logged texts
-    lose their personal data.  A request's messages are gathered in one row, as they came.
+    With ``redact`` the logged texts lose their personal data.  A request's messages are gathered
+    in one row, as they came.
     """
     content = map_text(F.col("content"), pii.redact_pii) if redact else F.col("content")
     said = messages.select("request_id", F.struct("msg_idx", "role", message_text(content).alias("text")).alias("m"))
     said = said.groupBy("request_id").agg(F.array_sort(F.collect_list("m")).alias("m")).select(
         "request_id", F.transform("m", lambda m: m.dropFields("msg_idx")).alias("messages"))
-    own = F.col("request_id") if dict(outcomes.dtypes)["request_id"] == "bigint" else F.xxhash64("request_id")
-    return outcomes.join(said, "request_id", "left").withColumn("id", own)
+    return entries.drop("messages").join(said, "request_id", "left")

@@ -47,9 +47,12 @@ def _numbered(events: DataFrame) -> DataFrame:
 
 
 def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
-                 safe_reserve: bool = False) -> Tokenized:
+                 safe_reserve: bool = False, positions: bool = False) -> Tokenized:
     """Replace each value by a token that is unique within its request.
 
+    A token depends on texts before it alone.  ``positions`` adds the message of its first
+    appearance to the vault, so that the vault of any prefix is the rows before its end.
+
     Texts without possible matches pass straight through.  The text of the others
     is shuffled once, to meet its tokens; numbering only moves matches.
     ``safe_reserve`` keeps tokens clear of literals anywhere in the request.
@@ -78,9 +81,9 @@ def tokenize_pii(texts: DataFrame, types: Column | list[str] | None = None,
     numbered = _numbered(firsts.unionByName(literals))
     vault = numbered.select(
         "request_id", F.concat(F.lit("[PII_"), F.upper("ptype"), F.lit("_"), numbers.to_string(F.col("number")),
-                               F.lit("]")).alias("token"), "ptype", "value")
+                               F.lit("]")).alias("token"), "ptype", "value", *(["msg_idx"] if positions else []))
     # per text: at most as many tokens as the text has matches
-    tokens = found.join(vault, ["request_id", "ptype", "value"]).groupBy(*TEXT_KEYS).agg(
+    tokens = found.join(vault.drop("msg_idx"), ["request_id", "ptype", "value"]).groupBy(*TEXT_KEYS).agg(
         F.array_sort(F.collect_list(F.struct("s", "e", "token"))).alias("__tokens"))
     rewritten = near.join(tokens, TEXT_KEYS, "left")
     rewritten = rewritten.withColumn("text", F.when(
@@ -108,18 +111,23 @@ def restore_texts(texts: DataFrame, vault: DataFrame, keys: list[str], owner: st
     return plain.unionByName(done)
 
 
-def restore_responses(responses: DataFrame, vault: DataFrame) -> DataFrame:
+def restore_responses(responses: DataFrame, vault: DataFrame, owner: str = "request_id", upto: str | None = None) -> DataFrame:
     """Responses (request_id, choice_idx, content) with the vault's values put back.
 
-    Same plan as ``restore_texts``, on content blocks.
+    Same plan as ``restore_texts``, on content blocks.  ``owner`` names whose vault a
+    response has; of a vault with positions it knows the tokens before ``upto``.
     """
     keys = ["request_id", "choice_idx"]
     texts = F.filter(F.col("content"), lambda b: (b["type"] == "text") & F.contains(b["text"], F.lit("[PII_")))
     holds = F.coalesce(F.size(texts) > 0, F.lit(False))
     plain, tokened = responses.where(~holds), responses.where(holds)
     tokens = F.array_distinct(F.flatten(F.transform(texts, lambda b: pii.text_tokens(b["text"]))))
-    wanted = tokened.select(*keys, F.explode(tokens).alias("token"))
-    known = wanted.join(vault.select("request_id", "token", "value"), ["request_id", "token"])
+    wanted = tokened.select(*keys, F.col(owner).alias("__owner"), *([F.col(upto).alias("__upto")] if upto else []),
+                            F.explode(tokens).alias("token"))
+    held = vault.select(F.col("request_id").alias("__owner"), "token", "value", *(["msg_idx"] if upto else []))
+    known = wanted.join(held, ["__owner", "token"])
+    if upto:
+        known = known.where(F.col("msg_idx") < F.col("__upto"))
     values = known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__vault"))
     content = F.transform("content", lambda b: F.when(
         b["type"] == "text", b.withField("text", pii.restore_tokens(b["text"], F.col("__vault")))).otherwise(b))

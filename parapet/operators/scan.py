@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parapet.storage import written
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
 
@@ -50,6 +52,27 @@ def running(df: DataFrame, keys: list[str], order: list, block: Column,
     return out.drop("__blk", *[f"__c_{n}" for n in (*sums, *maxes)])
 
 
+def in_order(df: DataFrame, order: list, name: str = "ordered", partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The frame written once as consecutive ranges of the order, and where each range begins.
+
+    ``__at`` holds a row's range in its high bits and its place there in its low 33; the second frame
+    has a row (__range, __before) per range, so it is as small as their number.  Together they
+    number all rows without any task seeing more than one range.
+    """
+    ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
+    rows = written(ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+    sizes = rows.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, sizes.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+
+
+def numbered(df: DataFrame, order: list, number: str = "n", name: str = "numbered") -> DataFrame:
+    """Rows numbered from 1 in the given order over the whole frame."""
+    rows, starts = in_order(df, order, name)
+    d = rows.join(F.broadcast(starts), F.shiftright("__at", 33) == F.col("__range"))
+    return d.withColumn(number, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, number)
+
+
 def preceding_text(df: DataFrame, keys: list[str], rank: str, piece: Column, width: int,
                    out: str, separator: str = "", block_rows: int = 4096) -> DataFrame:
     """Add the last ``width`` characters of the joined text before each row.

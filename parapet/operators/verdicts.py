@@ -88,16 +88,41 @@ def message_checks(messages: DataFrame, policies: DataFrame,
         (F.when(config["enabled"], spans) if "pii" in only else none.cast("int")).alias("pii_mask"))
 
 
-def request_checks(messages: DataFrame, policies: DataFrame,
-                   only: tuple[str, ...] = ("injection", "topic", "pii")) -> DataFrame:
-    """Per request: first blocked message, first topic in list order, all types found."""
+def _at_prefixes(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """What the messages before ``upto`` show, for each prefix (request_id, thread, upto, tenant_id) of a thread.
+
+    Facts only ever add up along a thread, so one running pass over facts and prefixes
+    answers all prefixes, however many a thread has.
+    """
+    bits = len(fv.PII_PATTERNS)
+    facts = rows.where("injection_reason IS NOT NULL OR topic_pos IS NOT NULL OR pii_mask <> 0").select(
+        F.col("request_id").alias("thread"), F.col("msg_idx").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(
+            prefixes.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("string").alias("tenant_id"),
+        "injection_reason", "topic_pos", "pii_mask")
+    marks = prefixes.select("thread", F.col("upto").cast(rows.schema["msg_idx"].dataType).alias("at"), F.lit(0).alias("kind"),
+                            "request_id", "tenant_id")
+    first = F.when(F.col("injection_reason").isNotNull(), F.struct(-F.col("at"), F.col("injection_reason").alias("reason")))
+    d = running(facts.unionByName(marks, allowMissingColumns=True), ["thread"], ["at", "kind"], F.floor(F.col("at") / 4096), maxes={
+        "__first": first, "__topic": -F.col("topic_pos"),
+        **{f"__bit{i}": F.shiftright("pii_mask", i).bitwiseAND(1) for i in range(bits)}})
+    mask = sum((F.coalesce(F.col(f"__bit{i}"), F.lit(0)) * (1 << i) for i in range(1, bits)), F.coalesce("__bit0", F.lit(0)))
+    return d.where("kind = 0").select("request_id", "tenant_id", F.col("__first.reason").alias("injection_reason"),
+                                      (-F.col("__topic")).alias("topic_pos"), mask.alias("pii_mask"))
+
+
+def request_checks(messages: DataFrame, policies: DataFrame, only: tuple[str, ...] = ("injection", "topic", "pii"),
+                   prefixes: DataFrame | None = None) -> DataFrame:
+    """Per request: first blocked message, first topic in list order, all types found.
+
+    With ``prefixes``, messages belong to threads and each request sees those before its ``upto``.
+    """
     rows = message_checks(messages, policies, only)
     if "topic" in only:
         texts = _topic_rows(with_policy(messages, policies, "input")).withColumn("text", message_text(F.col("content")))
         spanning = _spanning_topics(texts, policies)
         if spanning is not None:
             rows = rows.unionByName(spanning, allowMissingColumns=True)
-    d = rows.groupBy("request_id").agg(
+    d = _at_prefixes(rows, prefixes) if prefixes is not None else rows.groupBy("request_id").agg(
         F.first("tenant_id", ignorenulls=True).alias("tenant_id"),
         F.min_by("injection_reason", F.when(F.col("injection_reason").isNotNull(), F.col("msg_idx"))).alias("injection_reason"),
         F.min("topic_pos").alias("topic_pos"), F.bit_or("pii_mask").alias("pii_mask"))
@@ -126,9 +151,9 @@ def pii_verdict(messages: DataFrame, policies: DataFrame) -> DataFrame:
     return d.select("request_id", F.col("pii_reason").isNotNull().alias("blocked"), F.col("pii_reason").alias("reason"))
 
 
-def input_verdicts(messages: DataFrame, policies: DataFrame) -> DataFrame:
+def input_verdicts(messages: DataFrame, policies: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """First blocking check of each request, in the order injection, topic, personal data."""
-    d = request_checks(messages, policies)
+    d = request_checks(messages, policies, prefixes=prefixes)
     verdict = F.coalesce(*[F.when(F.col(reason).isNotNull(), F.struct(
         F.lit(name).alias("guardrail"), F.col(reason).alias("reason"))) for name, reason in (
         ("prompt_injection", "injection_reason"), ("topic_filter", "topic_reason"), ("pii", "pii_reason"))])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parapet.functions import checks, injection, numbers, pii
 from parapet.functions.text import map_text
+from parapet.operators import chunks
 from parapet.operators import limits as lim
 from parapet.operators.folds import written
 from parapet.operators.pii import TEXT_KEYS, restore_responses, text_rows, tokenize_pii
@@ -56,32 +57,83 @@ def check_outputs(responses: DataFrame, vault: DataFrame, policies: DataFrame,
     return written(output_verdicts(restored, policies, moderation)), restored
 
 
+def check_threads(messages: DataFrame, prefixes: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of requests that repeat a thread's messages up to some place, and the threads' vaults.
+
+    ``messages`` have a thread_id; ``prefixes`` are (request_id, thread_id, tenant_id, upto).  Each message
+    is scored once for a tenant, however many requests hold it.  Vault rows name thread and
+    tenant as ``request_id`` and the message of their first appearance.
+    """
+    thread = F.struct("thread_id", "tenant_id")
+    reach = prefixes.groupBy("thread_id", "tenant_id").agg(F.max("upto").alias("__reach"))
+    said = written(messages.drop("tenant_id").join(reach, "thread_id").where(F.col("msg_idx") < F.col("__reach")).select(
+        thread.alias("request_id"), "tenant_id", "msg_idx", "role", "content"), "threads")
+    verdicts = written(input_verdicts(said, policies, prefixes.select("request_id", thread.alias("thread"), "upto", "tenant_id")))
+    config = F.col("input.pii")
+    secret = with_policy(said, policies, "input").where(config["enabled"] & (config["action"] == "tokenize"))
+    secret = secret.withColumn("types", config["types"]).drop("input")
+    return verdicts, written(tokenize_pii(text_rows(secret), F.col("types"), positions=True).vault)
+
+
+def _stream_verdicts(streams: DataFrame, live: DataFrame, policies: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Of streamed requests: request_id, blocked, guardrail, reason; a stream that only broke off has no row.
+
+    Streams are checked as the model sent them, before tokens are put back, and without a JSON schema.
+    """
+    sent = streams.withColumnRenamed("request_id", "stream_id").drop("tenant_id").join(
+        live.select(F.col("request_id").alias("stream_id"), "tenant_id"), "stream_id")
+    sent = written(sent, "streams")
+    if scores is not None:
+        scores = scores.withColumnRenamed("request_id", "stream_id")
+    found = chunks.stream_outcomes(sent, policies, scores).where(F.col("outcome").isNotNull())
+    return written(found.select(F.col("stream_id").alias("request_id"), (F.col("outcome") == "output_blocked").alias("blocked"),
+                                "guardrail", "reason"))
+
+
 def run_cascade(requests: DataFrame, messages: DataFrame, responses: DataFrame, policies: DataFrame,
                 keys: DataFrame, accounts: DataFrame, plans: DataFrame, moderation: DataFrame | None = None,
-                cap_hint: str = "Upgrade your plan to continue.") -> DataFrame:
+                cap_hint: str = "Upgrade your plan to continue.", threads: DataFrame | None = None,
+                streams: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Exactly one outcome per accepted request, as audit rows.
 
     Order: key, rate limit, monthly cap, input checks, output checks, toxicity.
     Each stage only sees the requests the one before let through; requests with a
     bad key and requests without a response leave no row.  ``policies`` are resolved for
     every tenant in use.
+
+    A request with ``stream`` set takes its outcome from its chunks in ``streams`` (request_id, seq, delta,
+    closes, finished) and the model's ``scores`` of them: cut at its first violation, or passed
+    where it ended properly.  A stream that just ends leaves no row, and none has token counts.
+    ``threads`` (request_id, thread_id, upto) says that messages belong to threads that requests repeat
+    up to a place.
     """
     accepted = resolve_tenants(requests, keys, accounts).where(~F.col("rejected"))
     limits = policies.select("tenant_id", "rate_limit.*")
     decisions = lim.rate_limit(accepted, limits).select("request_id", "limited", F.col("reason").alias("rate_reason"))
     decisions = written(decisions)
-    base = accepted.select("request_id", "ts", "tenant_id", "api").join(decisions, "request_id")
-    live = base.where(~F.col("limited")).select("request_id", "tenant_id")
-    inputs = check_inputs(messages.drop("tenant_id").join(live, "request_id"), policies)
-    answers = responses.drop("tenant_id").join(live, "request_id")
-    outputs, _ = check_outputs(answers, inputs.vault, policies, moderation)
+    streamed = F.coalesce("stream", F.lit(False)) if "stream" in accepted.columns else F.lit(False)
+    base = accepted.select("request_id", "ts", "tenant_id", "api", streamed.alias("stream")).join(decisions, "request_id")
+    live = base.where(~F.col("limited")).select("request_id", "tenant_id", "stream")
+    whole = live.where(~F.col("stream")).drop("stream")
+    answers = responses.drop("tenant_id").join(whole, "request_id")
+    if threads is None:
+        inputs = check_inputs(messages.drop("tenant_id").join(live.drop("stream"), "request_id"), policies)
+        seen = inputs.verdicts
+        outputs, _ = check_outputs(answers, inputs.vault, policies, moderation)
+    else:
+        prefixes = written(threads.join(live, "request_id"), "prefixes")
+        seen, vault = check_threads(messages, prefixes, policies)
+        own = answers.join(prefixes.select("request_id", F.struct("thread_id", "tenant_id").alias("thread"), "upto"), "request_id")
+        outputs = written(output_verdicts(restore_responses(own, vault, "thread", "upto"), policies, moderation))
+    if streams is not None:
+        outputs = outputs.unionByName(_stream_verdicts(streams, live.where("stream"), policies, scores))
     usage = answers.groupBy("request_id").agg(
         F.max("prompt_tokens").alias("prompt_tokens"), F.max("completion_tokens").alias("completion_tokens"))
 
     def named(d: DataFrame, prefix: str) -> DataFrame:
         return d.select("request_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("blocked", "guardrail", "reason")])
 
-    d = (base.join(named(inputs.verdicts, "in"), "request_id", "left")
+    d = (base.join(named(seen, "in"), "request_id", "left")
          .join(named(outputs, "out"), "request_id", "left").join(usage, "request_id", "left"))
     clean = (~F.col("limited") & ~F.coalesce("in_blocked", F.lit(False)) & (F.col("out_blocked") == F.lit(False)))
     d = d.withColumn("would_pass", F.coalesce(clean, F.lit(False)))

@@ -63,8 +63,6 @@ REPLIES = [None, "Mail [PII_EMAIL_1], not [PII_EMAIL_9] but [PII_EMAIL_2]", '{"n
 # Scores at which rounding the shortest decimal form and the exact value differ, and others.
 TIES = [0.125, 0.285, 0.575, 1.005, 0.625, 0.5, 0.005, 0.985]
 STREAM_WIDTH = 37
-# A request's number is its conversation's times this, plus its reply's turn; some conversations have hundreds of turns.
-EXCHANGE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,21 +150,28 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exchange_id() -> Column:
-    return F.col("conv_id") * EXCHANGE + F.col("turn")
+    return F.concat_ws("-", "conv_id", "turn")
 
 
-def exchange_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of each exchange: the conversation up to its reply."""
-    d = messages(spark, sf_dir).withColumnRenamed("request_id", "conv_id")
-    return d.join(exchanges(spark, sf_dir), "conv_id").where(F.col("msg_idx") < F.col("turn")).select(
-        exchange_id().alias("request_id"), "tenant_id", "msg_idx", "role", "content")
+def streamed() -> Column:
+    """Every third place's reply comes as a stream."""
+    return F.col("turn") % 3 == 0
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which conversation an exchange belongs to, and where its messages end."""
+    return exchanges(spark, sf_dir).select(exchange_id().alias("request_id"), F.col("conv_id").alias("thread_id"), F.col("turn").alias("upto"))
+
+
+def thread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).withColumnRenamed("request_id", "thread_id")
 
 
 def exchange_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of conversations, one per exchange, a second per turn apart."""
     d = requests(spark, sf_dir).withColumnRenamed("request_id", "conv_id").join(exchanges(spark, sf_dir), "conv_id")
     at = F.timestamp_micros(F.unix_micros("ts") + F.col("turn") * 1_000_000)
-    return d.select(exchange_id().alias("request_id"), at.alias("ts"), "api", "proxy_key", "header_tenant")
+    return d.select(exchange_id().alias("request_id"), at.alias("ts"), "api", "proxy_key", "header_tenant", streamed().alias("stream"))
 
 
 def exchange_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,17 +180,30 @@ def exchange_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(exchange_id().alias("request_id"), "flagged", "categories", "score")
 
 
+def exchange_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the streamed replies: the turn's text up to four times and then the rule-made reply."""
+    d = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant").where(streamed())
+    first = F.coalesce(pick(REPLIES, F.col("conv_id") % len(REPLIES)), F.lit(""))
+    text = F.concat(F.repeat("text", (F.col("conv_id") % 4 + 1).cast("int")), first)
+    return sliced(d.select(exchange_id().alias("request_id"), text.alias("text"), (F.col("turn") % 7 != 0).alias("finished")), ["request_id"])
+
+
+def exchange_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.element_at(F.split("request_id", "-"), 1).cast("long") + F.element_at(F.split("request_id", "-"), 2).cast("long")
+    return chunk_scores(exchange_streams(spark, sf_dir), "request_id", n)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two choices per assistant turn: a rule-made text and, second, the turn's own text."""
-    d = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    d = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     first = F.coalesce(pick(REPLIES, F.col("conv_id") % len(REPLIES)), F.col("text"))
     choice = F.explode(F.array(F.struct(F.lit(0).alias("choice_idx"), first.alias("t")),
                                F.struct(F.lit(1).alias("choice_idx"), F.col("text").alias("t"))))
-    d = d.select(exchange_id().alias("request_id"), F.concat(F.lit("t"), F.col("conv_id") % 4).alias("tenant_id"),
-                 (F.col("conv_id") % 50).alias("prompt_tokens"),
+    d = d.select(exchange_id().alias("request_id"), F.col("conv_id").alias("thread_id"), F.col("turn").alias("upto"),
+                 F.concat(F.lit("t"), F.col("conv_id") % 4).alias("tenant_id"), (F.col("conv_id") % 50).alias("prompt_tokens"),
                  F.length("text").cast("long").alias("completion_tokens"), choice.alias("x"))
     return d.select(
-        "request_id", "tenant_id", "x.choice_idx", F.array(F.struct(
+        "request_id", "thread_id", "upto", "tenant_id", "x.choice_idx", F.array(F.struct(
             F.lit("text").alias("type"), F.col("x.t").alias("text"), F.lit(None).cast("variant").alias("raw"))).alias("content"),
         "prompt_tokens", "completion_tokens")
 
@@ -226,20 +244,28 @@ def limits(spark: SparkSession) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into slices as deltas; a word or a token is spliced over slice edges."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
     n = F.col("doc_id")
     extra = F.when(n % 5 == 0, " just go die now").when(n % 5 == 1, " mail [PII_EMAIL_1] or [PII_EMAIL_7] [PII_").otherwise("")
     text = F.concat(F.left("text", F.greatest(F.lit(0), F.length("text") - (n % 30).cast("int"))), extra, F.right("text", (n % 30).cast("int")))
-    d = d.select(n.alias("stream_id"), F.concat(F.lit("t"), n % 4).alias("tenant_id"), text.alias("text"))
+    return sliced(d.select(n.alias("stream_id"), F.concat(F.lit("t"), n % 4).alias("tenant_id"), text.alias("text"),
+                           (n % 7 != 0).alias("finished")), ["stream_id", "tenant_id"])
+
+
+def sliced(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts as deltas of equal width, and a last row that ends the stream."""
     parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STREAM_WIDTH}}}"), F.lit(0))
-    d = d.where(F.length("text") > 0).select("stream_id", "tenant_id", F.posexplode(parts).alias("i", "delta")).select(
-        "stream_id", "tenant_id", F.col("i").cast("long").alias("seq"), "delta",
-        F.lit(False).alias("closes"), F.lit(False).alias("finished"))
-    ends = table(spark, sf_dir, "documents").where("length(text) > 0").select(
-        n.alias("stream_id"), F.concat(F.lit("t"), n % 4).alias("tenant_id"),
-        F.lit(1_000_000_000).cast("long").alias("seq"), F.lit("").alias("delta"),
-        F.lit(True).alias("closes"), (n % 7 != 0).alias("finished"))
-    return d.unionByName(ends)
+    end = F.struct(F.lit(1_000_000_000).cast("long").alias("seq"), F.lit("").alias("delta"), F.lit(True).alias("closes"), F.col("finished").alias("finished"))
+    rows = F.concat(F.transform(parts, lambda x, i: F.struct(
+        i.cast("long").alias("seq"), x.alias("delta"), F.lit(False).alias("closes"), F.lit(False).alias("finished"))), F.array(end))
+    return d.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
+
+
+def chunk_scores(d: DataFrame, key: str, n: Column) -> DataFrame:
+    """A model's made-up scores of every delta."""
+    s = F.col("seq")
+    return d.where(~F.col("closes")).select(
+        key, s, ((n + s) % 9 == 0).alias("flagged"), F.create_map(F.lit("harm"), F.lit(True)).alias("categories"), ((n + s) % 8 / 10).alias("score"))
 
 
 def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,16 +25,28 @@ def rx(text: str, pattern: str, flags: str = "") -> str:
 
 # --- messages with planted phrases -------------------------------------------------
 
-MSG = f"""
-m0 AS (SELECT conv_id AS request_id, 't' || (conv_id % 4) AS tenant_id, CAST(turn AS INTEGER) AS msg_idx, role,
+def message_tables(tenant: str = "'t' || (conv_id % 4)", texts: str = "mt", parts: str = "blocks", exchanges: bool = False) -> str:
+    """CTEs of whole messages and of their text blocks; with ``exchanges``, those before each assistant turn."""
+    request, source = "conv_id", "conversations"
+    if exchanges:
+        request, source = "conv_id || '-' || reply", "conversations JOIN ex USING (conv_id) WHERE turn < reply"
+    return f"""{EXCHANGES if exchanges else ''}
+m0 AS (SELECT {request} AS request_id, {tenant} AS tenant_id, CAST(turn AS INTEGER) AS msg_idx, role,
          text AS body, (conv_id + turn) % 16 AS idx,
          replace(({array(ds.PLANTS)})[((conv_id + turn) % 16) + 1], '{{n}}', CAST(conv_id AS VARCHAR)) AS plant
-       FROM conversations),
-mt AS (SELECT *, CASE WHEN idx = 15 THEN plant || ' ' || body ELSE body || ' ' || plant END AS text FROM m0),
-blocks AS (SELECT request_id, tenant_id, msg_idx, 0 AS block_idx, CASE WHEN idx = 15 THEN plant ELSE body END AS text FROM m0
+       FROM {source}),
+{texts} AS (SELECT *, CASE WHEN idx = 15 THEN plant || ' ' || body ELSE body || ' ' || plant END AS text FROM m0),
+{parts} AS (SELECT request_id, tenant_id, msg_idx, 0 AS block_idx, CASE WHEN idx = 15 THEN plant ELSE body END AS text FROM m0
            UNION ALL
            SELECT request_id, tenant_id, msg_idx, 2, CASE WHEN idx = 15 THEN body ELSE plant END FROM m0)"""
 
+
+# a request for every assistant turn, and one for what comes after the last of them
+EXCHANGES = """
+ex AS (SELECT conv_id, turn AS reply, role = 'assistant' AS said FROM conversations WHERE role = 'assistant' UNION ALL
+       SELECT conv_id, max(turn) + 1, FALSE FROM conversations GROUP BY 1 HAVING coalesce(arg_max(role, turn), '') <> 'assistant'),"""
+MSG = message_tables()
+
 LUHN = ("list_sum(list_transform(string_split(value, ''), lambda x, i: CASE WHEN (length(value) - i) % 2 = 1 "
         "THEN CASE WHEN CAST(x AS INTEGER) * 2 > 9 THEN CAST(x AS INTEGER) * 2 - 9 ELSE CAST(x AS INTEGER) * 2 END "
         "ELSE CAST(x AS INTEGER) END)) % 10 = 0")
@@ -175,9 +187,9 @@ verdict AS (SELECT f.request_id, f.tenant_id, coalesce(i.reason, t.reason, p.rea
 # --- responses -----------------------------------------------------------------------
 
 RESP = f"""
-r0 AS (SELECT conv_id AS request_id, 't' || (conv_id % 4) AS tenant_id, coalesce(({array(ds.REPLIES)})[(conv_id % 6) + 1], text) AS first,
-         text AS second, CAST(conv_id % 50 AS BIGINT) AS prompt_tokens, CAST(length(text) AS BIGINT) AS completion_tokens FROM conversations WHERE turn = 1),
-r1 AS (SELECT request_id, tenant_id, 0 AS choice_idx, first AS text FROM r0 UNION ALL SELECT request_id, tenant_id, 1, second FROM r0)"""
+r0 AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, 't' || (conv_id % 4) AS tenant_id, coalesce(({array(ds.REPLIES)})[(conv_id % 6) + 1], text) AS first,
+         text AS second, CAST(conv_id % 50 AS BIGINT) AS prompt_tokens, CAST(length(text) AS BIGINT) AS completion_tokens FROM conversations WHERE role = 'assistant'),
+r1 AS (SELECT request_id, conv_id, tenant_id, 0 AS choice_idx, first AS text FROM r0 UNION ALL SELECT request_id, conv_id, tenant_id, 1, second FROM r0)"""
 
 
 def restored(source: str, keys: str, tokens, table: str = "vault") -> str:
@@ -216,7 +228,7 @@ def output_rules(source: str) -> str:
     return f"""o1 AS (SELECT s.*, coalesce({length}, CASE WHEN tenant_id = 't2' THEN {schema} END) AS error,
     CASE WHEN choice_idx = 0 AND text <> '' THEN CASE tenant_id WHEN 't1' THEN {BY_FLAGS} WHEN 't2' THEN {BY_SCORE}
       ELSE CASE WHEN {WORDS} THEN 'Response contains toxic content' END END END AS tox
-  FROM {source} s LEFT JOIN labels l ON l.doc_id = s.request_id),
+  FROM {source} s LEFT JOIN labels l ON l.doc_id = s.conv_id),
 outv AS (SELECT request_id, coalesce(error, tox) IS NOT NULL AS blocked,
     CASE WHEN error IS NOT NULL THEN 'output_validator' WHEN tox IS NOT NULL THEN 'toxicity' END AS guardrail, coalesce(error, tox) AS reason
   FROM (SELECT request_id, arg_min(error, choice_idx) FILTER (WHERE error IS NOT NULL) AS error, max(tox) AS tox FROM o1 GROUP BY 1))"""
@@ -244,7 +256,7 @@ def limiter(source: str) -> str:
     ``source`` has request_id, tenant_id, tick (microseconds), rpm and rph.
     """
     return f"""lq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY tick, request_id) AS n FROM {source}),
-lw AS (SELECT tenant_id, 0::BIGINT AS n, 0::BIGINT AS request_id, 0::BIGINT AS tick, NULL::INTEGER AS rpm, NULL::INTEGER AS rph,
+lw AS (SELECT tenant_id, 0::BIGINT AS n, min(request_id) AS request_id, 0::BIGINT AS tick, NULL::INTEGER AS rpm, NULL::INTEGER AS rph,
          []::BIGINT[] AS seen, []::BIGINT[] AS seen_m, FALSE AS over_m, FALSE AS over_h FROM lq GROUP BY 1
   UNION ALL
   SELECT q.tenant_id, q.n, q.request_id, q.tick, q.rpm, q.rph,
@@ -271,22 +283,49 @@ tq AS (SELECT event_id AS request_id, event_type AS tenant_id, epoch_us(ts) AS t
 # --- streams ----------------------------------------------------------------------------
 
 W = ds.STREAM_WIDTH
+def slices(texts: str, out: str = "cs") -> str:
+    """CTE of the deltas of texts (stream_id, num, tenant_id, text, done) with the length up to each."""
+    return f"""{out} AS MATERIALIZED (SELECT stream_id, num, tenant_id, text, i AS seq, substr(text, i * {W} + 1, {W}) AS delta, least((i + 1) * {W}, length(text)) AS total
+    FROM (SELECT *, unnest(range(0, (length(text) - 1) // {W} + 1)) AS i FROM {texts}))"""
+
+
 CHUNKS = f"""
-ct AS MATERIALIZED (SELECT doc_id AS stream_id, 't' || (doc_id % 4) AS tenant_id, left(text, greatest(0, CAST(length(text) - doc_id % 30 AS BIGINT)))
+ct AS MATERIALIZED (SELECT doc_id AS stream_id, doc_id AS num, 't' || (doc_id % 4) AS tenant_id, left(text, greatest(0, CAST(length(text) - doc_id % 30 AS BIGINT)))
     || CASE doc_id % 5 WHEN 0 THEN ' just go die now' WHEN 1 THEN ' mail [PII_EMAIL_1] or [PII_EMAIL_7] [PII_' ELSE '' END
-    || right(text, CAST(doc_id % 30 AS BIGINT)) AS text FROM documents WHERE length(text) > 0),
-cs AS MATERIALIZED (SELECT stream_id, tenant_id, text, i AS seq, substr(text, i * {W} + 1, {W}) AS delta, least((i + 1) * {W}, length(text)) AS total
-    FROM (SELECT *, unnest(range(0, (length(text) - 1) // {W} + 1)) AS i FROM ct))"""
-LENGTH_CUT = """lc AS (SELECT stream_id, min(seq) AS seq, 'Response exceeds max length (' || min(total) || ' > 900 chars)' AS reason
-    FROM cs WHERE tenant_id NOT IN ('t1', 't2') AND total > 900 GROUP BY 1)"""
-WORD_CUT = f"""wc AS (SELECT stream_id, min(seq) AS seq, 'Response contains toxic content' AS reason FROM (
-    SELECT stream_id, seq, left(text, total) AS text FROM cs WHERE tenant_id NOT IN ('t1', 't2')) WHERE {WORDS} GROUP BY 1)"""
+    || right(text, CAST(doc_id % 30 AS BIGINT)) AS text, doc_id % 7 <> 0 AS done FROM documents WHERE length(text) > 0),
+{slices('ct')}"""
+
+
+def length_cut(source: str = "cs", out: str = "lc") -> str:
+    return f"""{out} AS (SELECT stream_id, min(seq) AS seq, 'Response exceeds max length (' || min(total) || ' > 900 chars)' AS reason
+    FROM {source} WHERE tenant_id NOT IN ('t1', 't2') AND total > 900 GROUP BY 1)"""
+
 
+def word_cut(source: str = "cs", out: str = "wc") -> str:
+    return f"""{out} AS (SELECT stream_id, min(seq) AS seq, 'Response contains toxic content' AS reason FROM (
+    SELECT stream_id, seq, left(text, total) AS text FROM {source} WHERE tenant_id NOT IN ('t1', 't2')) WHERE {WORDS} GROUP BY 1)"""
 
-def check_points(source: str) -> str:
-    return f"""cp AS (SELECT stream_id, 0::BIGINT AS last, -1::BIGINT AS seq FROM {source} GROUP BY 1
+
+LENGTH_CUT, WORD_CUT = length_cut(), word_cut()
+
+
+def check_points(source: str, out: str = "cp") -> str:
+    return f"""{out} AS (SELECT stream_id, 0::BIGINT AS last, -1::BIGINT AS seq FROM {source} GROUP BY 1
     UNION ALL
-    SELECT n.stream_id, min(n.total), min(n.seq) FROM cp JOIN {source} n ON n.stream_id = cp.stream_id AND n.total >= cp.last + 500 GROUP BY n.stream_id)"""
+    SELECT n.stream_id, min(n.total), min(n.seq) FROM {out} p JOIN {source} n ON n.stream_id = p.stream_id AND n.total >= p.last + 500 GROUP BY n.stream_id)"""
+
+
+def stream_verdicts(texts: str, source: str, x: str = "") -> str:
+    """CTE ``{x}sv(stream_id, tenant_id, outcome, guardrail, reason, cut_seq)``: first violation of each stream."""
+    return f"""{length_cut(source, x + 'lc')}, {word_cut(source, x + 'wc')}, {x}ms AS (SELECT * FROM {source} WHERE tenant_id IN ('t1', 't2')), {check_points(x + 'ms', x + 'cp')},
+{x}mc AS (SELECT stream_id, min(seq) AS seq, arg_min(reason, seq) AS reason FROM (SELECT p.stream_id, p.seq, CASE WHEN tenant_id = 't1' THEN
+      CASE WHEN (num + p.seq) % 9 = 0 THEN 'Content flagged by moderation API: harm' END
+    WHEN ((num + p.seq) % 8) / 10.0 >= 0.5 THEN 'Content flagged as toxic (score: ' || printf('%.2f', CAST(((num + p.seq) % 8) / 10.0 AS DOUBLE)) || ', threshold: 0.5)' END AS reason
+    FROM {x}cp p JOIN {x}ms m ON m.stream_id = p.stream_id AND m.seq = p.seq) WHERE reason IS NOT NULL GROUP BY 1),
+{x}sf AS (SELECT *, 0 AS rank FROM {x}lc UNION ALL SELECT *, 1 FROM {x}wc UNION ALL SELECT *, 1 FROM {x}mc),
+{x}sx AS (SELECT stream_id, arg_min(seq, seq * 2 + rank) AS seq, arg_min(rank, seq * 2 + rank) AS rank, arg_min(reason, seq * 2 + rank) AS reason FROM {x}sf GROUP BY 1),
+{x}sv AS (SELECT c.stream_id, c.tenant_id, CASE WHEN v.seq IS NOT NULL THEN 'output_blocked' WHEN c.done THEN 'passed' END AS outcome,
+  CASE v.rank WHEN 0 THEN 'output_validator' WHEN 1 THEN 'toxicity' END AS guardrail, v.reason, v.seq AS cut_seq FROM {texts} c LEFT JOIN {x}sx v USING (stream_id))"""
 
 
 # --- plans --------------------------------------------------------------------------------
@@ -341,7 +380,7 @@ def oracle_queries() -> dict[str, str]:
         "WHERE payload IS NOT NULL AND payload <> '' AND NOT regexp_matches(payload, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')")
     sql["topic_block"] = f"WITH {rules} SELECT request_id, topic_reason IS NOT NULL AS blocked, topic_reason AS reason FROM verdict"
     sql["input_verdicts"] = f"WITH {rules} SELECT request_id, tenant_id, blocked, guardrail, reason FROM verdict"
-    strangers = MSG.replace("'t' || (conv_id % 4)", "'stranger' || (conv_id % 3)")
+    strangers = message_tables("'stranger' || (conv_id % 3)")
     sql["input_verdicts_unlisted"] = (f"WITH {strangers}, {input_rules('mt', 'blocks')} "
                                       "SELECT request_id, tenant_id, blocked, guardrail, reason FROM verdict")
     sql["normalized_text"] = f"WITH {MSG} SELECT request_id, msg_idx, {normalised('text')} AS text FROM mt"
@@ -359,7 +398,9 @@ def oracle_queries() -> dict[str, str]:
     sql["toxicity_threshold"] = (f"SELECT d.doc_id AS request_id, CASE WHEN {spoken} AND {MODEL_SCORE} IS NOT NULL AND {tie} >= 0.1 THEN "
                                  f"'Content flagged as toxic (score: ' || printf('%.2f', {tie}) || ', threshold: 0.1)' END AS reason {labels}")
     reply_tokens = ["[PII_EMAIL_1]", "[PII_EMAIL_2]", "[PII_EMAIL_9]"]
-    replies = f"{ALL_VAULT}, {RESP}, r2 AS ({restored('r1', 'request_id, tenant_id, choice_idx', reply_tokens)})"
+    before = message_tables(exchanges=True)
+    replies = (f"{before},\n{spans('blocks', 'request_id, msg_idx, block_idx')},\n{vault('blocks', 'spans')}, {RESP}, "
+               f"r2 AS ({restored('r1', 'request_id, conv_id, tenant_id, choice_idx', reply_tokens)})")
     sql["restored_responses"] = f"WITH {replies} SELECT request_id, choice_idx, text FROM r2"
     sql["output_verdicts"] = f"WITH {replies}, {output_rules('r2')} SELECT request_id, blocked, guardrail, reason FROM outv"
     rewritten = f"""{{rules}}, live AS (SELECT b.* FROM {{blocks}} b JOIN verdict v USING (request_id) WHERE NOT v.blocked),
@@ -377,34 +418,40 @@ labels2 AS (SELECT s.*, coalesce(v.token, {PLACEHOLDER}) AS label FROM ls s LEFT
     sql["resolve_tenant"] = (f"SELECT n AS request_id, {tenant} AS tenant_id, ({tenant}) IS NULL AS rejected FROM (SELECT DISTINCT conv_id AS n FROM conversations)")
     sql["resolve_tenant_open"] = ("SELECT n AS request_id, CASE WHEN n % 11 = 0 THEN 't0' WHEN n % 2 = 0 THEN 'default' ELSE 't7' END AS tenant_id, "
                                   "FALSE AS rejected FROM (SELECT DISTINCT conv_id AS n FROM conversations)")
-    cascade_msg = MSG.replace("mt AS (", "mt_all AS (").replace("blocks AS (", "blocks_all AS (")
-    req = f"""rq AS MATERIALIZED (SELECT n AS request_id, {tenant} AS tenant_id, CASE WHEN n % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS api,
-    1704067200000000 + n * 20000000 AS tick, CASE WHEN {tenant} = 't0' THEN 1 END::INTEGER AS rpm, CASE WHEN {tenant} = 't0' THEN 20 END::INTEGER AS rph
-  FROM (SELECT DISTINCT conv_id AS n FROM conversations) WHERE {tenant} IS NOT NULL),
+    cascade_msg = message_tables(texts="mt_all", parts="blocks_all", exchanges=True)
+    req = f"""rq AS MATERIALIZED (SELECT n || '-' || reply AS request_id, {tenant} AS tenant_id, CASE WHEN n % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS api,
+    1704067200000000 + n * 20000000 + reply * 1000000 AS tick, n AS conv_id, n + reply AS num, reply % 3 = 0 AS stream,
+    CASE WHEN {tenant} = 't0' THEN 1 END::INTEGER AS rpm, CASE WHEN {tenant} = 't0' THEN 20 END::INTEGER AS rph
+  FROM (SELECT conv_id AS n, reply FROM ex) WHERE {tenant} IS NOT NULL),
 {limiter('rq')},
-alive AS MATERIALIZED (SELECT r.request_id, r.tenant_id FROM rq r JOIN lim l USING (request_id) WHERE NOT l.limited),
+alive AS MATERIALIZED (SELECT r.request_id, r.tenant_id, r.stream, r.num FROM rq r JOIN lim l USING (request_id) WHERE NOT l.limited),
 mt AS MATERIALIZED (SELECT m.* REPLACE (a.tenant_id AS tenant_id) FROM mt_all m JOIN alive a USING (request_id)),
 blocks AS MATERIALIZED (SELECT b.* REPLACE (a.tenant_id AS tenant_id) FROM blocks_all b JOIN alive a USING (request_id))"""
-    tail = f"""{RESP}, ra AS (SELECT r.* REPLACE (a.tenant_id AS tenant_id) FROM r1 r JOIN alive a USING (request_id)),
-r2 AS ({restored('ra', 'request_id, tenant_id, choice_idx', reply_tokens, 'tv')}), {output_rules('r2')},
+    streams = f"""xt AS MATERIALIZED (SELECT request_id AS stream_id, a.num, a.tenant_id, repeat(second, CAST(conv_id % 4 + 1 AS BIGINT)) || coalesce(({array(ds.REPLIES)})[(conv_id % 6) + 1], '') AS text,
+    turn % 7 <> 0 AS done FROM r0 JOIN alive a USING (request_id) WHERE a.stream),
+{slices('xt', 'xs')}, {stream_verdicts('xt', 'xs', 'x')}"""
+    tail = f"""{RESP}, {streams}, ra AS (SELECT r.* REPLACE (a.tenant_id AS tenant_id) FROM r1 r JOIN alive a USING (request_id) WHERE NOT a.stream),
+r2 AS ({restored('ra', 'request_id, conv_id, tenant_id, choice_idx', reply_tokens, 'tv')}), {output_rules('r2')},
+ov AS (SELECT request_id, blocked, guardrail, reason FROM outv UNION ALL
+       SELECT stream_id, outcome = 'output_blocked', guardrail, reason FROM xsv WHERE outcome IS NOT NULL),
 st AS (SELECT r.*, l.limited, l.reason AS lim_reason, v.blocked AS inb, v.guardrail AS ing, v.reason AS inr, o.blocked AS outb, o.guardrail AS outg,
-    o.reason AS outr, u.prompt_tokens AS pt, u.completion_tokens AS ct,
+    o.reason AS outr, CASE WHEN NOT r.stream THEN u.prompt_tokens END AS pt, CASE WHEN NOT r.stream THEN u.completion_tokens END AS ct,
     NOT l.limited AND NOT coalesce(v.blocked, FALSE) AND o.blocked IS NOT NULL AND NOT o.blocked AS ok
-  FROM rq r JOIN lim l USING (request_id) LEFT JOIN verdict v USING (request_id) LEFT JOIN outv o USING (request_id) LEFT JOIN r0 u USING (request_id)),
-cap AS (SELECT *, tenant_id = 't0' AND NOT limited AND coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY tenant_id ORDER BY tick
+  FROM rq r JOIN lim l USING (request_id) LEFT JOIN verdict v USING (request_id) LEFT JOIN ov o USING (request_id) LEFT JOIN r0 u USING (request_id)),
+cap AS (SELECT *, tenant_id = 't0' AND NOT limited AND coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY tenant_id ORDER BY tick, request_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 5 AS capped FROM st),
 fin AS (SELECT *, CASE WHEN limited OR capped THEN 'rate_limited' WHEN inb THEN 'input_blocked' WHEN outb THEN 'output_blocked' WHEN ok THEN 'passed' END AS outcome FROM cap)
 SELECT request_id, tenant_id, api, outcome, CASE WHEN NOT limited AND NOT capped THEN CASE WHEN inb THEN ing WHEN outb THEN outg END END AS guardrail,
   CASE WHEN limited THEN lim_reason WHEN capped THEN 'Monthly request limit reached (5 requests). Upgrade your plan to continue.'
        WHEN inb THEN inr WHEN outb THEN outr END AS reason,
-  CASE WHEN outcome = 'passed' THEN pt END AS prompt_tokens, CASE WHEN outcome = 'passed' THEN ct END AS completion_tokens
+  CASE WHEN outcome = 'passed' THEN pt END AS prompt_tokens, CASE WHEN outcome = 'passed' THEN ct END AS completion_tokens{{more}}
 FROM fin WHERE outcome IS NOT NULL"""
     cascade_rules = f"{cascade_msg}, {req}, {input_rules('mt', 'blocks')}"
-    sql["request_outcomes"] = f"WITH RECURSIVE {rewritten.replace('{rules}', cascade_rules).replace('{blocks}', 'blocks')}, {tail}"
-
-    sql["cascade_audit"] = f"""SELECT o.request_id AS id, o.tenant_id, o.outcome, o.reason, m.messages FROM ({sql["request_outcomes"]}) o
-LEFT JOIN (WITH {MSG} SELECT request_id, string_agg(role || ': ' || text, chr(10) ORDER BY msg_idx) AS messages FROM mt GROUP BY 1) m USING (request_id)
-WHERE o.api = 'openai' ORDER BY id DESC LIMIT 500"""
+    outcomes = f"WITH RECURSIVE {rewritten.replace('{rules}', cascade_rules).replace('{blocks}', 'blocks')}, {tail}"
+    sql["request_outcomes"] = outcomes.replace("{more}", "")
+    sql["cascade_audit"] = f"""WITH newest AS ({outcomes.replace("{more}", ", tick")} AND api = 'openai' ORDER BY tick DESC, request_id DESC LIMIT 500)
+SELECT o.request_id, o.tenant_id, o.outcome, o.reason, m.messages FROM newest o
+LEFT JOIN (WITH {before} SELECT request_id, string_agg(role || ': ' || text, chr(10) ORDER BY msg_idx) AS messages FROM mt GROUP BY 1) m USING (request_id)"""
     alert = (f"WITH {AUDIT} SELECT id AS request_id, outcome AS event, 't' || (id % 4) AS tenant_id, api, 'https://hooks.example.com/t' || (id % 4) AS url, "
              "reason, tenant_id AS preview FROM log WHERE (id % 4 = 0 AND outcome IN ('input_blocked', 'rate_limited')) OR (id % 4 = 1 AND outcome <> 'passed')")
     sql["alerts"] = alert
@@ -470,6 +517,9 @@ SELECT tenant_id, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(input_toke
     sql["token_metrics_rollup"] = f"WITH {AUDIT}, {RECENT} SELECT tenant_id, api, CAST(grouping(tenant_id, api) AS BIGINT) AS level, {SUMS} FROM recent GROUP BY ROLLUP (tenant_id, api)"
     sql["monthly_usage"] = f"WITH {AUDIT} SELECT tenant_id, strftime(ts, '%Y-%m') AS month, count(*) AS passed_requests FROM log WHERE outcome = 'passed' GROUP BY 1, 2"
     sql["recent_audit"] = f"WITH {AUDIT} SELECT id, epoch_us(ts) AS ts, tenant_id, api, outcome, reason, prompt_tokens, completion_tokens FROM log WHERE tenant_id = 'click' AND api = 'openai' ORDER BY id DESC LIMIT 50"
+    sql["audit_sink"] = f"""WITH {AUDIT} SELECT row_number() OVER (ORDER BY ts, id) AS id, id AS request_id, CASE WHEN id % 101 <> 0 THEN tenant_id END AS tenant_id, api,
+  CASE WHEN id % 103 = 0 THEN 'unknown' ELSE outcome END AS outcome,
+  CASE WHEN id % 101 = 0 THEN 'no tenant' WHEN id % 103 = 0 THEN 'unknown outcome' ELSE reason END AS reason, prompt_tokens FROM log"""
     sql["account_usage"] = f"""WITH {AUDIT}, s AS (SELECT tenant_id, {STATS} FROM log GROUP BY 1),
 u AS (SELECT tenant_id, count(*) AS n FROM log WHERE outcome = 'passed' AND date_trunc('month', ts) = DATE '2024-01-01' GROUP BY 1),
 p(plan_used, price_monthly, monthly_requests, rpm, rph) AS (VALUES {PLAN_ROWS}),
@@ -497,18 +547,9 @@ SELECT request_id, tenant_id, coalesce(used >= cap, FALSE) AS capped,
     sql["stream_length_cutoff"] = f"WITH {CHUNKS}, {LENGTH_CUT} SELECT stream_id, seq, reason FROM lc"
     sql["stream_toxicity_cutoff"] = f"WITH {CHUNKS}, {WORD_CUT} SELECT stream_id, seq, reason FROM wc"
     sql["stream_check_points"] = f"WITH RECURSIVE {CHUNKS}, {check_points('cs')} SELECT stream_id, seq, last AS total FROM cp WHERE seq >= 0"
-    sql["stream_outcome"] = f"""WITH RECURSIVE {CHUNKS}, {LENGTH_CUT}, {WORD_CUT}, ms AS (SELECT * FROM cs WHERE tenant_id IN ('t1', 't2')), {check_points('ms')},
-mc AS (SELECT cp.stream_id, min(seq) AS seq, arg_min(reason, seq) AS reason FROM (SELECT cp.stream_id, cp.seq, CASE WHEN cp.stream_id % 4 = 1 THEN
-      CASE WHEN (cp.stream_id + cp.seq) % 9 = 0 THEN 'Content flagged by moderation API: harm' END
-    WHEN ((cp.stream_id + cp.seq) % 8) / 10.0 >= 0.5 THEN 'Content flagged as toxic (score: ' || printf('%.2f', CAST(((cp.stream_id + cp.seq) % 8) / 10.0 AS DOUBLE)) || ', threshold: 0.5)' END AS reason
-    FROM cp WHERE seq >= 0) cp WHERE reason IS NOT NULL GROUP BY 1),
-f AS (SELECT *, 0 AS rank FROM lc UNION ALL SELECT *, 1 FROM wc UNION ALL SELECT *, 1 FROM mc),
-v AS (SELECT stream_id, arg_min(seq, seq * 2 + rank) AS seq, arg_min(rank, seq * 2 + rank) AS rank, arg_min(reason, seq * 2 + rank) AS reason FROM f GROUP BY 1)
-SELECT c.stream_id, c.tenant_id, CASE WHEN v.seq IS NOT NULL THEN 'output_blocked' WHEN c.stream_id % 7 <> 0 THEN 'passed' END AS outcome,
-  CASE v.rank WHEN 0 THEN 'output_validator' WHEN 1 THEN 'toxicity' END AS guardrail, v.reason, v.seq AS cut_seq FROM ct c LEFT JOIN v USING (stream_id)"""
-    sql["delivered_rows"] = sql["stream_outcome"].replace("SELECT c.stream_id, c.tenant_id, CASE", "z AS (SELECT c.stream_id, c.tenant_id, CASE").rstrip() + """)
-SELECT cs.stream_id, cs.seq, cs.delta FROM cs JOIN z USING (stream_id) WHERE z.cut_seq IS NULL OR cs.seq < z.cut_seq"""
-    sql["delivered_rows"] = sql["delivered_rows"].replace("\nz AS", ",\nz AS")
+    ended = f"WITH RECURSIVE {CHUNKS}, {stream_verdicts('ct', 'cs')}"
+    sql["stream_outcome"] = f"{ended} SELECT * FROM sv"
+    sql["delivered_rows"] = f"{ended} SELECT cs.stream_id, cs.seq, cs.delta FROM cs JOIN sv USING (stream_id) WHERE cut_seq IS NULL OR cs.seq < cut_seq"
     partial = lit(fv.PARTIAL_TOKEN_PATTERN + r"\n?\z")
     emit = f"total - CASE WHEN stream_id % 3 = 0 THEN 0 ELSE length(regexp_extract(right(left(text, total), 64), {partial})) END"
     back = "CASE WHEN stream_id % 3 = 0 THEN x ELSE replace(x, '[PII_EMAIL_1]', 'user' || stream_id || '@example.com') END"

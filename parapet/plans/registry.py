@@ -15,7 +15,7 @@ from parapet.operators import audit, chunks, limits, policy, verdicts
 from parapet.operators import pii as pii_ops
 from parapet.plans import cascade
 from parapet.plans import datasets as ds
-from parapet.sources import sse, traffic
+from parapet.sources import sse, tables, traffic
 from parapet.sources.local import local_table
 from parapet.storage import new_path, remove, written
 from parapet.streaming import guard, limiter, rollup
@@ -198,18 +198,19 @@ def toxicity_threshold(spark, sf):
     return _moderated(spark, sf, "perspective")
 
 
-def _exchange_vault(spark, sf):
-    return pii_ops.tokenize_pii(pii_ops.text_rows(ds.exchange_messages(spark, sf).drop("tenant_id", "role"))).vault
+def _restored_replies(spark, sf):
+    """Replies with the tokens of the messages before them put back: one vault per conversation, read up to the reply."""
+    said = ds.thread_messages(spark, sf).withColumnRenamed("thread_id", "request_id").drop("tenant_id", "role")
+    vault = pii_ops.tokenize_pii(pii_ops.text_rows(said), positions=True).vault
+    return pii_ops.restore_responses(ds.responses(spark, sf), vault, "thread_id", "upto")
 
 
 def output_verdicts(spark, sf):
-    return cascade.check_outputs(ds.responses(spark, sf), _exchange_vault(spark, sf), ds.policies(spark),
-                                 ds.exchange_moderation(spark, sf))[0]
+    return verdicts.output_verdicts(_restored_replies(spark, sf), ds.policies(spark), ds.exchange_moderation(spark, sf))
 
 
 def restored_responses(spark, sf):
-    d = pii_ops.restore_responses(ds.responses(spark, sf), _exchange_vault(spark, sf))
-    return d.select("request_id", "choice_idx", text.message_text(F.col("content")).alias("text"))
+    return _restored_replies(spark, sf).select("request_id", "choice_idx", text.message_text(F.col("content")).alias("text"))
 
 
 # --- whole requests -----------------------------------------------------------------
@@ -237,28 +238,27 @@ def forwarded_messages(spark, sf):
     return d.select("request_id", "msg_idx", text.message_text(F.col("content")).alias("text"))
 
 
-def _said(spark, sf):
-    # read by many branches: written once, which also keeps the plans small
-    return written(ds.exchange_messages(spark, sf), "exchanges")
-
-
-def _outcomes(spark, sf, messages):
+def _outcomes(spark, sf):
     return cascade.run_cascade(
-        written(ds.exchange_requests(spark, sf), "requests"), messages, ds.responses(spark, sf), ds.policies(spark),
-        ds.keys(spark), ds.request_accounts(spark), ds.small_plans(spark), ds.exchange_moderation(spark, sf))
+        written(ds.exchange_requests(spark, sf), "requests"), ds.thread_messages(spark, sf), ds.responses(spark, sf).drop("thread_id", "upto"),
+        ds.policies(spark), ds.keys(spark), ds.request_accounts(spark), ds.small_plans(spark), ds.exchange_moderation(spark, sf),
+        threads=ds.threads(spark, sf), streams=ds.exchange_streams(spark, sf), scores=ds.exchange_scores(spark, sf))
 
 
 def request_outcomes(spark, sf):
-    return _outcomes(spark, sf, _said(spark, sf)).select("request_id", "tenant_id", "api", "outcome", "guardrail", "reason",
+    return _outcomes(spark, sf).select("request_id", "tenant_id", "api", "outcome", "guardrail", "reason",
                                        "prompt_tokens", "completion_tokens")
 
 
 def cascade_audit(spark, sf):
-    """The cascade's own log, newest entries with their messages."""
-    messages = _said(spark, sf)
-    log = audit.audit_entries(_outcomes(spark, sf, messages), messages)
-    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
-    return audit.recent_audit(log, 500, api="openai").select("id", "tenant_id", "outcome", "reason", said.alias("messages"))
+    """The cascade's own log through the audit table: newest entries with their messages."""
+    path = new_path(spark, "audit")
+    tables.write_audit(_outcomes(spark, sf), path)
+    newest = audit.recent_audit(tables.read_audit(spark, path), 500, api="openai")
+    said = ds.thread_messages(spark, sf).join(ds.threads(spark, sf).join(newest.select("request_id"), "request_id"), "thread_id").where(
+        F.col("msg_idx") < F.col("upto")).select("request_id", "msg_idx", "role", "content")
+    shown = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return audit.with_messages(newest, said).select("request_id", "tenant_id", "outcome", "reason", shown.alias("messages"))
 
 
 def guardrail_report(spark, sf):
@@ -374,6 +374,27 @@ def recent_audit(spark, sf):
     return d.select("id", micros("ts"), "tenant_id", "api", "outcome", "reason", "prompt_tokens", "completion_tokens")
 
 
+def audit_sink(spark, sf):
+    """The log as a stream of batches leaves it, some rows unfit and two batches written twice; faults show in place of reasons."""
+    n = F.col("request_id")
+    rows = ds.audit_log(spark, sf).withColumnRenamed("id", "request_id").select(
+        "request_id", "ts", F.when(n % 101 != 0, F.col("tenant_id")).alias("tenant_id"), "api",
+        F.when(n % 103 == 0, "unknown").otherwise(F.col("outcome")).alias("outcome"), "reason", "prompt_tokens", "completion_tokens")
+    path, source, state = (new_path(spark, name) for name in ("audit", "audit-in", "audit-state"))
+    _in_time_order(rows, source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    tables.stream_audit(stream, path, state).awaitTermination()
+    # what a restart does: the last batch again, and the first
+    batches = tables.next_batch(spark, path)
+    ranges = tables.read_audit(spark, path).unionByName(tables.read_set_aside(spark, path), allowMissingColumns=True)
+    for again in sorted({0, max(0, batches - 1)}):
+        tables.write_audit(written(ranges.where(F.col("batch") == again).select(*rows.columns), "again"), path, again)
+    remove(spark, source, state)
+    kept, aside = tables.read_audit(spark, path), tables.read_set_aside(spark, path)
+    out = kept.withColumn("fault", F.lit(None).cast("string")).unionByName(aside, allowMissingColumns=True)
+    return out.select("id", "request_id", "tenant_id", "api", "outcome", F.coalesce("fault", "reason").alias("reason"), "prompt_tokens")
+
+
 def account_usage(spark, sf):
     return audit.account_usage(ds.audit_log(spark, sf), ds.usage_accounts(spark), policy.plans_table(spark), as_of())
 
@@ -425,10 +446,7 @@ def stream_check_points(spark, sf):
 
 
 def _scores(spark, sf):
-    n, s = F.col("stream_id"), F.col("seq")
-    d = ds.chunks(spark, sf).where(~F.col("closes"))
-    return d.select(n, s, ((n + s) % 9 == 0).alias("flagged"),
-                    F.create_map(F.lit("harm"), F.lit(True)).alias("categories"), ((n + s) % 8 / 10).alias("score"))
+    return ds.chunk_scores(ds.chunks(spark, sf), "stream_id", F.col("stream_id"))
 
 
 def stream_outcome(spark, sf):
@@ -480,21 +498,18 @@ def sse_anthropic(spark, sf):
 # --- live jobs, run to the end of what there is -------------------------------------------
 
 def _in_time_order(frame, path):
-    """The rows as files of about ``LIVE_ROWS`` rows, one written after the other in order of time."""
-    spark, at = frame.sparkSession, F.unix_micros("ts")
-    n = -(-frame.count() // LIVE_ROWS)
-    cuts = frame.select(at.cast("double").alias("at")).approxQuantile(
-        "at", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    cuts = F.array(*[F.lit(int(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    staged = new_path(spark, "live-slices")
-    # equal times stay in one slice
-    frame.withColumn("_slice", F.size(F.filter(cuts, lambda c: c <= at))).write.partitionBy("_slice").parquet(staged)
-    # an empty folder is a source without rows
-    frame.limit(0).write.parquet(path)
-    slices = spark.read.schema("_slice int").parquet(staged).select("_slice").distinct().collect() if n else []
-    for i in sorted(r[0] for r in slices):
-        spark.read.schema(frame.schema).parquet(f"{staged}/_slice={i}").coalesce(1).write.mode("append").parquet(path)
-    remove(spark, staged)
+    """The rows as files of about ``LIVE_ROWS`` rows each, one range of time per file, ranges side by side.
+
+    Equal times stay in one file.  A stream takes files by their age, so the files are given ages in order of time.
+    """
+    spark = frame.sparkSession
+    ranged = frame.repartitionByRange(max(1, -(-frame.count() * 5 // (LIVE_ROWS * 4))), "ts")
+    ranged.sortWithinPartitions("ts").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(names):
+        files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), 1_000_000_000_000 + 1000 * i, -1)
 
 
 def _live(frame, build, in_order=False):
@@ -575,7 +590,7 @@ QUERIES = {f.__name__: f for f in (
     output_verdicts, restored_responses, input_verdicts, input_verdicts_unlisted, forwarded_messages, request_outcomes, cascade_audit, guardrail_report,
     alerts, signed_alerts, resolve_tenant, resolve_tenant_open, policy_resolved, requests_from_json, responses_from_json,
     audit_stats, top_block_reasons, token_metrics_by_api, token_metrics, token_metrics_rollup, monthly_usage,
-    recent_audit, account_usage, audit_by_minute, tenant_sessions,
+    recent_audit, audit_sink, account_usage, audit_by_minute, tenant_sessions,
     rate_limit_decisions, rate_limit_status, request_rate, monthly_cap,
     stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, delivered_rows, stream_restore,
     rate_limit_live, audit_rollup_live, stream_guard_live, stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}

@@ -89,11 +89,11 @@ def test_plans(spark, tmp_path):
     assert "NestedLoop" not in plan_of(rate_limit(r, lim))
 
 
-def test_audit_entries_hold_messages(spark):
+def test_audit_rows_hold_messages(spark):
     m = message_frame(spark, [(1, "t", 1, "assistant", ["b"]), (1, "t", 0, "user", ["mail a@x.org"]), (2, "t", 0, "user", [None, "c"])])
     o = spark.createDataFrame([(1, "passed"), (2, "passed"), (3, "rate_limited")], "request_id long, outcome string")
-    got = {r["id"]: r["messages"] for r in audit.audit_entries(o, m).collect()}
+    got = {r["request_id"]: r["messages"] for r in audit.with_messages(o, m).collect()}
     assert [tuple(x) for x in got[1]] == [("user", "mail a@x.org"), ("assistant", "b")]
     assert [x["text"] for x in got[2]] == ["c"] and got[3] is None
-    clean = {r["id"]: r["messages"] for r in audit.audit_entries(o, m, redact=True).collect()}
+    clean = {r["request_id"]: r["messages"] for r in audit.with_messages(o, m, redact=True).collect()}
     assert clean[1][0]["text"] == "mail [REDACTED_EMAIL]"
