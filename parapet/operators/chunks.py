@@ -7,16 +7,17 @@ length and the few characters before it that a match could reach back to.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet import fixed_values as fv
 from parapet.functions import checks, patterns, pii
-from parapet.operators.folds import ROWS_PER_SLICE, sliced_fold
 from parapet.operators.pii import restore_texts
 from parapet.operators.scan import preceding_text, running
 from parapet.operators.verdicts import with_policy
+from parapet.storage import written
 
 BLOCK_ROWS = 4096
 # Held text of a live stream never needs to be longer than its longest token.
@@ -62,52 +63,92 @@ def word_violations(chunks: DataFrame, policies: DataFrame) -> DataFrame:
         "reason", F.lit("Response contains toxic content"))
 
 
-CHECK_SCHEMA = "stream_id string, slice int, carried boolean, seq long, total long"
+def _leap(totals: np.ndarray, last: np.ndarray, every: int) -> np.ndarray:
+    """Place of the first total that has grown by ``every`` since each of ``last``."""
+    return np.searchsorted(totals, last + every)
 
 
-def _check_fold(every: int, keep_state: bool):
-    def fold(batches):
-        """Pick rows in order; a change of stream starts at length 0."""
-        stream, last = None, 0
+def _exits(before: int, totals: np.ndarray, every: int) -> np.ndarray:
+    """For a block of deltas, how far behind its end the last check is, by how far behind its start it was.
+
+    The text cannot have grown by ``every`` since the last check, or the start would be one,
+    so ``every`` entries tell all there is to know about a block.
+    """
+    last = before - np.arange(every)
+    on = np.arange(every)
+    while len(on):
+        at = _leap(totals, last[on], every)
+        on, at = on[at < len(totals)], at[at < len(totals)]
+        last[on] = totals[at]
+    return totals[-1] - last
+
+
+def _check_tables(every: int):
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("total")
+        totals = rows["total"].to_numpy(np.int64)
+        table = _exits(int(totals[0] - rows["size"].iloc[0]), totals, every)
+        return pd.DataFrame({"stream_id": [key[0]], "block": [key[1]], "exits": [table.astype("<i4").tobytes()]})
+    return run
+
+
+def _check_entries(batches):
+    """Entry of every block of a stream, from the exits of the blocks before it, in order."""
+    stream, behind = None, 0
+    for pdf in batches:
+        entries = []
+        for s, exits in zip(pdf["stream_id"], pdf["exits"]):
+            if s != stream:
+                stream, behind = s, 0
+            entries.append(behind)
+            behind = int(np.frombuffer(exits, dtype="<i4")[behind])
+        yield pdf[["stream_id", "block"]].assign(behind=entries)
+
+
+def _check_picks(every: int):
+    def run(batches):
+        """Rows of (stream, block) in order, the first of each telling where the last check was."""
+        key, last = None, 0
         for pdf in batches:
-            picked, ended = [], []
-            for i, (s, carried, total) in enumerate(zip(*[pdf[c].tolist() for c in ("stream_id", "carried", "total")])):
-                if s != stream:
-                    if keep_state and stream is not None:
-                        ended.append((stream, last))
-                    stream, last = s, 0
-                if carried:
-                    last = total
-                elif total >= last + every:
-                    last = total
-                    picked.append(i)
-            yield pdf.iloc[picked]
-            if ended:
-                yield _check_state(ended)
-        if keep_state and stream is not None:
-            yield _check_state([(stream, last)])
-    return fold
-
-
-def _check_state(ended) -> pd.DataFrame:
-    return pd.DataFrame([{"stream_id": s, "slice": 0, "carried": True, "seq": -1, "total": last} for s, last in ended])
-
-
-def check_points(chunks: DataFrame, every: int = fv.MODEL_CHECK_INTERVAL,
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+            stream, block = pdf["stream_id"].to_numpy(object), pdf["block"].to_numpy(np.int64)
+            totals, sizes, behind = (pdf[c].to_numpy(np.int64) for c in ("total", "size", "behind"))
+            starts = np.flatnonzero(np.r_[True, (stream[1:] != stream[:-1]) | (block[1:] != block[:-1])]) if len(pdf) else []
+            picked = []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                if (stream[lo], block[lo]) != key:
+                    key, last = (stream[lo], block[lo]), totals[lo] - sizes[lo] - behind[lo]
+                own = totals[lo:hi]
+                while (at := int(_leap(own, last, every))) < len(own):
+                    picked.append(lo + at)
+                    last = own[at]
+            yield pdf[["stream_id", "seq", "total"]].iloc[picked]
+    return run
+
+
+def check_points(chunks: DataFrame, every: int = fv.MODEL_CHECK_INTERVAL, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Deltas at which a costly model would score the text so far.
 
     That is the first delta at which the text has grown by ``every`` characters
-    since the last such delta.
+    since the last such delta.  Blocks of a stream are looked at side by side: each gives a
+    table from how far behind its start the last check may be to the same at its end, tables are
+    followed in order (one row per block), and with its entry known each block picks its own rows.
+    Streams of one block need no table.
     """
-    d = prefix_lengths(chunks.select("stream_id", "seq", "delta"))
     id_type = chunks.schema["stream_id"].dataType
-    biggest = chunks.groupBy("stream_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    slices = int(max(biggest - 1, 0) // rows_per_slice) + 1
-    rows = d.select(F.col("stream_id").cast("string").alias("stream_id"),
-                    F.floor((F.col("rank") - 1) / rows_per_slice).cast("int").alias("slice"),
-                    F.lit(False).alias("carried"), "seq", F.col("total").cast("long").alias("total"))
-    out = sliced_fold(rows, ["stream_id"], ["total"], slices, _check_fold(every, slices > 1), CHECK_SCHEMA)
+    d = prefix_lengths(chunks.select("stream_id", "seq", "delta")).select(
+        F.col("stream_id").cast("string").alias("stream_id"), F.floor((F.col("rank") - 1) / block_rows).alias("block"), "seq",
+        F.col("total").cast("long").alias("total"), F.length("delta").cast("long").alias("size"))
+    # read twice: written once, without the texts
+    d = written(d, "lengths")
+    long = d.where("block > 0").select("stream_id").distinct()
+    tables = d.join(long, "stream_id", "left_semi").groupBy("stream_id", "block").applyInPandas(
+        _check_tables(every), "stream_id string, block long, exits binary")
+    entries = tables.repartition("stream_id").sortWithinPartitions("stream_id", "block").mapInPandas(
+        _check_entries, "stream_id string, block long, behind long")
+    keys = ["stream_id", "block"]
+    rows = d.join(entries, keys, "left").withColumn("behind", F.coalesce("behind", F.lit(0)))
+    out = rows.repartition(*keys).sortWithinPartitions(*keys, "total").mapInPandas(
+        _check_picks(every), "stream_id string, seq long, total long")
     return out.select(F.col("stream_id").cast(id_type).alias("stream_id"), "seq", "total")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,9 +56,55 @@ class Limiter:
 
 FOLD_SCHEMA = ("tenant_id string, episode long, slice int, carried boolean, hot boolean, at long, request_id {id}, "
                "rpm int, rph int, reason string, retry_after int")
+NOBODY = np.iinfo(np.int64).min
 
 
-def _state_rows(key, limiter: Limiter, rpm, rph) -> pd.DataFrame:
+class Leaps:
+    """The limiter of one key over sorted arrays of times, from one allowed request to the next.
+
+    While a window is full nothing changes until its oldest time has left it, so all
+    requests up to there are refused at once: the work is in proportion to allowed requests and
+    stretches, not to refused ones.  Allowed times are kept as far as the widest window reaches.
+    """
+
+    def __init__(self, rpm: int | None, rph: int | None):
+        self.windows = [(w, int(n), label) for w, n, label in ((MINUTE, rpm, "minute"), (HOUR, rph, "hour")) if n is not None]
+        self.allowed: list[int] = []
+
+    def record(self, times: list[int]) -> None:
+        self.allowed.extend(times)
+
+    def decide(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which window (number, -1: allowed) refuses each request, and its oldest time then (``NOBODY``: limit 0)."""
+        by = np.full(len(at), -1, dtype=np.int8)
+        oldest = np.full(len(at), NOBODY, dtype=np.int64)
+        if not self.windows or not len(at):
+            return by, oldest
+        kept, i, n = self.allowed, 0, len(at)
+        while i < n:
+            now, end = int(at[i]), n
+            for w, (width, limit, _) in enumerate(self.windows):
+                if limit == 0:
+                    by[i:n] = w
+                    break
+                if len(kept) >= limit and kept[-limit] >= now - width:
+                    # full until its oldest time is more than a width ago; an earlier window may fill no more in between
+                    end = int(np.searchsorted(at, kept[-limit] + width, side="right"))
+                    by[i:end], oldest[i:end] = w, kept[-limit]
+                    break
+            else:
+                kept.append(now)
+                end = i + 1
+            i = max(end, i + 1)
+        del kept[:-max(max(limit for _, limit, _ in self.windows), 1)]
+        return by, oldest
+
+    def times(self) -> list[int]:
+        """Allowed times that can still matter, oldest first."""
+        return list(self.allowed)
+
+
+def _state_rows(key, limiter: Leaps, rpm, rph) -> pd.DataFrame:
     times = limiter.times()
     return pd.DataFrame({
         "tenant_id": key[0], "episode": key[1], "slice": 0, "carried": True, "hot": False, "at": times,
@@ -69,25 +116,35 @@ def _fold(keep_state: bool):
         """Decide rows in order; a change of key starts an empty limiter."""
         key = limiter = rpm = rph = None
         for pdf in batches:
-            reasons, waits, ended = [], [], []
-            columns = [pdf[c].tolist() for c in ("tenant_id", "episode", "carried", "at")]
-            rpms = pdf["rpm"].astype(object).where(pdf["rpm"].notna(), None).tolist()
-            rphs = pdf["rph"].astype(object).where(pdf["rph"].notna(), None).tolist()
-            for tenant, episode, carried, at, m, h in zip(*columns, rpms, rphs):
-                if (tenant, episode) != key:
+            ended, results = [], []
+            at = pdf["at"].to_numpy(np.int64)
+            carried = pdf["carried"].to_numpy(bool)
+            tenant, episode = pdf["tenant_id"].to_numpy(object), pdf["episode"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, (tenant[1:] != tenant[:-1]) | (episode[1:] != episode[:-1])]) if len(pdf) else []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                if (tenant[lo], episode[lo]) != key:
                     if keep_state and key is not None:
                         ended.append(_state_rows(key, limiter, rpm, rph))
-                    key, rpm, rph = (tenant, episode), m, h
-                    limiter = Limiter(m, h)
-                if carried:
-                    limiter.record(at)
-                    reason = wait = None
-                else:
-                    reason, wait = limiter.decide(at)
-                reasons.append(reason)
-                waits.append(wait)
-            out = pdf.assign(reason=reasons, retry_after=pd.array(waits, dtype="Int32"))
-            yield out[~pdf["carried"]]
+                    key = tenant[lo], episode[lo]
+                    rpm, rph = (None if pd.isna(v) else int(v) for v in pdf[["rpm", "rph"]].iloc[lo])
+                    limiter = Leaps(rpm, rph)
+                first = lo + int(carried[lo:hi].sum())
+                limiter.record(at[lo:first].tolist())
+                by, oldest = limiter.decide(at[first:hi])
+                reason, wait = np.full(hi - lo, None, dtype=object), np.full(hi - lo, -1, dtype=np.int64)
+                for w, (width, limit, label) in enumerate(limiter.windows):
+                    here = np.flatnonzero(by == w)
+                    reason[here + first - lo] = f"Rate limit exceeded: {limit} requests per {label}"
+                    none = oldest[here] == NOBODY
+                    left = np.where(none, 0, oldest[here]) + width - at[first:hi][here]
+                    wait[here + first - lo] = np.where(none, width // 1_000_000, np.maximum(1, left // 1_000_000 + 1))
+                results.append((reason, wait))
+            if results:
+                wait = np.concatenate([w for _, w in results])
+                out = pdf.assign(reason=np.concatenate([r for r, _ in results]),
+                                 retry_after=pd.array(wait, dtype="Int32"))
+                out.loc[wait < 0, "retry_after"] = pd.NA
+                yield out[~carried]
             yield from ended
         if keep_state and key is not None:
             yield _state_rows(key, limiter, rpm, rph)

@@ -1,9 +1,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parapet.operators import limits
+from parapet.operators.limits import Leaps, Limiter, rate_limit
 
 START = 1_704_067_200_000_000
 
@@ -104,3 +106,38 @@ def test_monthly_cap(spark):
         assert got[i][0] == want
         used[t, month] = used.get((t, month), 0) + ok
     assert {v[1] for k, v in got.items() if v[0]} == {"Monthly request limit reached (3 requests). Upgrade your plan to continue."}
+
+
+def test_leaps_equal_one_by_one_decisions():
+    rng = random.Random(11)
+    for case in range(300):
+        rpm, rph = rng.choice([None, 0, 1, 2, 5]), rng.choice([None, 0, 1, 3, 8])
+        at, times = 1_700_000_000_000_000, []
+        for _ in range(rng.randrange(0, 120)):
+            at += rng.choice([0, 0, 1_000_000, 20_000_000, 60_000_000, 60_000_001, 900_000_000, 3_600_000_000])
+            times.append(at)
+        plain, leaps = Limiter(rpm, rph), Leaps(rpm, rph)
+        want = [plain.decide(t) for t in times]
+        got, cut = [], rng.randrange(0, len(times) + 1)
+        for part in (times[:cut], times[cut:]):
+            part = np.array(part, dtype=np.int64)
+            by, oldest = leaps.decide(part)
+            for t, w, o in zip(part.tolist(), by.tolist(), oldest.tolist()):
+                if w < 0:
+                    got.append((None, None))
+                    continue
+                width, limit, label = leaps.windows[w]
+                wait = width // 1_000_000 if limit == 0 else max(1, (o + width - t) // 1_000_000 + 1)
+                got.append((f"Rate limit exceeded: {limit} requests per {label}", wait))
+        assert got == want, (case, rpm, rph)
+
+
+def test_a_key_that_is_always_over_its_limit(spark):
+    n = 200_000
+    r = spark.range(n).select(F.col("id").alias("request_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 7_000).alias("ts"),
+                              F.lit("hot").alias("tenant_id"))
+    lim = spark.createDataFrame([("hot", True, 5, 60)], "tenant_id string, enabled boolean, requests_per_minute int, requests_per_hour int")
+    got = rate_limit(r, lim, rows_per_slice=30_000)
+    allowed = sorted(x[0] for x in got.where("NOT limited").select("request_id").collect())
+    plain = Limiter(5, 60)
+    assert allowed == [i for i in range(n) if plain.decide(1_704_067_200_000_000 + i * 7_000)[0] is None] and got.count() == n

@@ -94,7 +94,7 @@ def test_restored_text_and_holding(spark, monkeypatch):
             assert sent == ready.replace("[PII_EMAIL_1]", "alice@example.com")
 
 
-def test_check_points_in_slices(spark):
+def test_check_points_in_blocks(spark):
     rng = random.Random(1)
     streams = {f"s{i}": ["x" * rng.choice([1, 40, 300, 700]) for _ in range(60)] for i in range(5)}
     want = set()
@@ -106,7 +106,7 @@ def test_check_points_in_slices(spark):
                 last = total
                 want.add((sid, i, total))
     for size in (1000, 13):
-        got = {tuple(r) for r in chunks.check_points(frame(spark, streams), rows_per_slice=size).collect()}
+        got = {tuple(r) for r in chunks.check_points(frame(spark, streams), block_rows=size).collect()}
         assert got == want
 
 
