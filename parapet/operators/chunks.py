@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet import fixed_values as fv
 from parapet.functions import checks, patterns, pii
-from parapet.operators.pii import restore_texts
 from parapet.operators.scan import preceding_text, running
 from parapet.operators.verdicts import with_policy
 from parapet.storage import written
@@ -84,7 +84,7 @@ def _exits(before: int, totals: np.ndarray, every: int) -> np.ndarray:
 
 
 def _check_tables(every: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("total")
         totals = rows["total"].to_numpy(np.int64)
         table = _exits(int(totals[0] - rows["size"].iloc[0]), totals, every)
@@ -199,43 +199,123 @@ def partial_token(text: Column, longest: int = LONGEST_TOKEN) -> Column:
     return F.when(F.contains(tail, F.lit("[")), F.length(found)).otherwise(0)
 
 
+MARKS = ("stream_id {id}, seq {seq}, delta string, owned boolean, before string, reaches boolean, last int, range int, "
+         "first {id}, first_event int, single boolean")
+NOT_LAST, LAST, UNDECIDED = 0, 1, 2
+NOTHING, TEXT, CLOSE = 0, 1, 2
+
+
+def _mark(longest: int, columns: list[str]):
+    def run(batches):
+        """Text rows of a range with the text before them, and one row that sums the range up.
+
+        ``reaches``: the text before goes back to the range's start, where more may come before it.
+        The summary's ``before`` is the text at the range's end, its ``last`` whether a row there is undecided.
+        """
+        number, out = TaskContext.get().partitionId(), []
+        stream = first = held = None
+        tail, from_start, started, runs, first_event = "", True, False, 0, NOTHING
+
+        def decide(last: int) -> None:
+            nonlocal held
+            if held is not None:
+                out.append((*held, last, number, None, None, None))
+                held = None
+
+        for pdf in batches:
+            for s, seq, delta, closes, owned in zip(*[pdf[c].tolist() for c in ("stream_id", "seq", "delta", "closes", "owned")]):
+                if not started or s != stream:
+                    decide(NOT_LAST)
+                    stream, tail, from_start, runs = s, "", not started, runs + 1
+                    if not started:
+                        first, started = s, True
+                if delta:
+                    decide(NOT_LAST)
+                    if runs == 1 and first_event == NOTHING:
+                        first_event = TEXT
+                    held = (s, seq, delta, owned, tail if owned else "", from_start and len(tail) < longest)
+                    tail = (tail + delta)[-longest:]
+                if closes:
+                    if runs == 1 and first_event == NOTHING:
+                        first_event = CLOSE
+                    decide(LAST)
+                    tail, from_start = "", False
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if started:
+            undecided = held is not None
+            decide(UNDECIDED)
+            out.append((stream, None, None, None, tail, from_start, UNDECIDED if undecided else NOT_LAST, number, first, first_event, runs == 1))
+            yield pd.DataFrame(out, columns=columns)
+    return run
+
+
+def _handed_back(summaries: list, longest: int) -> list[tuple[int, str, bool]]:
+    """(range, text before it, whether its undecided row turned out to be the last before a close)."""
+    before: dict[int, str] = {}
+    closed: dict[int, bool] = {}
+    stream, tail, waiting, begun = None, "", None, False
+    for r in sorted(summaries, key=lambda r: r["range"]):
+        goes_on = begun and r["first"] == stream
+        begun = True
+        if goes_on:
+            before[r["range"]] = tail
+            if waiting is not None and r["first_event"] != NOTHING:
+                closed[waiting] = r["first_event"] == CLOSE
+                waiting = None
+        else:
+            waiting = None
+        undecided = r["last"] == UNDECIDED
+        if goes_on and r["single"] and r["reaches"]:
+            tail = (tail + r["before"])[-longest:]
+            waiting = r["range"] if undecided else waiting
+        else:
+            stream, tail, waiting = r["stream_id"], r["before"], r["range"] if undecided else None
+    return [(n, before.get(n, ""), closed.get(n, False)) for n in before.keys() | closed.keys()]
+
+
 def restore_stream(chunks: DataFrame, vault: DataFrame) -> DataFrame:
     """Text each delta releases once tokens are put back, and the text flushed at its end.
 
     A trailing piece that may become a token is held until it is decided; held
     text is flushed where the stream (or its content block) closes.  A stream without
     vault rows has nothing to put back: its deltas pass as they are.
+
+    Chunks are laid out once as ranges of (stream, place).  Inside a range, the few characters before each
+    row are carried along; each range leaves one summary row, and what the ranges before
+    it hold is handed back to it, so a stream may be spread over any number of tasks.
     """
-    owners = vault.select(F.col("request_id").alias("stream_id")).distinct()
-    texts = chunks.where(F.col("delta") != "")
-    plain = texts.join(owners, "stream_id", "left_anti").select("stream_id", "seq", "delta", F.lit("").alias("flushed"))
+    spark = chunks.sparkSession
+    owners = vault.select(F.col("request_id").alias("stream_id")).distinct().withColumn("owned", F.lit(True))
     longest = max(LONGEST_TOKEN, vault.agg(F.max(F.length("token"))).first()[0] or 0)
-    held = _restore_held(chunks.join(owners, "stream_id", "left_semi"), vault, longest)
-    return held.unionByName(plain)
-
-
-def _restore_held(chunks: DataFrame, vault: DataFrame, longest: int) -> DataFrame:
-    block = F.floor(F.col("seq") / BLOCK_ROWS)
-    closes = F.col("closes").cast("int")
-    d = running(chunks, ["stream_id"], ["seq"], block, sums={"__closed": closes})
-    d = d.withColumn("part", F.col("__closed") - closes).drop("__closed")
-    keys = ["stream_id", "part"]
-    closed = d.groupBy(*keys).agg(F.max("closes").alias("part_closed"))
-    texts = d.where(F.col("delta") != "").select(*keys, "seq", "delta")
-    texts = running(texts, keys, ["seq"], block, sums={"rank": F.lit(1)})
-    last = texts.groupBy(*keys).agg(F.max("rank").alias("last_rank"))
-    texts = preceding_text(texts, keys, "rank", F.col("delta"), longest, "before")
-    texts = texts.join(last, keys).join(closed, keys)
-    whole = F.concat(F.col("before"), F.col("delta"))
-    texts = texts.withColumn("held", partial_token(whole, longest))
-    ready = F.concat(F.right("before", partial_token(F.col("before"), longest)), F.col("delta"))
+    types = {k: chunks.schema[c].dataType.simpleString() for k, c in (("id", "stream_id"), ("seq", "seq"))}
+    schema = MARKS.format(**types)
+    d = chunks.select("stream_id", "seq", "delta", "closes").join(owners, "stream_id", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+    columns = [f.split()[0] for f in schema.split(", ")]
+    marks = written(d.repartitionByRange("stream_id", "seq").sortWithinPartitions("stream_id", "seq").mapInPandas(
+        _mark(longest, columns), schema), "marks")
+    # one row and a few characters per range
+    back = _handed_back(marks.where("first_event IS NOT NULL").collect(), longest)
+    back = F.broadcast(spark.createDataFrame(back, "range int, carried string, closed boolean"))
+    # a range may begin in the middle of a stream only
+    firsts = F.broadcast(marks.where("first_event IS NOT NULL").select("range", F.col("first").alias("__first")))
+    d = marks.where("delta IS NOT NULL").drop("first", "first_event", "single").join(back, "range", "left").join(firsts, "range", "left")
+    before = F.when(F.col("reaches") & F.col("owned") & (F.col("stream_id") == F.col("__first")), F.right(
+        F.concat(F.coalesce("carried", F.lit("")), F.col("before")), F.lit(longest))).otherwise(F.col("before"))
+    is_last = (F.col("last") == LAST) | ((F.col("last") == UNDECIDED) & F.coalesce("closed", F.lit(False)))
+    d = d.select("stream_id", "seq", "delta", "owned", before.alias("before"), is_last.alias("is_last"))
+    whole = F.concat("before", "delta")
     # a right() of length 0 is empty
-    texts = texts.withColumn("ready", ready)
-    text = F.left("ready", F.length("ready") - F.col("held"))
-    flush = F.when((F.col("rank") == F.col("last_rank")) & F.col("part_closed"), F.right(whole, F.col("held"))).otherwise("")
-    rows = texts.select("stream_id", "seq", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), text.alias("text")), F.struct(F.lit(1).alias("kind"), flush.alias("text")),
-    )).alias("x")).select("stream_id", "seq", "x.*").where((F.col("kind") == 0) | (F.col("text") != ""))
-    return restore_texts(rows, vault, ["stream_id", "seq", "kind"], owner="stream_id").groupBy("stream_id", "seq").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("text"))).alias("delta"),
-        F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("text"))), F.lit("")).alias("flushed"))
+    d = d.withColumn("held", F.when(F.col("owned"), partial_token(whole, longest)).otherwise(0)).withColumn(
+        "ready", F.concat(F.right("before", F.when(F.col("owned"), partial_token(F.col("before"), longest)).otherwise(0)), F.col("delta")))
+    d = d.select("stream_id", "seq", "owned", F.left("ready", F.length("ready") - F.col("held")).alias("delta"),
+                 F.when(F.col("is_last"), F.right(whole, F.col("held"))).otherwise("").alias("flushed"))
+    both = F.concat("delta", F.lit("\n"), "flushed")
+    holds = F.col("owned") & F.contains(both, F.lit("[PII_"))
+    named = d.where(holds).select("stream_id", "seq", F.explode(pii.text_tokens(both)).alias("token"))
+    known = named.join(vault.select(F.col("request_id").alias("stream_id"), "token", "value"), ["stream_id", "token"]).groupBy(
+        "stream_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__vault"))
+    return d.join(known, ["stream_id", "seq"], "left").select(
+        "stream_id", "seq", *[F.when(F.col("__vault").isNotNull(), pii.restore_tokens(F.col(c), F.col("__vault"))).otherwise(F.col(c)).alias(c)
+                              for c in ("delta", "flushed")])

@@ -22,7 +22,8 @@ def _text(value: Column, path: str) -> Column:
 def openai_deltas(lines: DataFrame) -> DataFrame:
     """``data:`` lines up to the first ``[DONE]``; an empty choice list is an empty delta."""
     data = lines.where(F.startswith("line", F.lit("data: "))).withColumn("body", F.substr("line", F.lit(7)))
-    done = data.where(F.col("body") == "[DONE]").groupBy("stream_id").agg(F.min("seq").alias("done_seq"))
+    # streams with an end mark are few values; a stream's lines are never gathered
+    done = lines.where(F.col("line") == "data: [DONE]").groupBy("stream_id").agg(F.min("seq").alias("done_seq"))
     rows = data.join(done, "stream_id", "left").where(
         F.col("done_seq").isNull() | (F.col("seq") <= F.col("done_seq")))
     chunk = parsed_json(F.when(F.col("body") != "[DONE]", F.col("body")))

@@ -94,6 +94,38 @@ def test_restored_text_and_holding(spark, monkeypatch):
             assert sent == ready.replace("[PII_EMAIL_1]", "alice@example.com")
 
 
+def test_streams_spread_over_ranges_are_restored(spark, monkeypatch):
+    """Few streams over many ranges: text before a range, tokens over its edge, closes that come after it."""
+    rng = random.Random(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        rows, want = [], {}
+        for s in range(4):
+            part, out, seq = "", "", 0
+            for i in range(rng.choice([3, 40, 90])):
+                piece = rng.choice(["[PII_", "EMAIL_1]", "[PII_EMAIL_", "1", "]", "x ", "[", "y" * 70])
+                close = rng.random() < 0.1
+                rows += [(f"s{s}", seq, piece, False)] + [(f"s{s}", seq + 1 + k, "", False) for k in range(rng.choice([0, 0, 3]))]
+                seq += 5
+                part += piece
+                if close:
+                    rows.append((f"s{s}", seq, "", True))
+                    seq += 1
+                    out, part = out + part.replace("[PII_EMAIL_1]", "a@b.org"), ""
+            rows.append((f"s{s}", seq, "", True))
+            want[f"s{s}"] = out + part.replace("[PII_EMAIL_1]", "a@b.org")
+        d = spark.createDataFrame(rows, "stream_id string, seq long, delta string, closes boolean")
+        vault = spark.createDataFrame([(s, "[PII_EMAIL_1]", "a@b.org") for s in want if s != "s2"], "request_id string, token string, value string")
+        got = chunks.restore_stream(d, vault).collect()
+        for s, whole in want.items():
+            mine = "".join(x.delta + x.flushed for x in sorted((r for r in got if r.stream_id == s), key=lambda r: r.seq))
+            assert mine == (whole if s != "s2" else "".join(x[2] for x in rows if x[0] == "s2"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_check_points_in_blocks(spark):
     rng = random.Random(1)
     streams = {f"s{i}": ["x" * rng.choice([1, 40, 300, 700]) for _ in range(60)] for i in range(5)}
