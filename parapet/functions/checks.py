@@ -29,21 +29,33 @@ def parsed_json(text: Column) -> Column:
     return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.r", "variant"))
 
 
-def json_type(value: Column) -> Column:
-    """Type name of a variant: string, integer, float, boolean, array, object, null.
+#: Pieces of a JSON text: strings, what lies between them, and quotes that open no string.
+_PIECES = r'(?s)"(?:[^"\\]|\\.)*+"|[^"]++|"'
+_ALONE, _ENDS = r"(?<![\w.+-])", r"(?![\w.])"
+_WHOLE = r"-?(?:0|[1-9][0-9]*+)"
+_INTEGER = _ALONE + _WHOLE + r"(?![\w.])"
+_FLOAT = _ALONE + "(?:NaN|-?Infinity|" + _WHOLE + r"(?:\.[0-9]+(?:[eE][-+]?[0-9]+)?|[eE][-+]?[0-9]+))" + _ENDS
+
+
+def json_shape(text: Column) -> Column:
+    """The text as a variant whose numbers only keep their kind; null unless it is one JSON value.
 
-    An integer literal is stored as a decimal only beyond 64 bits; a whole number
-    written with a fraction is stored as a decimal of scale 0 within 64 bits.
+    A number's kind is read off its spelling, so integers of any length are integers, and ``NaN``,
+    ``Infinity`` and ``-Infinity`` are floats.
     """
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    plain = F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(
+        F.regexp_replace(F.regexp_replace(p, _INTEGER, "7"), _FLOAT, "0.5")))
+    return parsed_json(F.array_join(plain, ""))
+
+
+def json_type(value: Column) -> Column:
+    """Type name of a value of ``json_shape``: string, integer, float, boolean, array, object, null."""
     kind = F.schema_of_variant(value)
-    number = F.try_variant_get(value, "$", "decimal(38,0)")
-    wide = (number > F.lit(2**63 - 1)) | (number < F.lit(-(2**63)))
     return (F.when(kind == "VOID", "null")
             .when(kind == "STRING", "string")
             .when(kind == "BOOLEAN", "boolean")
             .when(kind == "BIGINT", "integer")
-            .when(F.rlike(kind, F.lit(r"^DECIMAL\(\d+,0\)$")),
-                  F.when(wide, "integer").otherwise("float"))
             .when(F.rlike(kind, F.lit("^(DECIMAL|DOUBLE|FLOAT)")), "float")
             .when(F.startswith(kind, F.lit("ARRAY")), "array")
             .when(F.startswith(kind, F.lit("OBJECT")), "object"))
@@ -67,7 +79,7 @@ def schema_error(text: Column, schema: dict | Column | None) -> Column:
     active = schema.isNotNull() & ~F.rlike(schema, F.lit(r"^\s*(\{\s*\}|null)\s*$"))
     parts = F.from_json(schema, SCHEMA_DDL)
     rules = F.from_json(F.get_json_object(schema, "$.properties"), "map<string,string>")
-    bound = F.struct(parsed_json(text).alias("v"), parts["required"].alias("required"),
+    bound = F.struct(json_shape(text).alias("v"), parts["required"].alias("required"),
                      rules.alias("rules"))
 
     def check(b: Column) -> Column:

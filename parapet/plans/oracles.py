@@ -389,7 +389,10 @@ def oracle_queries() -> dict[str, str]:
     body = ("CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN props || ' tail' WHEN 2 THEN '{\"k\": \"' || event_type || '\"}' WHEN 3 THEN '[' || props || ']' "
             "WHEN 4 THEN '{\"j\": ' || user_id || '}' ELSE '{\"k\": ' || user_id || '.0, \"v\": null}' END")
     rule = schema_check("body", "k", typed("body", "k", "integer") + " " + typed("body", "v", "string"))
-    sql["output_json_schema"] = f"WITH b AS (SELECT event_id, {body} AS body FROM events) SELECT event_id, {rule} AS reason FROM b"
+    odd = array(["field 'k' expected type integer", "field 'k' expected type integer", None, "field 'k' expected type integer",
+                 "Response is not valid JSON (schema validation required)", "Response is not valid JSON (schema validation required)"])
+    sql["output_json_schema"] = (f"WITH b AS (SELECT event_id, {body} AS body FROM events) SELECT event_id, "
+                                 f"CASE WHEN event_id % 11 = 0 THEN ({odd})[(event_id // 11) % 6 + 1] ELSE {rule} END AS reason FROM b")
     sql["toxicity_wordlist"] = f"WITH {MSG} SELECT request_id, msg_idx, {WORDS} AS toxic FROM mt"
     labels = "FROM documents d LEFT JOIN labels l USING (doc_id)"
     spoken = "doc_id % 5 <> 0 AND text <> ''"

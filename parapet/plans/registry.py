@@ -164,7 +164,10 @@ def output_max_length(spark, sf):
 def output_json_schema(spark, sf):
     d = ds.table(spark, sf, "events")
     n = F.col("event_id")
-    body = F.when(n % 6 == 0, F.col("props")).when(n % 6 == 1, F.concat(F.col("props"), F.lit(" tail"))).when(
+    # numbers that only their spelling tells apart, in every eleventh row
+    odd = ['{"k": NaN}', '{"k": -Infinity, "v": "NaN 1.0"}', '{"k": 123456789012345678901234567890123456789012345}', '{"k": 1e999}', '{"k": 01}', '{"k": -NaN}']
+    body = F.when(n % 11 == 0, ds.pick(odd, F.floor(n / 11) % len(odd))).when(
+        n % 6 == 0, F.col("props")).when(n % 6 == 1, F.concat(F.col("props"), F.lit(" tail"))).when(
         n % 6 == 2, F.concat(F.lit('{"k": "'), F.col("event_type"), F.lit('"}'))).when(
         n % 6 == 3, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(
         n % 6 == 4, F.concat(F.lit('{"j": '), F.col("user_id").cast("string"), F.lit("}"))).otherwise(
