@@ -363,6 +363,12 @@ def oracle_queries() -> dict[str, str]:
     token_spans = "ts AS (SELECT s.*, v.token FROM spans s JOIN vault v USING (request_id, ptype, value))"
     sql["pii_tokenize"] = (f"WITH {ALL_VAULT}, {token_spans}, {replaced('blocks', 'request_id, msg_idx, block_idx', 'ts', 'token', 'done')} "
                            "SELECT request_id, msg_idx, block_idx, text FROM done")
+    prompt = "'Mail admin' || conv_id || '@example.net or user' || conv_id || '@example.com, call 555-867-5309 ' || text"
+    system = (f"sys AS (SELECT conv_id AS request_id, 2147483647 AS msg_idx, 0 AS block_idx, {prompt} AS text FROM (SELECT conv_id, arg_min(text, turn) AS text "
+              "FROM conversations GROUP BY 1)), every AS (SELECT request_id, msg_idx, block_idx, text FROM blocks UNION ALL SELECT * FROM sys)")
+    sql["pii_system_prompt"] = (
+        f"WITH {MSG}, {system},\n{spans('every', 'request_id, msg_idx, block_idx')},\n{vault('every', 'spans')}, {token_spans}, "
+        f"{replaced('every', 'request_id, msg_idx, block_idx', 'ts', 'token', 'done')} SELECT request_id, text FROM done WHERE msg_idx = 2147483647")
     tokens = ["[PII_EMAIL_1]", "[PII_EMAIL_2]", "[PII_EMAIL_3]", "[PII_PHONE_1]"]
     sql["pii_restore"] = (f"WITH {ALL_VAULT}, q AS (SELECT conv_id AS request_id, turn AS msg_idx, text || ' {' '.join(tokens)} [PII_X_1]' AS text "
                           f"FROM conversations) {restored('q', 'request_id, msg_idx', tokens)}")
@@ -406,6 +412,8 @@ def oracle_queries() -> dict[str, str]:
                f"r2 AS ({restored('r1', 'request_id, conv_id, tenant_id, choice_idx', reply_tokens)})")
     sql["restored_responses"] = f"WITH {replies} SELECT request_id, choice_idx, text FROM r2"
     sql["output_verdicts"] = f"WITH {replies}, {output_rules('r2')} SELECT request_id, blocked, guardrail, reason FROM outv"
+    several = ("sb AS (SELECT request_id || '-' || msg_idx AS request_id, request_id AS conv_id, tenant_id, 0 AS choice_idx, text FROM mt WHERE role = 'assistant')")
+    sql["output_blocks"] = f"WITH {MSG}, {several}, {output_rules('sb')} SELECT request_id, blocked, guardrail, reason FROM outv"
     rewritten = f"""{{rules}}, live AS (SELECT b.* FROM {{blocks}} b JOIN verdict v USING (request_id) WHERE NOT v.blocked),
 {spans('live', 'request_id, msg_idx, block_idx', "tenant_id <> 't1'", 'ls')},
 tlive AS (SELECT * FROM live WHERE tenant_id = 't0'), tspans AS (SELECT s.* FROM ls s JOIN (SELECT DISTINCT request_id FROM tlive) USING (request_id)),
@@ -455,6 +463,11 @@ FROM fin WHERE outcome IS NOT NULL"""
     sql["cascade_audit"] = f"""WITH newest AS ({outcomes.replace("{more}", ", tick")} AND api = 'openai' ORDER BY tick DESC, request_id DESC LIMIT 500)
 SELECT o.request_id, o.tenant_id, o.outcome, o.reason, m.messages FROM newest o
 LEFT JOIN (WITH {before} SELECT request_id, string_agg(role || ': ' || text, chr(10) ORDER BY msg_idx) AS messages FROM mt GROUP BY 1) m USING (request_id)"""
+    sql["cascade_alerts"] = f"""WITH o AS ({outcomes.replace("{more}", ", capped")}),
+m AS (WITH {before} SELECT request_id, arg_max(left(CASE WHEN idx = 15 THEN plant ELSE body END, 200), msg_idx) AS preview FROM mt
+      WHERE CASE WHEN idx = 15 THEN plant ELSE body END <> '' GROUP BY 1)
+SELECT request_id, outcome AS event, tenant_id, api, 'https://hooks.example.com/' || tenant_id AS url, guardrail, reason, coalesce(preview, '') AS message_preview
+FROM o LEFT JOIN m USING (request_id) WHERE NOT capped AND ((tenant_id = 't0' AND outcome IN ('input_blocked', 'rate_limited')) OR (tenant_id = 't1' AND outcome <> 'passed'))"""
     alert = (f"WITH {AUDIT} SELECT id AS request_id, outcome AS event, 't' || (id % 4) AS tenant_id, api, 'https://hooks.example.com/t' || (id % 4) AS url, "
              "reason, tenant_id AS preview FROM log WHERE (id % 4 = 0 AND outcome IN ('input_blocked', 'rate_limited')) OR (id % 4 = 1 AND outcome <> 'passed')")
     sql["alerts"] = alert

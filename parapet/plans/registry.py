@@ -115,6 +115,17 @@ def pii_vault(spark, sf):
     return _tokenized(spark, sf).vault
 
 
+def pii_system_prompt(spark, sf):
+    """System prompts share the vault of their request and come after all its messages."""
+    n = F.col("conv_id").cast("string")
+    prompt = F.concat(F.lit("Mail admin"), n, F.lit("@example.net or user"), n, F.lit("@example.com, call 555-867-5309 "), F.col("text"))
+    first = ds.table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    system = first.select(F.col("conv_id").alias("request_id"), F.lit(pii_ops.SYSTEM_INDEX).alias("msg_idx"), F.lit(0).alias("block_idx"), prompt.alias("text"))
+    rows = pii_ops.text_rows(ds.messages(spark, sf).drop("tenant_id", "role")).select(*system.columns).unionByName(system)
+    done = pii_ops.tokenize_pii(rows).texts.where(F.col("msg_idx") == pii_ops.SYSTEM_INDEX)
+    return done.select("request_id", "text")
+
+
 def pii_restore(spark, sf):
     d = ds.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("request_id"), F.col("turn").alias("msg_idx"),
@@ -216,6 +227,13 @@ def restored_responses(spark, sf):
     return _restored_replies(spark, sf).select("request_id", "choice_idx", text.message_text(F.col("content")).alias("text"))
 
 
+def output_blocks(spark, sf):
+    """Replies of several blocks: their texts are checked as one, joined by a space."""
+    said = ds.messages(spark, sf).where(F.col("role") == "assistant")
+    replies = said.select(F.concat_ws("-", "request_id", "msg_idx").alias("request_id"), "tenant_id", F.lit(0).alias("choice_idx"), "content")
+    return verdicts.output_verdicts(replies, ds.policies(spark), ds.exchange_moderation(spark, sf))
+
+
 # --- whole requests -----------------------------------------------------------------
 
 def input_verdicts(spark, sf):
@@ -264,6 +282,16 @@ def cascade_audit(spark, sf):
     return audit.with_messages(newest, said).select("request_id", "tenant_id", "outcome", "reason", shown.alias("messages"))
 
 
+def cascade_alerts(spark, sf):
+    """What tenants hear of the cascade's own outcomes; a request over its monthly cap raises no alert."""
+    blocked = written(_outcomes(spark, sf).where((F.col("outcome") != "passed") & ~F.col("capped")), "blocked")
+    said = ds.thread_messages(spark, sf).withColumnRenamed("thread_id", "request_id")
+    places = ds.threads(spark, sf).withColumnRenamed("thread_id", "thread").join(blocked.select("request_id"), "request_id")
+    d = al.alerts(blocked.join(al.prefix_previews(said, places), "request_id", "left"), ds.policies(spark))
+    return d.select("request_id", "event", "tenant_id", "api", "url", *[
+        F.get_json_object("payload", f"$.{k}").alias(k) for k in ("guardrail", "reason", "message_preview")])
+
+
 def guardrail_report(spark, sf):
     d = ds.messages(spark, sf).select(
         (F.col("request_id") * 100 + F.col("msg_idx")).alias("request_id"), "tenant_id",
@@ -587,10 +615,10 @@ def effective_limits(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     message_text, user_messages, mapped_text, bearer_token, message_preview, normalized_text,
-    pii_spans, pii_cards, pii_redact, pii_redact_some, pii_block, pii_profile, pii_tokenize, pii_vault, pii_restore,
+    pii_spans, pii_cards, pii_redact, pii_redact_some, pii_block, pii_profile, pii_tokenize, pii_vault, pii_system_prompt, pii_restore,
     injection_score, injection_documents, injection_block, injection_profile, base64_payloads, topic_block,
     output_max_length, output_json_schema, toxicity_wordlist, toxicity_labels, toxicity_threshold,
-    output_verdicts, restored_responses, input_verdicts, input_verdicts_unlisted, forwarded_messages, request_outcomes, cascade_audit, guardrail_report,
+    output_verdicts, output_blocks, restored_responses, input_verdicts, input_verdicts_unlisted, forwarded_messages, request_outcomes, cascade_audit, cascade_alerts, guardrail_report,
     alerts, signed_alerts, resolve_tenant, resolve_tenant_open, policy_resolved, requests_from_json, responses_from_json,
     audit_stats, top_block_reasons, token_metrics_by_api, token_metrics, token_metrics_rollup, monthly_usage,
     recent_audit, audit_sink, account_usage, audit_by_minute, tenant_sessions,
