@@ -585,6 +585,7 @@ SELECT c.stream_id, CAST(length(coalesce(t, '')) AS BIGINT) AS chars, md5(coales
   CASE WHEN cut IS NOT NULL THEN 'output_blocked' WHEN c.stream_id % 7 <> 0 THEN 'passed' END AS outcome,
   CASE rank WHEN 0 THEN 'output_validator' WHEN 1 THEN 'toxicity' END AS guardrail, v.reason
 FROM ct c LEFT JOIN v USING (stream_id) LEFT JOIN g USING (stream_id)"""
+    sql["stream_guard_live_vault"] = sql["stream_guard_live"]
     sql["sse_openai"] = f"""WITH {CHUNKS} SELECT stream_id, seq, delta, FALSE AS closes, FALSE AS finished FROM cs
 UNION ALL SELECT stream_id, 1000000000, '', TRUE, TRUE FROM ct WHERE stream_id % 7 <> 0"""
     sql["sse_anthropic"] = f"""WITH {CHUNKS} SELECT stream_id, seq * 3 + 1 AS seq, delta, FALSE AS closes, FALSE AS finished FROM cs

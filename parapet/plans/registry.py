@@ -528,13 +528,13 @@ def sse_anthropic(spark, sf):
 
 # --- live jobs, run to the end of what there is -------------------------------------------
 
-def _in_time_order(frame, path):
+def _in_time_order(frame, path, at_least=1):
     """The rows as files of about ``LIVE_ROWS`` rows each, one range of time per file, ranges side by side.
 
     Equal times stay in one file.  A stream takes files by their age, so the files are given ages in order of time.
     """
     spark = frame.sparkSession
-    ranged = frame.repartitionByRange(max(1, -(-frame.count() * 5 // (LIVE_ROWS * 4))), "ts")
+    ranged = frame.repartitionByRange(max(at_least, -(-frame.count() * 5 // (LIVE_ROWS * 4))), "ts")
     ranged.sortWithinPartitions("ts").write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -543,16 +543,16 @@ def _in_time_order(frame, path):
         files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), 1_000_000_000_000 + 1000 * i, -1)
 
 
-def _live(frame, build, in_order=False):
+def _live(frame, build, in_order=False, at_least=1):
     """Result of a streaming job over the frame's rows as files in the shared folder.
 
-    ``in_order`` gives one file of bounded size to each micro-batch.
+    ``in_order`` gives one file of bounded size to each micro-batch, ``at_least`` so many files where rows allow it.
     """
     spark = frame.sparkSession
     source, sink, at = (new_path(spark, name) for name in ("live-in", "live-out", "live-state"))
     reader = spark.readStream.schema(frame.schema)
     if in_order:
-        _in_time_order(frame, source)
+        _in_time_order(frame, source, at_least)
         reader = reader.option("maxFilesPerTrigger", 1)
     else:
         frame.write.parquet(source)
@@ -587,17 +587,37 @@ def audit_rollup_live(spark, sf):
     return d.select(micros("minute"), "tenant_id", "outcome", "requests")
 
 
-def stream_guard_live(spark, sf):
-    """Per stream: what came through, as length and hash, and how it ended."""
-    d = ds.chunks(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.least("seq", F.lit(100000))))
-    vault = ds.stream_vault(spark, sf).select(F.col("request_id").alias("stream_id"), F.create_map("token", "value").alias("vault"))
-    out = _live(d, lambda s: guard.guard_stream(s, ds.policies(spark), vault))
+def _guarded(out):
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return out.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(
         F.sum(F.length("text")).alias("chars"), F.md5(whole).alias("text_md5"), F.max("outcome").alias("outcome"),
         F.max("guardrail").alias("guardrail"), F.max("reason").alias("reason"))
 
 
+def stream_guard_live(spark, sf):
+    """Per stream: what came through, as length and hash, and how it ended."""
+    d = ds.chunks(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.least("seq", F.lit(100000))))
+    vault = ds.stream_vault(spark, sf).select(F.col("request_id").alias("stream_id"), F.create_map("token", "value").alias("vault"))
+    return _guarded(_live(d, lambda s: guard.guard_stream(s, ds.policies(spark), vault)))
+
+
+def stream_guard_live_vault(spark, sf):
+    """The same with a vault that fills up while the job runs: its rows come a little before their stream, in at least eight batches."""
+    def at(stream, step):
+        # streams start five seconds apart and send ten chunks a second
+        return F.timestamp_millis(F.lit(1704067200000) + stream * 5000 + F.least(step, F.lit(3500)) * 100)
+
+    sent = ds.chunks(spark, sf).withColumn("ts", at(F.col("stream_id"), F.col("seq") + 2))
+    known = ds.stream_vault(spark, sf).select(F.col("request_id").alias("stream_id"), "token", "value").withColumn("ts", at(F.col("stream_id"), F.lit(0)))
+    both = sent.unionByName(known, allowMissingColumns=True)
+
+    def build(rows):
+        of_vault = F.col("token").isNotNull()
+        return guard.guard_stream(rows.where(~of_vault).drop("token", "value"), ds.policies(spark), rows.where(of_vault).select("stream_id", "ts", "token", "value"))
+
+    return _guarded(_live(both, build, in_order=True, at_least=8))
+
+
 # --- plans ---------------------------------------------------------------------------------
 
 def _history(spark, sf):
@@ -624,5 +644,5 @@ QUERIES = {f.__name__: f for f in (
     recent_audit, audit_sink, account_usage, audit_by_minute, tenant_sessions,
     rate_limit_decisions, rate_limit_status, request_rate, monthly_cap,
     stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, delivered_rows, stream_restore,
-    rate_limit_live, audit_rollup_live, stream_guard_live, stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}
+    rate_limit_live, audit_rollup_live, stream_guard_live, stream_guard_live_vault, stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}
 

@@ -14,7 +14,7 @@ from parapet.operators.chunks import LONGEST_TOKEN
 from parapet.operators.scan import lookup
 
 OUT = "stream_id string, seq long, text string, outcome string, guardrail string, reason string, check_due boolean"
-STATE = "total long, recent string, held string, checked long, ended boolean"
+STATE = "total long, recent string, held string, checked long, ended boolean, tokens array<string>, values array<string>"
 IDLE_MS = 3_600_000
 
 _PARTIAL = re.compile(fv.PARTIAL_TOKEN_PATTERN + r"\n?\Z")
@@ -34,10 +34,17 @@ def _advance(key, batches, state):
     if state.hasTimedOut:
         state.remove()
         return
-    pdf = pd.concat(list(batches)).sort_values("seq")
-    total, recent, held, checked, ended = state.get if state.exists else (0, "", "", 0, False)
-    rows = []
+    # vault rows of a micro-batch are known before its chunks
+    pdf = pd.concat(list(batches)).sort_values(["is_chunk", "seq"])
+    total, recent, held, checked, ended, tokens, values = state.get if state.exists else (0, "", "", 0, False, [], [])
+    vault, rows = dict(zip(tokens, values)), []
+    longest = max([LONGEST_TOKEN, *map(len, vault)])
     for r in pdf.itertuples(index=False):
+        if r.token is not None:
+            vault[r.token] = r.value
+            longest = max(longest, len(r.token))
+        if not r.is_chunk:
+            continue
         if ended:
             break
         outcome = guardrail = reason = None
@@ -55,9 +62,10 @@ def _advance(key, batches, state):
         if reason is not None:
             outcome, ended = "output_blocked", True
         else:
-            vault = {e["key"]: e["value"] for e in r.vault} if r.vault is not None else {}
+            if not vault and r.vault is not None:
+                vault = {e["key"]: e["value"] for e in r.vault}
+                longest = max([LONGEST_TOKEN, *map(len, vault)])
             ready = held + (r.delta or "")
-            longest = max([LONGEST_TOKEN, *map(len, vault)])
             tail = _PARTIAL.search(ready[-longest:])
             # without tokens there is nothing to wait for
             keep = 0 if r.closes or not vault else (len(tail.group()) if tail else 0)
@@ -67,7 +75,7 @@ def _advance(key, batches, state):
                 outcome, ended = "passed", True
         if text or outcome or due:
             rows.append((key[0], int(r.seq), text, outcome, guardrail, reason, due))
-    state.update((total, recent, held, checked, ended))
+    state.update((total, recent, held, checked, ended, list(vault), list(vault.values())))
     # an idle stream is dropped an hour after its last chunk
     state.setTimeoutTimestamp(max(int(pdf["ms"].max()), state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame(rows, columns=["stream_id", "seq", "text", "outcome", "guardrail", "reason", "check_due"])
@@ -76,17 +84,27 @@ def _advance(key, batches, state):
 def guard_stream(chunks: DataFrame, policies: DataFrame, vault: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Released text and outcome of live chunks (stream_id, tenant_id, seq, ts, delta, closes, finished).
 
-    ``vault`` has one row per stream with a map ``vault`` of token to value; it is a
-    request's own map, as small as the request.  Chunks of a stream arrive in order.
+    ``vault`` is a table with one row per stream and a map ``vault`` of token to value, or a second stream of
+    rows (stream_id, ts, token, value).  Live rows are kept with their stream's state, so they may come at any
+    time up to the micro-batch of the first chunk that names them, and go when the stream has been idle
+    for an hour.  Either way a stream's vault is its request's own, as small as the request.
+    Chunks of a stream arrive in order.
     """
     out = F.col("output")
     rules = policies.select("tenant_id", out["max_length"].alias("max_length"),
                             (out["toxicity"]["enabled"] & (out["toxicity"]["provider"] == "wordlist")).alias("words"),
                             (out["toxicity"]["enabled"] & out["toxicity"]["provider"].isin("openai", "perspective")).alias("scored"))
-    d = lookup(chunks.withWatermark("ts", delay), rules, ["tenant_id"])
-    d = d.withColumn("stream_id", F.col("stream_id").cast("string")).join(
-        vault.select(F.col("stream_id").cast("string").alias("stream_id"), "vault"), "stream_id", "left")
-    d = d.select("stream_id", "seq", "delta", "closes", "finished", "max_length", "words", "scored",
+    d = chunks.withColumn("stream_id", F.col("stream_id").cast("string"))
+    none = F.lit(None).cast("string")
+    if vault.isStreaming:
+        known = vault.select(F.col("stream_id").cast("string").alias("stream_id"), "ts", "token", "value", F.lit(False).alias("is_chunk"))
+        d = d.withColumns({"is_chunk": F.lit(True), "token": none, "value": none}).unionByName(known, allowMissingColumns=True)
+        d = d.withColumn("vault", F.lit(None).cast("map<string,string>"))
+    else:
+        d = d.withColumns({"is_chunk": F.lit(True), "token": none, "value": none}).join(
+            vault.select(F.col("stream_id").cast("string").alias("stream_id"), "vault"), "stream_id", "left")
+    d = lookup(d.withWatermark("ts", delay), rules, ["tenant_id"])
+    d = d.select("stream_id", "seq", "delta", "closes", "finished", "max_length", "words", "scored", "is_chunk", "token", "value",
                  F.map_entries("vault").alias("vault"), F.unix_millis("ts").alias("ms"), "ts")
     return d.groupBy("stream_id").applyInPandasWithState(
         _advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
