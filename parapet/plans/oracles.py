@@ -588,8 +588,10 @@ FROM ct c LEFT JOIN v USING (stream_id) LEFT JOIN g USING (stream_id)"""
     sql["stream_guard_live_vault"] = sql["stream_guard_live"]
     sql["sse_openai"] = f"""WITH {CHUNKS} SELECT stream_id, seq, delta, FALSE AS closes, FALSE AS finished FROM cs
 UNION ALL SELECT stream_id, 1000000000, '', TRUE, TRUE FROM ct WHERE stream_id % 7 <> 0"""
-    sql["sse_anthropic"] = f"""WITH {CHUNKS} SELECT stream_id, seq * 3 + 1 AS seq, delta, FALSE AS closes, FALSE AS finished FROM cs
-UNION ALL SELECT stream_id, 3000000001, '', FALSE, stream_id % 7 <> 0 FROM ct"""
+    sql["sse_anthropic"] = f"""WITH {CHUNKS} SELECT stream_id, seq * 3 + 1 AS seq, CASE WHEN (stream_id + seq) % 50 = 7 THEN '' ELSE delta END AS delta,
+  FALSE AS closes, FALSE AS finished FROM cs
+UNION ALL SELECT stream_id, 3000000000 + i, '', i = 0, i = 4 AND done FROM ct, (SELECT unnest([0, 1, 4]) AS i)"""
+    sql["sse_openai_live"], sql["sse_anthropic_live"] = sql["sse_openai"], sql["sse_anthropic"]
     sql["plan_history"] = f"WITH {HISTORY} SELECT * FROM hist"
     sql["effective_limits"] = f"""WITH {HISTORY}, p(plan, price, cap, rpm, rph) AS (VALUES {PLAN_ROWS}), a AS (SELECT epoch_us(TIMESTAMP '1998-06-01') AS tick)
 SELECT user_id, h.plan, rpm AS requests_per_minute, rph AS requests_per_hour FROM hist h JOIN p USING (plan), a WHERE valid_from <= tick AND (valid_to IS NULL OR valid_to > tick)"""

@@ -18,7 +18,7 @@ from parapet.plans import datasets as ds
 from parapet.sources import sse, tables, traffic
 from parapet.sources.local import local_table
 from parapet.storage import new_path, remove, written
-from parapet.streaming import guard, limiter, rollup
+from parapet.streaming import guard, limiter, lines, rollup
 
 AS_OF = "2024-01-20 00:00:00"
 #: Rows of a live limiter's micro-batch.
@@ -510,10 +510,17 @@ def _lines(spark, sf, shape):
         line = F.when(F.col("finished"), F.lit("data: [DONE]")).when(F.col("closes"), F.lit(": ping")).otherwise(
             F.concat(F.lit("data: "), body))
         return d.select("stream_id", "seq", line.alias("line"))
+    # every fiftieth body is broken, and every stream stops its content block before it ends
     body = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(
         F.lit("text_delta").alias("type"), F.col("delta").alias("text")).alias("delta")))
-    kind = F.when(F.col("finished"), "message_stop").when(F.col("closes"), "ping").otherwise("content_block_delta")
-    parts = F.posexplode(F.array(F.concat(F.lit("event: "), kind), F.concat(F.lit("data: "), body), F.lit("")))
+    body = F.when((F.col("stream_id") + F.col("seq")) % 50 == 7, F.lit('{"type": oops')).otherwise(body)
+
+    def three(kind, text):
+        return F.array(F.concat(F.lit("event: "), kind), F.concat(F.lit("data: "), text), F.lit(""))
+
+    last = F.when(F.col("finished"), "message_stop").otherwise("ping")
+    end = F.concat(three(F.lit("content_block_stop"), F.lit("{}")), three(last, F.lit("{}")))
+    parts = F.posexplode(F.when(F.col("closes"), end).otherwise(three(F.lit("content_block_delta"), body)))
     return d.select("stream_id", (F.col("seq") * 3).alias("base"), parts.alias("i", "line")).select(
         "stream_id", (F.col("base") + F.col("i")).alias("seq"), "line")
 
@@ -618,6 +625,22 @@ def stream_guard_live_vault(spark, sf):
     return _guarded(_live(both, build, in_order=True, at_least=8))
 
 
+def _decoded_live(spark, sf, shape, decode):
+    """Lines as a stream of at least eight batches, cut anywhere between two lines."""
+    place = F.least("seq", F.lit(12000)) * 10 + F.col("seq") % 10
+    d = _lines(spark, sf, shape).withColumn("ts", F.timestamp_millis(F.lit(1704067200000) + F.col("stream_id") * 5000 + place))
+    out = _live(d, decode, in_order=True, at_least=8)
+    return out.withColumn("stream_id", F.col("stream_id").cast("long"))
+
+
+def sse_openai_live(spark, sf):
+    return _decoded_live(spark, sf, "a", lines.openai_stream)
+
+
+def sse_anthropic_live(spark, sf):
+    return _decoded_live(spark, sf, "b", lines.anthropic_stream)
+
+
 # --- plans ---------------------------------------------------------------------------------
 
 def _history(spark, sf):
@@ -644,5 +667,5 @@ QUERIES = {f.__name__: f for f in (
     recent_audit, audit_sink, account_usage, audit_by_minute, tenant_sessions,
     rate_limit_decisions, rate_limit_status, request_rate, monthly_cap,
     stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, delivered_rows, stream_restore,
-    rate_limit_live, audit_rollup_live, stream_guard_live, stream_guard_live_vault, stream_restored_text, sse_openai, sse_anthropic, plan_history, effective_limits)}
+    rate_limit_live, audit_rollup_live, stream_guard_live, stream_guard_live_vault, stream_restored_text, sse_openai, sse_anthropic, sse_openai_live, sse_anthropic_live, plan_history, effective_limits)}
 
