@@ -543,6 +543,9 @@ a(tenant_id, plan, plan_used) AS (VALUES ('click', 'free', 'free'), ('view', 'st
 SELECT a.tenant_id, a.plan, coalesce(total_requests, 0) AS total_requests, coalesce(blocked_requests, 0) AS blocked_requests, coalesce(pass_rate, 100.0) AS pass_rate,
   coalesce(u.n, 0) AS monthly_used, CAST(monthly_requests AS BIGINT) AS monthly_requests, price_monthly FROM a JOIN p USING (plan_used) LEFT JOIN s USING (tenant_id) LEFT JOIN u USING (tenant_id)"""
     sql["audit_by_minute"] = f"WITH {AUDIT} SELECT epoch_us(date_trunc('minute', ts)) AS minute, tenant_id, outcome, count(*) AS requests FROM log GROUP BY ALL"
+    sql["audit_rollup_late"] = f"""WITH {AUDIT}, b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM log)
+SELECT epoch_us(date_trunc('minute', ts)) AS minute, tenant_id, outcome, count(*) AS requests, id % 97 = 0 AND epoch_us(ts) < lo + (hi - lo) / 2 AS late
+FROM log, b GROUP BY ALL"""
     sql["tenant_sessions"] = f"""WITH {AUDIT}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000 THEN 1 ELSE 0 END AS cut FROM log WINDOW w AS (PARTITION BY tenant_id ORDER BY ts)),
 h AS (SELECT *, sum(cut) OVER (PARTITION BY tenant_id ORDER BY ts) AS session FROM g)
 SELECT tenant_id, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS requests FROM h GROUP BY tenant_id, session"""

@@ -594,6 +594,26 @@ def audit_rollup_live(spark, sf):
     return d.select(micros("minute"), "tenant_id", "outcome", "requests")
 
 
+def audit_rollup_late(spark, sf):
+    """The roll-up over at least sixteen batches, where some rows of the first half come ten days after their time, counted apart."""
+    log = ds.audit_log(spark, sf).select("id", "ts", "tenant_id", "outcome")
+    span = log.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span["lo"] is None:
+        return audit.audit_by_minute(log).select(micros("minute"), "tenant_id", "outcome", "requests", F.lit(False).alias("late"))
+    half, end = F.lit(span["lo"] + (span["hi"] - span["lo"]) / 2), F.lit(span["hi"])
+    late = (F.col("id") % 97 == 0) & (F.col("ts") < half)
+    rows = log.select(F.when(late, F.col("ts") + F.expr("INTERVAL 10 DAYS")).otherwise(F.col("ts")).alias("arrived"), "ts", "tenant_id", "outcome")
+    # a row far ahead in time closes every window
+    far = end + F.expr("INTERVAL 30 DAYS")
+    last = spark.range(1).select(far.alias("arrived"), far.alias("ts"), F.lit("end").alias("tenant_id"), F.lit("end").alias("outcome"))
+    rows = rows.unionByName(last).withColumnRenamed("ts", "at").withColumnRenamed("arrived", "ts")
+    took = _live(rows, lambda s: rollup.audit_rollup(s.drop("ts").withColumnRenamed("at", "ts")), in_order=True, at_least=16)
+    apart = _live(rows, lambda s: rollup.late_rows(s.drop("ts").withColumnRenamed("at", "ts")), in_order=True, at_least=16)
+    apart = apart.groupBy("minute", "tenant_id", "outcome").agg(F.sum("requests").alias("requests")).withColumn("late", F.lit(True))
+    both = took.where("tenant_id <> 'end'").withColumn("late", F.lit(False)).unionByName(apart)
+    return both.select(micros("minute"), "tenant_id", "outcome", "requests", "late")
+
+
 def _guarded(out):
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return out.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(
@@ -667,5 +687,5 @@ QUERIES = {f.__name__: f for f in (
     recent_audit, audit_sink, account_usage, audit_by_minute, tenant_sessions,
     rate_limit_decisions, rate_limit_status, request_rate, monthly_cap,
     stream_length_cutoff, stream_toxicity_cutoff, stream_check_points, stream_outcome, delivered_rows, stream_restore,
-    rate_limit_live, audit_rollup_live, stream_guard_live, stream_guard_live_vault, stream_restored_text, sse_openai, sse_anthropic, sse_openai_live, sse_anthropic_live, plan_history, effective_limits)}
+    rate_limit_live, audit_rollup_live, audit_rollup_late, stream_guard_live, stream_guard_live_vault, stream_restored_text, sse_openai, sse_anthropic, sse_openai_live, sse_anthropic_live, plan_history, effective_limits)}
 
