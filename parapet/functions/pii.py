@@ -22,41 +22,54 @@ def may_hold_pii(text: Column) -> Column:
     return (F.instr(text, "@") > 0) | F.rlike(text, F.lit(DIGIT_RUN))
 
 
-def _groups(items: Column) -> Column:
-    """An array cut into consecutive groups of about the square root of its size.
+#: up to so many items an array is walked plainly
+FEW = 48
 
-    Work that walks an array or a text from its start for every item is done per group
-    and then per item inside its group, so long texts with many matches stay cheap.
-    """
-    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(items))).cast("int"))
+
+def _parts(items: Column, root: int) -> Column:
+    """An array cut into consecutive parts, each about as long as the given root of its size."""
+    size = F.ceil(F.pow(F.size(items).cast("double"), F.lit(1 / root))).cast("int")
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), size)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(items, i, size))
 
 
+def _running(items: Column, merge, zero: int) -> Column:
+    """Running merges (sums, maxima) of an array of numbers.
+
+    Appending to an array copies it, so only short arrays are walked item by item; a long one is cut
+    into parts, whose running values start from what the parts before add up to.
+    """
+    def step(acc: Column, x: Column) -> Column:
+        last = merge(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(zero)), x)
+        return F.concat(acc, F.array(last))
+
+    def plain(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), step)
+
+    def joined(x: Column) -> Column:
+        return F.flatten(F.transform(x["parts"], lambda p, k: F.transform(
+            p, lambda v: merge(F.coalesce(F.get(x["ends"], k - 1), F.lit(zero)), v))))
+
+    def long(bound: Column) -> Column:
+        ends = lambda own: plain(F.transform(own, lambda p: F.element_at(p, -1)))
+        return patterns.let(F.transform(_parts(bound, 3), plain), lambda own: patterns.let(
+            F.struct(own.alias("parts"), ends(own).alias("ends")), joined))
+
+    # bound once: what stands inside a lambda is worked out anew for every item
+    return patterns.let(items, lambda bound: F.when(F.size(bound) <= FEW, plain(bound)).otherwise(long(bound)))
+
+
 def _located(text: Column, pattern: Column, ptype: str) -> Column:
     """All left-to-right matches of one pattern with their offsets."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_ARRAY).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        span = F.struct(begin.alias("s"), end.alias("e"),
-                        F.lit(ptype).alias("ptype"), pair["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    def placed(groups: Column) -> Column:
-        ends = F.aggregate(groups, F.array(F.lit(0)), lambda at, g: F.concat(at, F.array(F.element_at(at, -1) + g["at"])))
-        return patterns.let(F.struct(groups.alias("g"), ends.alias("at")), lambda x: F.flatten(F.transform(
-            x["g"], lambda g, k: F.transform(g["out"], lambda h: F.struct(
-                (h["s"] + F.get(x["at"], k)).alias("s"), (h["e"] + F.get(x["at"], k)).alias("e"),
-                h["ptype"].alias("ptype"), h["value"].alias("value"))))))
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(x["f"], F.slice(x["g"], F.lit(1), F.size(x["f"])), lambda h, g: F.length(g) + F.length(h))
+        return patterns.let(_running(steps, lambda a, b: a + b, 0), lambda ends: F.transform(x["f"], lambda h, i: F.struct(
+            (F.get(ends, i) - F.length(h)).alias("s"), F.get(ends, i).alias("e"), F.lit(ptype).alias("ptype"), h.alias("value"))))
 
-    pairs = patterns.let(F.struct(found.alias("f"), gaps.alias("g")), lambda x: F.zip_with(
-        x["f"], F.slice(x["g"], F.lit(1), F.size(x["f"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))))
-    local = patterns.let(pairs, lambda p: F.transform(_groups(p), lambda g: F.aggregate(g, start, step)))
-    return patterns.let(local, placed)
+    return patterns.let(found, lambda f: F.when(F.size(f) > 0, patterns.let(
+        F.struct(f.alias("f"), F.split(text, pattern, -1).alias("g")), placed)).otherwise(F.array().cast(SPAN_ARRAY)))
 
 
 def _gate(text: Column, ptype: str) -> Column:
@@ -75,7 +88,7 @@ def pii_spans(text: Column, types: Column | list[str] | None = None) -> Column:
     if isinstance(types, (list, tuple)):
         types = F.array(*[F.lit(t) for t in types]).cast("array<string>")
     none = F.array().cast(SPAN_ARRAY)
-    claimed = none
+    every = []
     for ptype in TYPES:
         wanted = _gate(text, ptype)
         if types is not None:
@@ -85,45 +98,55 @@ def pii_spans(text: Column, types: Column | list[str] | None = None) -> Column:
         hits = F.when(wanted, _located(text, pattern, ptype)).otherwise(none)
         if ptype == "credit_card":
             hits = F.filter(hits, lambda h: F.call_function("luhn_check", h["value"]))
-        claimed = hits if ptype == TYPES[0] else patterns.let(
-            F.struct(claimed.alias("got"), hits.alias("new")), _claim)
-    return F.when(may_hold_pii(text), F.array_sort(claimed)).otherwise(
-        F.when(text.isNotNull(), none))
+        every.append(hits)
+    found = patterns.let(F.sort_array(F.concat(*every)), lambda x: F.when(
+        F.size(x) <= FEW, F.sort_array(_claimed(x))).otherwise(F.flatten(F.transform(_clusters(x), lambda c: F.when(F.size(c) > 1, F.sort_array(_claimed(c))).otherwise(c)))))
+    return F.when(may_hold_pii(text), found).otherwise(F.when(text.isNotNull(), none))
 
 
-def _claim(pair: Column) -> Column:
-    """Claimed spans and those new ones that overlap none; both come in text order."""
-    got = pair["got"]
+def _claimed(spans: Column) -> Column:
+    """What is left of a few spans when each type, in its turn, claims those that overlap no claimed one."""
+    def claim(got: Column, ptype: str) -> Column:
+        return patterns.let(got, lambda g: F.concat(g, F.filter(spans, lambda h: (h["ptype"] == ptype) & ~F.exists(
+            g, lambda c: (c["s"] < h["e"]) & (h["s"] < c["e"])))))
 
-    def free(group: Column) -> Column:
-        lo, hi = F.element_at(group, 1)["s"], F.element_at(group, -1)["e"]
-        near = F.filter(got, lambda c: (c["s"] < hi) & (lo < c["e"]))
-        return patterns.let(near, lambda n: F.filter(group, lambda h: ~F.exists(
-            n, lambda c: (c["s"] < h["e"]) & (h["s"] < c["e"]))))
+    got = F.filter(spans, lambda h: h["ptype"] == TYPES[0])
+    for ptype in TYPES[1:]:
+        got = claim(got, ptype)
+    return F.when(F.size(spans) > 1, got).otherwise(spans)
 
-    fresh = F.when(F.size(got) > 0, F.flatten(F.transform(_groups(pair["new"]), free))).otherwise(pair["new"])
-    return F.concat(got, fresh)
+
+def _clusters(spans: Column) -> Column:
+    """Sorted spans cut wherever a span begins at or after the end of all before it."""
+    def cut(ends: Column) -> Column:
+        first = F.filter(F.transform(spans, lambda h, i: F.when(F.coalesce(F.get(ends, i - 1), F.lit(0)) <= h["s"], i)), lambda i: i.isNotNull())
+        return patterns.let(first, lambda at: F.transform(at, lambda i, k: F.slice(
+            spans, i + 1, F.coalesce(F.get(at, k + 1), F.size(spans)) - i)))
+
+    return patterns.let(_running(F.transform(spans, lambda h: h["e"]), F.greatest, 0), cut)
 
 
 def replace_spans(text: Column, spans: Column, replacement) -> Column:
-    """Rebuild a text with every span replaced by ``replacement(span)``."""
-    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def piece(part: Column, lo: Column, group: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            kept = F.substring(part, acc["at"] - lo + 1, s["s"] - acc["at"])
-            return F.struct(s["e"].alias("at"),
-                            F.concat(acc["out"], F.array(kept, replacement(s))).alias("out"))
-        return F.array_join(F.aggregate(group, start(lo), step)["out"], "")
-
-    def rebuilt(groups: Column) -> Column:
-        end = lambda g: F.element_at(g, -1)["e"]
-        pieces = F.transform(groups, lambda g, k: patterns.let(
-            F.coalesce(F.get(groups, k - 1)[F.size(F.get(groups, k - 1)) - 1]["e"], F.lit(0)), lambda lo: patterns.let(
-                F.substring(text, lo + 1, end(g) - lo), lambda part: piece(part, lo, g))))
-        return F.concat(F.array_join(pieces, ""), F.substr(text, end(F.element_at(groups, -1)) + 1))
-
-    return F.when(F.size(spans) > 0, patterns.let(_groups(spans), rebuilt)).otherwise(text)
+    """Rebuild a text with every span replaced by ``replacement(span)``.
+
+    Cutting a piece out walks the text up to it, so a text with many spans is first cut into parts.
+    """
+    def rebuilt(part: Column, lo: Column, group: Column) -> Column:
+        """Text from ``lo``, where ``part`` begins, to the end of the group's last span."""
+        def piece(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(group, i - 1)["e"], lo)
+            return F.concat(F.substring(part, at - lo + 1, s["s"] - at), replacement(s))
+        return F.array_join(F.transform(group, piece), "")
+
+    def in_parts(groups: Column) -> Column:
+        cut = F.transform(groups, lambda g, k: F.struct(
+            F.coalesce(F.element_at(F.get(groups, k - 1), -1)["e"], F.lit(0)).alias("lo"), g.alias("g")))
+        return F.array_join(F.transform(cut, lambda x: patterns.let(
+            F.substring(text, x["lo"] + 1, F.element_at(x["g"], -1)["e"] - x["lo"]), lambda own: rebuilt(own, x["lo"], x["g"]))), "")
+
+    long = patterns.let(_parts(spans, 2), in_parts)
+    whole = F.concat(F.when(F.size(spans) <= FEW, rebuilt(text, F.lit(0), spans)).otherwise(long), F.substr(text, F.element_at(spans, -1)["e"] + 1))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def placeholder(span: Column) -> Column:

@@ -124,3 +124,19 @@ def test_many_matches_in_one_text(spark):
         out += [text[at:s], fv.PII_PLACEHOLDERS[ptype]]
         at = e
     assert got["t"] == "".join(out) + text[at:]
+
+
+def test_texts_with_very_many_matches(spark):
+    """Long texts are walked in parts and claimed cluster by cluster."""
+    rng = random.Random(12)
+    short = random_texts(400, 21)
+    texts = [rng.choice(["", " "]).join(rng.choice(short) for _ in range(rng.choice([20, 150, 600]))) for _ in range(12)]
+    texts.append(" ".join(f"a{i}@x.org 555-867-{1000 + i % 9000}" for i in range(5000)))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in d.select("i", pii.pii_spans(F.col("t")).alias("x"), pii.redact_pii(F.col("t")).alias("y")).collect()}
+    for i, t in enumerate(texts):
+        want, out, at = model_spans(t), "", 0
+        assert [tuple(s) for s in got[i].x] == want
+        for s, e, ptype, _ in want:
+            out, at = out + t[at:s] + fv.PII_PLACEHOLDERS[ptype], e
+        assert got[i].y == out + t[at:] and (i < 12 or len(want) == 10_000)
