@@ -4,7 +4,7 @@ Texts become token ids and are cut into pieces of at most ``capacity``.  Pieces
 dealt at random to groups of about ``GROUP`` pieces; each group is packed on its own,
 best fit decreasing first, then a local search over its underfull bins: it moves a
 piece, exchanges one for one or two for one, always so that the sum of squared fills
-grows, until bins run empty.  A group leaves a few bins unfilled at most, so the loss against
+grows, until bins run empty or nothing helps any more.  A group leaves a few bins unfilled at most, so the loss against
 one packing of everything is about one bin in a thousand.
 
 Defined results: a null text is empty and gives the end token alone; rows that repeat
@@ -220,78 +220,112 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[list[list[int]], np.nd
     return bins, np.array(fills, dtype=np.int64)
 
 
-def improve(bins: list[list[int]], fills: np.ndarray, lengths: np.ndarray, capacity: int, width: int = 24,
-            rounds: int = 50) -> None:
-    """Local search between the emptiest bin and others with room, in place.
-
-    Of each pair of bins it takes the first step that fills the fuller bin further and
-    so makes the sum of squared fills grow: a piece moved over, one piece for a
-    smaller one, or one for two that are smaller together.
+class Partners:
+    """Pieces of the bins that still have room, sorted by bin and length, so that what fits is looked up."""
+
+    def __init__(self, targets: list[int], sorted_bins: dict[int, np.ndarray], fills: np.ndarray, lengths: np.ndarray, capacity: int):
+        self.targets = np.array(targets, dtype=np.int64)
+        self.width = capacity + 1
+        self.fill = fills[self.targets]
+        self.room = capacity - self.fill
+        self.ids = np.concatenate([sorted_bins[t] for t in targets]) if targets else np.zeros(0, dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(targets)), [len(sorted_bins[t]) for t in targets])
+        self.size = lengths[self.ids]
+        self.keys = self.owner * self.width + self.size
+
+    def at_least(self, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Place of the smallest piece of at least such a size in each bin; it may belong to a later bin."""
+        return np.searchsorted(self.keys, owner * self.width + np.maximum(size, 1))
+
+    def value(self, gain: np.ndarray, owner: np.ndarray, donor_fill: int) -> np.ndarray:
+        """By how much squared fills grow when so much goes over to each bin; 0 where nothing does."""
+        return np.where(gain > 0, gain * (self.fill[owner] - donor_fill + gain), 0)
+
+    def for_one(self, give: int, donor_fill: int) -> tuple[int, int, tuple[int, ...]]:
+        """Best way to take ``give`` in for nothing or one smaller piece: (value, target, pieces handed back)."""
+        every = np.arange(len(self.targets))
+        moved = self.value(np.where(self.room >= give, give, 0), every, donor_fill)
+        at = self.at_least(every, give - self.room)
+        there = np.minimum(at, max(len(self.keys) - 1, 0))
+        fits = (at < len(self.keys)) & (self.owner[there] == every) & (self.size[there] < give)
+        swapped = self.value(np.where(fits, give - self.size[there], 0), every, donor_fill)
+        m, w = int(moved.argmax()), int(swapped.argmax())
+        if moved[m] >= swapped[w]:
+            return int(moved[m]), m, ()
+        return int(swapped[w]), w, (int(self.ids[there[w]]),)
+
+    def for_two(self, give: int, donor_fill: int) -> tuple[int, int, tuple[int, ...]]:
+        """Best way to take ``give`` in for two pieces that are smaller together."""
+        own = np.arange(len(self.keys))
+        at = np.maximum(self.at_least(self.owner, give - self.room[self.owner] - self.size), own + 1)
+        there = np.minimum(at, len(self.keys) - 1)
+        both = self.size + self.size[there]
+        fits = (at < len(self.keys)) & (self.owner[there] == self.owner) & (both < give) & (give - both <= self.room[self.owner])
+        value = self.value(np.where(fits, give - both, 0), self.owner, donor_fill)
+        w = int(value.argmax())
+        return int(value[w]), int(self.owner[w]), (int(self.ids[w]), int(self.ids[there[w]]))
+
+
+def improve(bins: list[list[int]], fills: np.ndarray, lengths: np.ndarray, capacity: int) -> None:
+    """Local search between bins with room, in place, until a full pass over them gains nothing.
+
+    Each bin in turn, the emptiest first, gives a piece away, exchanges one for a smaller one, one for two
+    that are smaller together or two for one, always with the bin where squared fills grow most,
+    until it is empty or no step lets them grow.  The search also ends where there are
+    no more bins than the pieces' total needs.
     """
-    for _ in range(rounds):
-        under = [b for b in np.argsort(fills, kind="stable").tolist() if 0 < fills[b] < capacity]
-        if len(under) < 2:
-            return
+    least = -(-int(lengths.sum()) // capacity)
+    count = int((fills > 0).sum())
+    sorted_bins = {b: np.array(sorted(bins[b], key=lengths.__getitem__), dtype=np.int64) for b in range(len(bins)) if 0 < fills[b] < capacity}
+    gained = True
+    while gained and count > least:
         gained = False
-        donor = under[0]
-        for target in sorted(under[1:], key=lambda b: -fills[b])[:max(width, len(under) // 4)]:
-            if not bins[donor]:
-                break
-            while step(bins, fills, lengths, capacity, donor, target):
+        for donor in sorted(sorted_bins, key=lambda b: fills[b]):
+            while count > least and 0 < fills[donor] < capacity and (plan := best_step(donor, sorted_bins, fills, lengths, capacity)):
+                give, target, take = plan
+                gain = int(lengths[list(give)].sum() - lengths[list(take)].sum())
+                bins[donor] = [i for i in bins[donor] if i not in give] + list(take)
+                bins[target] = [j for j in bins[target] if j not in take] + list(give)
+                fills[donor] -= gain
+                fills[target] += gain
                 gained = True
-                if not bins[donor] or fills[target] == capacity:
-                    break
-        if not gained:
-            return
+                for b in (donor, target):
+                    if 0 < fills[b] < capacity:
+                        sorted_bins[b] = np.array(sorted(bins[b], key=lengths.__getitem__), dtype=np.int64)
+                    else:
+                        sorted_bins.pop(b, None)
+                if not fills[donor]:
+                    count -= 1
 
 
-def step(bins, fills, lengths, capacity: int, donor: int, target: int) -> bool:
-    """The best single step from donor to target; False if none makes target fuller."""
-    room = capacity - int(fills[target])
-    mine = sorted(bins[donor], key=lambda i: -lengths[i])[:64]
-    theirs = sorted(bins[target], key=lambda i: lengths[i])[:64]
-    best, plan = 0, None
-    for i in mine:
-        gain = int(lengths[i])
-        if best < gain <= room:
-            best, plan = gain, ((i,), ())
-        for j in theirs:
-            gain = int(lengths[i] - lengths[j])
-            if gain <= best:
-                break
-            if gain <= room:
-                best, plan = gain, ((i,), (j,))
-    if best < room and len(theirs) > 1:
-        small = np.array([lengths[j] for j in theirs])
-        pairs = small[:, None] + small[None, :]
-        pairs[np.tril_indices(len(small))] = 1 << 40
-        for i in mine:
-            gain = lengths[i] - pairs
-            gain[gain > room] = 0
-            at = int(gain.argmax())
-            if gain.flat[at] > best:
-                best = int(gain.flat[at])
-                plan = ((i,), (theirs[at // len(small)], theirs[at % len(small)]))
-    if best < room and len(mine) > 1:
-        size = np.array([lengths[i] for i in mine])
-        pairs = size[:, None] + size[None, :]
-        pairs[np.tril_indices(len(size))] = 0
-        for j in (None, *theirs):
-            gain = pairs - (lengths[j] if j is not None else 0)
-            gain[gain > room] = 0
-            at = int(gain.argmax())
-            if gain.flat[at] > best:
-                best = int(gain.flat[at])
-                plan = ((mine[at // len(size)], mine[at % len(size)]), (j,) if j is not None else ())
-    # squared fills grow whenever the fuller bin ends up further above its partner
-    if plan is None or fills[target] + best <= max(fills[target], fills[donor]):
-        return False
-    give, take = plan
-    bins[donor] = [i for i in bins[donor] if i not in give] + list(take)
-    bins[target] = [j for j in bins[target] if j not in take] + list(give)
-    fills[donor] -= best
-    fills[target] += best
-    return True
+def best_step(donor: int, sorted_bins: dict[int, np.ndarray], fills: np.ndarray, lengths: np.ndarray,
+              capacity: int) -> tuple[tuple[int, ...], int, tuple[int, ...]] | None:
+    """Pieces the donor gives, to which bin, and what it takes for them; None if no step lets squared fills grow.
+
+    Steps with two pieces on one side are only looked for where no simpler one helps.
+    """
+    mine = sorted_bins[donor]
+    index = Partners([b for b in sorted_bins if b != donor], sorted_bins, fills, lengths, capacity)
+    if not len(index.targets):
+        return None
+    single = {int(lengths[i]): (int(i),) for i in mine}
+    pairs: dict[int, tuple[int, ...]] = {}
+    for looked, gives in ((index.for_one, single), (index.for_two, single), (index.for_one, pairs)):
+        if gives is pairs:
+            room = int(index.room.max()) + int(index.size.max())
+            for x in range(len(mine)):
+                for y in range(x + 1, len(mine)):
+                    if (both := int(lengths[mine[x]] + lengths[mine[y]])) > room:
+                        break
+                    pairs.setdefault(both, (int(mine[x]), int(mine[y])))
+        best, plan = 0, None
+        for size, ids in gives.items():
+            value, target, take = looked(size, int(fills[donor]))
+            if value > best:
+                best, plan = value, (ids, int(index.targets[target]), take)
+        if plan:
+            return plan
+    return None
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -359,3 +359,35 @@ def test_empty_tables(spark, tmp_path):
     assert katz.katz_scores(none, held).count() == 0
     assert suffix_dedup.repeated_bytes(none).count() == 0
     assert SCHEMA and blocks.block_table(none).count() == 0
+
+
+def test_local_search_empties_bins_that_best_fit_leaves():
+    """Pieces of a fifth to a third of a bin: best fit leaves many bins with room for none of them."""
+    rng = np.random.default_rng(0)
+    for lo, hi, most in ((700, 1500, 411), (1000, 2100, 606)):
+        lengths = rng.integers(lo, hi + 1, 1500)
+        sequence, offset = packing.pack_lengths(lengths, 4096)
+        fill = np.bincount(sequence, lengths)
+        assert fill.max() <= 4096 and fill.min() > 0 and len(fill) <= most < len(packing.best_fit(lengths, 4096)[0])
+        for s in range(len(fill)):
+            at = sorted((int(offset[i]), int(lengths[i])) for i in np.flatnonzero(sequence == s))
+            assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and at[0][0] == 0
+
+
+def test_every_step_lets_squared_fills_grow(monkeypatch):
+    rng, steps = np.random.default_rng(3), []
+    found = packing.best_step
+
+    def watched(donor, sorted_bins, fills, lengths, capacity):
+        steps.append(int((fills ** 2).sum()))
+        return found(donor, sorted_bins, fills, lengths, capacity)
+
+    monkeypatch.setattr(packing, "best_step", watched)
+    for _ in range(20):
+        lengths = rng.integers(5, 40, 80)
+        bins, fills = packing.best_fit(lengths, 100)
+        packing.improve(bins, fills, lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(80))
+        assert [int(lengths[b].sum()) if b else 0 for b in bins] == fills.tolist() and fills.max() <= 100
+        assert steps == sorted(steps)
+        steps.clear()
