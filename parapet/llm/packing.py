@@ -266,15 +266,13 @@ class Partners:
         return int(value[w]), int(self.owner[w]), (int(self.ids[w]), int(self.ids[there[w]]))
 
 
-def improve(bins: list[list[int]], fills: np.ndarray, lengths: np.ndarray, capacity: int) -> None:
+def improve(bins: list[list[int]], fills: np.ndarray, lengths: np.ndarray, capacity: int, least: int = 0) -> None:
     """Local search between bins with room, in place, until a full pass over them gains nothing.
 
     Each bin in turn, the emptiest first, gives a piece away, exchanges one for a smaller one, one for two
     that are smaller together or two for one, always with the bin where squared fills grow most,
-    until it is empty or no step lets them grow.  The search also ends where there are
-    no more bins than the pieces' total needs.
+    until it is empty or no step lets them grow.  The search also ends when no more than ``least`` bins are left.
     """
-    least = -(-int(lengths.sum()) // capacity)
     count = int((fills > 0).sum())
     sorted_bins = {b: np.array(sorted(bins[b], key=lengths.__getitem__), dtype=np.int64) for b in range(len(bins)) if 0 < fills[b] < capacity}
     gained = True
@@ -331,7 +329,8 @@ def best_step(donor: int, sorted_bins: dict[int, np.ndarray], fills: np.ndarray,
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of every piece."""
     bins, fills = best_fit(lengths, capacity)
-    improve(bins, fills, lengths, capacity)
+    # fewer bins than their total needs there cannot be
+    improve(bins, fills, lengths, capacity, -(-int(lengths.sum()) // capacity))
     sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     n = 0
     for members in bins:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import types as T
 
 from parapet.llm import ranked_search as rs
-from tests.llm.data import docs, prose
+from llm.data import docs, prose
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 

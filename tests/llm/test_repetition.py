@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from parapet.llm import repetition as rep
-from tests.llm.data import docs, prose
+from llm.data import docs, prose
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 

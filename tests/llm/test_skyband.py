@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from parapet.llm import skyband as sky
-from tests.llm.data import docs, prose
+from llm.data import docs, prose
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
