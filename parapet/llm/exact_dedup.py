@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm.texts import spaced
+from parapet.llm.texts import apart, spaced
 from parapet.storage import new_path, remove, written
 
 #: disk-backed state; a store is closed as soon as its task has committed, since each holds some MB of disk
@@ -82,8 +82,10 @@ def exact_groups(spark: SparkSession, path: str, digest=sha256, id_col: str = "d
 
     Columns: _id, _file, _row, keep_id, group_size, kept, _digest.
     """
-    if not spark.read.parquet(path).limit(1).count():
-        return spark.createDataFrame([], "_id long, _file string, _row long, keep_id long, group_size long, "
+    given = spark.read.parquet(path)
+    if not given.limit(1).count():
+        kind = given.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"_id {kind}, _file string, _row long, keep_id {kind}, group_size long, "
                                          "kept boolean, _digest binary")
     at = checkpoint or new_path(spark, "seen")
     state = written(update_state(spark, path, at, digest, id_col, text_col), "seen-table")
@@ -111,19 +113,20 @@ def exact_groups(spark: SparkSession, path: str, digest=sha256, id_col: str = "d
     return good.unionByName(again.join(own, ["_digest", "_norm"]).select(*cols))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The frame without rows whose text another row has already; all its columns stay.
 
     The frame is written to the shared folder first, so that the stream has files to read.
     """
     spark = docs.sparkSession
-    place = written(docs, "dedup-input")
+    own, own_id, own_text = apart(docs, id_col, text_col)
+    place = written(own, "dedup-input")
     path = place.inputFiles()[0].rsplit("/", 1)[0] if place.inputFiles() else None
     if path is None:
         return docs
-    gone = exact_groups(spark, path).where(~F.col("kept")).select("_file", "_row")
+    gone = exact_groups(spark, path, id_col=own_id, text_col=own_text).where(~F.col("kept")).select("_file", "_row")
     rows = place.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return rows.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+    return rows.join(gone, ["_file", "_row"], "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parapet.llm.texts import WORDS, placed, table, word_count
+from parapet.llm.texts import WORDS, apart, placed, table, word_count
 from parapet.storage import written
 
 WEIGHTS = (5, 2, 1)
@@ -85,7 +85,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, id_c
 
     A document that the budget cuts keeps its first words, joined by single spaces.
     """
-    at = placed(docs)
+    own, id_col, text_col, source_col = apart(docs, id_col, text_col, source_col)
+    at = placed(own)
     rows = written(at.select("_file", "_row", *keyed(at, seed, id_col, text_col, source_col)), "sizes")
     taken = taken_words(rows, weights).where("taken > 0").select(
         "_file", "_row", F.col("_words").alias("_size"), F.col("taken").alias("_taken"))
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, id_c
     d = at.join(taken, ["_file", "_row"]).withColumn("_cut", F.explode(copies))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORDS})")), F.lit(1),
                                  F.col("_cut").cast("int")), " ")
-    return d.withColumn(text_col, F.when(F.col("_cut") > 0, first).otherwise(F.col(text_col))).select(*docs.columns)
+    return d.withColumn(text_col, F.when(F.col("_cut") > 0, first).otherwise(F.col(text_col))).select(*own.columns).toDF(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parapet.llm.texts import table
+from parapet.llm.texts import apart, table
 
 SAMPLE, SAMPLE_BYTES = 1500, 32_768
 STEP, HALF, CHUNK = 4, 32, 64
@@ -247,9 +247,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where("_y = 0").orderBy(*by_hash).limit(SAMPLE).unionByName(
         known.where("_y = 1").orderBy(*by_hash).limit(SAMPLE))
     # at most two times SAMPLE ids
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).where(
-        F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES).collect()
-    rows = sorted(rows, key=lambda r: (r[id_col], r[text_col] or ""))[:4 * SAMPLE]
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(picked), id_col).where(
+        F.octet_length(text_col) <= SAMPLE_BYTES)
+    # rows that repeat an id are cut in the plan, before anything comes to the driver
+    rows = sorted(rows.orderBy(*by_hash, text_col).limit(4 * SAMPLE).collect(), key=lambda r: (r[id_col], r[text_col]))
     y = np.array([r["_y"] for r in rows], dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return counts[1] / (counts[0] + counts[1])
@@ -288,4 +289,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier takes for good ones."""
     model = train(docs, labels)
-    return score(docs, model, score_col="_score").where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    own, text = apart(docs, "text")
+    return score(own, model, text, "_score").where(F.col("_score") >= THRESHOLD).select(*own.columns).toDF(*docs.columns)

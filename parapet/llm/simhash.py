@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm.components import roots
-from parapet.llm.texts import placed, table, words
+from parapet.llm.texts import apart, placed, table, words
 from parapet.storage import remove, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -55,13 +55,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(rows: DataFrame, text_col: str) -> DataFrame:
+def fingerprints(rows: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """Columns of the frame but the text, and ``fp`` (a long with the 64 bits)."""
     kept = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch[text_col]], dtype=np.uint64)
+            fp = np.array([fingerprint(t, shingle) for t in batch[text_col]], dtype=np.uint64)
             yield batch[kept].assign(fp=fp.view(np.int64))
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
@@ -223,11 +223,11 @@ def links(classes: DataFrame, most: int = MOST, parts: int = PARTS, highest: int
     return probes.join(entries, (probes["key"] == entries["key"]) & near).select("a", "b")
 
 
-def near_groups(at: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def near_groups(at: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
     """A frame from ``placed`` -> _id, fp, _file, _row and _keep, the row that stands for its component."""
     spark = at.sparkSession
     rows = written(fingerprints(at.select(F.col(id_col).alias("_id"), "_file", "_row", F.col(text_col).alias("_text")),
-                                "_text"), "fingerprints")
+                                "_text", shingle), "fingerprints")
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_file").alias("file"),
                            F.col("_row").alias("row")))
     classes = written(rows.groupBy("fp").agg(first.alias("_first")), "classes")
@@ -240,12 +240,13 @@ def near_groups(at: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return rows.join(whole, "fp")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
     """The frame with one row of each component; all its columns stay."""
-    at = placed(docs)
-    gone = near_groups(at, id_col, text_col).where(
+    own, own_id, own_text = apart(docs, id_col, text_col)
+    at = placed(own)
+    gone = near_groups(at, own_id, own_text, most, shingle).where(
         (F.col("_file") != F.col("_keep.file")) | (F.col("_row") != F.col("_keep.row"))).select("_file", "_row")
-    return at.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+    return at.join(gone, ["_file", "_row"], "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

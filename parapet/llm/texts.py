@@ -46,6 +46,12 @@ def placed(docs):
         return written(docs, "placed").select("*", *at)
 
 
+def apart(docs, *names: str):
+    """The frame under plain column names that clash with nothing, and the new names of ``names``."""
+    here = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*here), *(here[docs.columns.index(n)] for n in names)
+
+
 def cuts(data: bytes, size: int, borders: tuple[bytes, ...] = (b"\n", b" ")):
     """Parts (from, to) of about ``size`` bytes that end at one of the borders, so that no word is cut."""
     lo = 0

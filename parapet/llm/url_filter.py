@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from parapet.llm.texts import table
 from parapet.storage import written
 
+#: levels halve what is left, so this many only happen to keys that no hash tells apart
+MOST_LEVELS = 200
 MOST_BYTES = 256 << 20
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -59,8 +61,17 @@ def candidates(host: Column, path: Column, forms: list[tuple[int, int]]) -> Colu
     return F.transform(F.array_sort(F.array_compact(F.array(*keys))), lambda k: k["key"])
 
 
+def first_hash(key: Column) -> Column:
+    return F.xxhash64(key)
+
+
+def second_hash(key: Column) -> Column:
+    """Spark goes on hashing from the value before, so the constant comes first: it gives the key another seed."""
+    return F.xxhash64(F.lit(1), key)
+
+
 def hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
+    return [first_hash(key).alias("h1"), second_hash(key).alias("h2")]
 
 
 @dataclass
@@ -145,6 +156,8 @@ def cascade(universe: DataFrame, listed: DataFrame, n_universe: int) -> Cascade:
             n = own.count()
             if not n:
                 return Cascade(levels)
+            if len(levels) == MOST_LEVELS:
+                raise ValueError(f"{n} keys pass {MOST_LEVELS} levels alike: they share both 64-bit hashes")
             levels.append(bloom(own, n, 0.5, len(levels)))
             if other == "inside":
                 inside = written(passing(inside, levels[-1]), "listed")
@@ -180,8 +193,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
                 rule[row[k]], verdict[row[k]] = flat[k], "block" if block[k] else "allow"
             yield b[[id_col, "host", "path"]].assign(rule=rule, verdict=verdict)
 
-    looked = rows.withColumn("keys", keys).withColumn("h1", F.transform("keys", lambda k: F.xxhash64(k))).withColumn(
-        "h2", F.transform("keys", lambda k: F.xxhash64(k, F.lit(1))))
+    looked = rows.withColumn("keys", keys).withColumn("h1", F.transform("keys", first_hash)).withColumn(
+        "h2", F.transform("keys", second_hash))
     kind = pages.schema[id_col].dataType.simpleString()
     return looked.mapInPandas(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 

@@ -12,8 +12,10 @@ block returns link counts and a forest of links, never all pairs.
 The quantisers are fitted on a bounded sample of classes (the first by hash: ``TRAIN_PER_LIST``
 for each of at most ``MOST_LISTS`` lists); every vector is indexed and is a query.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or
-have another length than most, link with nothing; repeated ids and equal vectors link;
+Vectors of different lengths have no cosine: each length is indexed by itself.
+
+Defined results: vectors that are null, zero or hold null or non-finite components
+link with nothing; repeated ids and equal vectors link;
 a null id never names a component that holds another id; an empty table gives no rows;
 other columns are not read.
 """
@@ -131,18 +133,24 @@ def forest(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[in
 def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str = "vec_id",
                  vector_col: str = "embedding") -> DataFrame:
     """One row per row of the frame: the id, n_links, component_id and kept."""
-    spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
     # adding zero makes one of both zeros
     rows = vectors.select(F.col(id_col).alias("_id"), F.when(usable(F.col(vector_col)), F.transform(
         vector_col, lambda x: x + F.lit(0).cast(element))).alias("_v"))
-    rows = rows.withColumn("_dim", F.size("_v"))
-    dims = rows.where("_v IS NOT NULL").groupBy("_dim").count().orderBy(F.desc("count"), F.desc("_dim")).first()
-    if dims is None:
-        return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"),
-                           F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims["_dim"]
-    rows = rows.withColumn("_v", F.when(F.col("_dim") == dim, F.col("_v"))).withColumn("_h", F.xxhash64("_v")).drop("_dim")
+    rows = rows.withColumn("_dim", F.size("_v")).withColumn("_h", F.xxhash64("_v"))
+    # vectors of different lengths have no cosine: each length that two vectors share has an index of its own
+    dims = [r["_dim"] for r in rows.where("_v IS NOT NULL").groupBy("_dim").count().where("count > 1").orderBy("_dim").collect()]
+    alone = rows.where(~F.coalesce(F.col("_dim").isin(dims), F.lit(False)))
+    out = alone.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"),
+                       F.lit(True).alias("kept"))
+    for dim in dims:
+        out = out.unionByName(links_of_length(rows.where(F.col("_dim") == dim).drop("_dim"), least, id_col))
+    return out
+
+
+def links_of_length(rows: DataFrame, least: float, id_col: str) -> DataFrame:
+    """The same for rows (_id, _v, _h) of usable vectors of one length."""
+    spark = rows.sparkSession
     classes = rows.where("_v IS NOT NULL").groupBy("_v").agg(
         F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_least"), F.first("_h").alias("_h"))
     classes = written(classes.withColumn("_c", F.monotonically_increasing_id()), "vector-classes")

@@ -77,6 +77,43 @@ def test_vector_links(spark, monkeypatch):
     assert vector_dedup.vector_links(frame.where("vec_id = 603")).collect()[0]["n_links"] == 0
 
 
+def test_each_length_of_vectors_is_linked_by_itself(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, rng.standard_normal(12).tolist()) for i in range(60)] + [(100 + i, [1.0, 0.1 * i, 0.0]) for i in range(4)]
+    data += [(200, [2.0]), (201, [5.0]), (202, [-1.0]), (300, [1.0, 1.0]), (400, data[0][1]), (401, [0.5, 0.05, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.vector_links(
+        spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    for i, v in data:
+        unit = [(k, np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) for k, w in data if len(w) == len(v) and k != i]
+        assert got[i][0] == sum(c >= 0.9 for _, c in unit), i
+    assert got[200] == (1, 200, True) and got[201] == (1, 200, False) and got[202] == (0, 202, True) and got[300] == (0, 300, True)
+    assert got[400][1] == 0 and got[401][1] == 100
+
+
+def test_hashes_of_a_key_are_independent(spark):
+    """The second hash must not follow from the first: with one seed after the other it would."""
+    d = spark.range(2000).select(F.col("id").cast("string").alias("key")).select("key", *url_filter.hashes(F.col("key")))
+    follows = d.where(F.col("h2") == F.xxhash64(F.col("key"), F.lit(1))).count()
+    assert follows == 0 and d.select("h1").distinct().count() == d.select("h2").distinct().count() == 2000
+
+
+def test_stages_keep_columns_named_like_their_helpers(spark):
+    """Extra columns called like anything the stages use inside come out as they went in."""
+    from parapet.llm import exact_dedup, mixing, quality, simhash
+
+    extra = ["_file", "_row", "_cut", "_score", "_taken", "_size", "_id", "fp", "_keep", "_norm", "c0"]
+    texts = ["one two three four five six seven eight", "one two three four five six seven eight ", "nine ten", "", None, "a b c d e f g h i j"]
+    rows = [(i, t, "s", *(f"{n}{i}" for n in extra)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in extra)]))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for stage in (exact_dedup.drop_copies, simhash.drop_near_copies, mixing.mix, lambda x: quality.keep_good(x, labels)):
+        out = stage(d)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in extra)
+        assert stage(d.limit(0)).collect() == []
+
+
 def test_forest_spans_what_is_linked():
     hit = np.zeros((3, 4), dtype=bool)
     hit[0, 1] = hit[0, 3] = hit[2, 3] = True
@@ -111,7 +148,7 @@ def test_pipeline_keeps_its_rules(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_preferences(spark):
