@@ -32,7 +32,7 @@ END = 1
 #: pieces in a group: what one task packs at once
 GROUP = 8192
 #: words of at most so many bytes are remembered by a task, in about so many bytes of memory, each with so many besides its own
-WORD_BYTES, KEPT_BYTES, EACH_BYTES = 48, 50 << 20, 250
+WORD_BYTES, KEPT_BYTES, EACH_BYTES = 48, 120 << 20, 250
 LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 #: punctuation that may be cut off a word's end, and ends before which it may
 TAIL, STEM_END = b".,!?;:%$&*#|", frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
