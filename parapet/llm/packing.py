@@ -102,45 +102,41 @@ class Ids:
                 gc.enable()
 
     def _learn(self, texts: list[list[bytes]]) -> None:
-        known = self.known
-        new, older = [], self.older
-        for w in set().union(*texts):
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
+        known, older = self.known, self.older
+        new = set().union(*texts).difference(known)
+        seen = new.intersection(older)
+        known.update((w, older[w]) for w in seen)
         made, wanted = [], set()
-        for w in new:
+        for w in new - seen:
             if len(w) > WORD_BYTES:
                 continue
+            if w.isalpha():
+                known[w] = self._letters(w.lower())
+                continue
             core = w if b"<|" in w else w.translate(LOWER)
             stem = core.rstrip(TAIL)
             if stem and len(stem) < len(core) and stem[-1:] in STEM_END:
                 made.append((w, stem, core[len(stem):]))
-                wanted.add(stem)
                 wanted.add(core[len(stem):])
+                if not stem.isalpha():
+                    wanted.add(stem)
             else:
                 made.append((w, core, b""))
                 wanted.add(core)
-        rest = []
-        for w in wanted:
-            if w in known:
-                continue
-            if w.translate(None, LETTERS):
-                rest.append(w)
-            else:
-                known[w] = self._letters(w)
+        rest = [w for w in wanted if w not in known]
         for lo in range(0, len(rest), 20_000):
             known.update(zip(rest[lo:lo + 20_000], self._encode(rest[lo:lo + 20_000])))
         known[b""] = b""
         for w, stem, tail in made:
-            known[w] = known[stem] + known[tail]
+            known[w] = (known[stem] if stem in known else self._letters(stem)) + known[tail]
 
     def _letters(self, word: bytes) -> bytes:
         """Ids of a-z alone: one piece that normalising and splitting leave as it is."""
-        found = self.tokenizer.model.tokenize(word.decode())
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        ids = self.known.get(word) or self.older.get(word)
+        if ids is None:
+            ids = struct.pack("<%dI" % len(found := self.tokenizer.model.tokenize(word.decode())), *[t.id for t in found])
+        self.known[word] = ids
+        return ids
 
     def of(self, words: list[bytes]) -> bytes:
         known = self.known
