@@ -14,43 +14,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from parapet.sources import sse
+from parapet.streaming.buckets import IDLE_MS, bucket, set_alarm, streams_of
 
 OUT = "stream_id string, seq long, line string, event string"
-STATE = "event string, done boolean"
-IDLE_MS = 3_600_000
+STATE = "streams array<string>, last array<bigint>, events array<string>, done array<boolean>"
 END = "data: [DONE]"
 
 
 def _advance(ends: bool) -> Callable:
     def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        event, done = state.get if state.exists else ("", False)
-        rows = []
-        for seq, line in zip(pdf["seq"].tolist(), pdf["line"].tolist()):
-            if done:
-                break
-            if line is None:
-                continue
-            if line.startswith("event: "):
-                event = line[7:]
-            elif line == "":
-                event = ""
-            rows.append((key[0], seq, line, event))
-            done = ends and line == END
-        state.update((event, done))
-        # an idle stream is dropped an hour after its last line
-        state.setTimeoutTimestamp(max(int(pdf["ms"].max()), state.getCurrentWatermarkMs()) + IDLE_MS)
-        yield pd.DataFrame(rows, columns=["stream_id", "seq", "line", "event"])
+        seen = {}
+        known = {s: (last, event, done) for s, last, event, done in zip(*state.get)} if state.exists else {}
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(batches))
+            seqs, texts, times = (pdf[c].to_numpy(object) for c in ("seq", "line", "ms"))
+            ids, kept_seqs, kept, events = [], [], [], []
+            for stream, rows in streams_of(pdf, key, ["seq"]):
+                _, event, done = known.pop(stream, (0, "", False))
+                for line, i in zip(texts[rows].tolist(), rows.tolist()):
+                    if done:
+                        break
+                    if line is None:
+                        continue
+                    if line.startswith("event: "):
+                        event = line[7:]
+                    elif line == "":
+                        event = ""
+                    ids.append(stream)
+                    kept_seqs.append(seqs[i])
+                    kept.append(line)
+                    events.append(event)
+                    done = ends and line == END
+                # an idle stream is dropped an hour after its last line
+                seen[stream] = (max(int(times[rows].max()), state.getCurrentWatermarkMs()) + IDLE_MS, event, done)
+            yield pd.DataFrame({"stream_id": ids, "seq": kept_seqs, "line": kept, "event": events})
+        set_alarm(state, known, seen)
     return run
 
 
 def _decoded(lines: DataFrame, delay: str, ends: bool) -> DataFrame:
     d = lines.withWatermark("ts", delay).select(
         F.col("stream_id").cast("string").alias("stream_id"), "seq", "line", F.unix_millis("ts").alias("ms"), "ts")
-    return d.groupBy("stream_id").applyInPandasWithState(_advance(ends), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return d.withColumn("bucket", bucket("stream_id")).groupBy("bucket").applyInPandasWithState(_advance(ends), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def openai_stream(lines: DataFrame, delay: str = "1 minute") -> DataFrame:
