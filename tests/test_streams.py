@@ -75,6 +75,17 @@ def test_length_and_outcome_order(spark, policies):
     assert kept.where("stream_id = 'b'").count() == 1
 
 
+def test_checks_share_one_pass_over_the_chunks(spark, policies, monkeypatch):
+    calls, lengths = [], chunks.prefix_lengths
+    monkeypatch.setattr(chunks, "prefix_lengths", lambda d: calls.append(d) or lengths(d))
+    streams = {"a": ["x" * 600, "fine"], "b": ["go", " d", "ie", "more"], "c": ["ï go ", "dİe go die"], "d": ["kys"], "e": ["xky", "s"]}
+    d = frame(spark, streams, "long").where("stream_id <> 'a'").unionByName(frame(spark, {"a": streams["a"]}, "model"))
+    scores = spark.createDataFrame([("a", 0, True, {"harm": True}, 0.9)], "stream_id string, seq long, flagged boolean, categories map<string,boolean>, score double")
+    got = {r.stream_id: (r.guardrail, r.cut_seq) for r in chunks.stream_outcomes(d, policies, scores).collect()}
+    assert got == {"a": ("toxicity", 0), "b": ("toxicity", 2), "c": ("toxicity", 1), "d": ("toxicity", 0), "e": (None, None)}
+    assert len(calls) == 1
+
+
 def test_restored_text_and_holding(spark, monkeypatch):
     small_blocks(monkeypatch)
     streams = texts(150, 5)
